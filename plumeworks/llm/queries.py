@@ -34,6 +34,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces, packed into sequences of 2048 tokens."""
     from .packing import pack_documents
@@ -45,6 +53,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
