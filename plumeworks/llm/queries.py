@@ -12,6 +12,21 @@ from .common import table
 TOKEN_LIMIT = 4096
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its place."""
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    from .toxicity import fit_toxicity, label_grades, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, label_grades(table(spark, sf_dir, "labels"))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under piece_bpe_32k.model."""
     from .token_counts import token_counts
@@ -50,6 +65,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
