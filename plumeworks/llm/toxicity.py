@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features (operator 4).
 
-Features are the distinct words of a text. One weight a word is shared by all
+Features are the distinct words of a text and their stems, which catch inflected
+and compounded words that the sample never saw. One weight a feature is shared by all
 thresholds between severity grades: P(grade > j) = s(w.x - t_j) with ascending
 thresholds t. The model is fitted by accelerated proximal gradient steps under
 an L1 penalty, which leaves weights to the words that carry severity and none
@@ -18,6 +19,7 @@ rows. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -31,30 +33,49 @@ from .common import id_type, slices, texts
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Stems are the first characters of words, by these lengths; a stem of several distinct words of a text is a feature for each count up to the last.
+STEMS, COUNTS = (4, 5), 3
+
+
 def words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def features(text: str) -> list[str]:
+    """The distinct words of a text, and its stems with the counts they reach."""
+    found = words(text)
+    stems = Counter(w[:k] for k in STEMS for w in found if len(w) >= k)
+    return sorted([*found, *(f"{s}*{c + 1}" for s, n in stems.items() for c in range(min(n, COUNTS)))])
+
+
 class OrdinalModel:
     """Word weights and thresholds; grades are 0 to the number of thresholds."""
 
     def __init__(self, weights: dict[str, float], thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
+        self.stems: dict[str, list[float]] = {}  # of each stem, what its first 1, 2, ... words add in all
+        for name in {x.partition("*")[0] for x in weights if "*" in x}:
+            each = [weights.get(f"{name}*{c + 1}", 0.0) for c in range(COUNTS)]
+            self.stems[name] = [sum(each[: c + 1]) for c in range(COUNTS)]
+
+    def score(self, text: str) -> float:
+        found, get, stems = words(text), self.weights.get, self.stems
+        total = sum(get(w, 0.0) for w in found)
+        for s, n in Counter(s for k in STEMS for w in found if len(w) >= k and (s := w[:k]) in stems).items():
+            total += stems[s][min(n, COUNTS) - 1]
+        return total
 
     def exceed(self, values: list[str]) -> np.ndarray:
         """P(grade > j) of each text, a column for each threshold."""
-        get = self.weights.get
-        score = np.array([sum(get(w, 0.0) for w in words(x)) if self.weights else 0.0 for x in values])
+        score = np.array([self.score(x) if self.weights else 0.0 for x in values])
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(np.minimum(self.thresholds[None, :] - score[:, None], 700)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds for binary features (rows[i], cols[i]) and grades 0, 1, ..."""
     n, levels = len(grade), int(grade.max())
-    weight = np.zeros(n)
-    for g in range(levels + 1):  # each grade counts alike
-        weight[grade == g] = 1 / (levels + 1) / max(1, (grade == g).sum())
+    weight = np.full(n, 1 / n)
     above = grade[:, None] > np.arange(levels)[None, :]
     share = (weight[:, None] * above).sum(0)
     first = np.log((1 - share) / share)
@@ -95,10 +116,10 @@ def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, pena
 
 def _features(batches):
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([sorted(words(x)) for x in texts(batch)], pa.list_(pa.string()))], ["grade", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(x) for x in texts(batch)], pa.list_(pa.string()))], ["grade", "words"])
 
 
-def fit_toxicity(docs: DataFrame, grades: DataFrame, per_grade: int = 2000, least_docs: int = 4, penalty: float = 2e-3) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, grades: DataFrame, per_grade: int = 1500, least_docs: int = 4, penalty: float = 1e-3) -> OrdinalModel:
     """Fit on labelled rows: grades has doc_id and grade (0, 1, ...).
 
     per_grade: rows of each grade in the sample at most; the driver holds their
@@ -138,7 +159,7 @@ def _score(batches, model: OrdinalModel, limit: float):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over.sum(1)), pa.array(toxic), pa.array(grade, pa.int32()), pa.array(toxic >= limit)], ["doc_id", "expected_severity", "p_toxic", "grade", "rejected"])
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, limit: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: OrdinalModel, limit: float = 0.3) -> DataFrame:
     """One row per row of docs: expected grade, P(grade > 0), the median grade, and if P(grade > 0) reaches the limit."""
     return docs.select("doc_id", "text").mapInArrow(partial(_score, model=model, limit=limit), f"doc_id {id_type(docs)}, expected_severity double, p_toxic double, grade int, rejected boolean")
 
@@ -148,7 +169,7 @@ def _keep(batches, model: OrdinalModel, limit: float):
         yield batch.filter(pa.array(model.exceed(texts(batch))[:, 0] < limit))
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, limit: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: OrdinalModel, limit: float = 0.3) -> DataFrame:
     """The rows of docs, with all columns, that are not rejected."""
     return docs.mapInArrow(partial(_keep, model=model, limit=limit), docs.schema)
 
