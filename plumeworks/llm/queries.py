@@ -12,6 +12,14 @@ from .common import table
 TOKEN_LIMIT = 4096
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the risk-controlled rules for every document."""
+    from .quality import quality_verdicts
+
+    found = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item and its place."""
     from .decontamination import contaminated
@@ -65,6 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
