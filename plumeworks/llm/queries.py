@@ -27,6 +27,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under the model and under smoothed unigrams."""
+    from .pitman_yor import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document."""
     from .toxicity import fit_toxicity, label_grades, score_toxicity
@@ -82,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scores": op3_lm_scores,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
