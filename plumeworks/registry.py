@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import dashboard, history  # noqa: F401  (they register their queries)
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
