@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stored
+from .common import partitions, slices, trim
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -121,7 +121,9 @@ def _place(minimizers: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray,
 
 def _split(shard: np.ndarray, *arrays: np.ndarray):
     """The arrays' parts by shard; shard is sorted."""
-    edges = np.flatnonzero(np.r_[True, np.diff(shard) != 0]) if len(shard) else np.zeros(0, np.int64)
+    if not len(shard):
+        return
+    edges = np.flatnonzero(np.r_[True, np.diff(shard) != 0])
     for a, b in zip(edges, np.r_[edges[1:], len(shard)], strict=True):
         yield int(shard[a]), [x[a:b] for x in arrays]
 
@@ -153,41 +155,56 @@ def _repeated(group: pa.Table, bits: int) -> pa.Table:
     return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
 
 
-_SEGMENTS = "shard int, seg array<long>, seg_min array<long>, seg_max array<long>, seg_len array<int>, words binary, occ_seg array<long>, occ_doc array<long>, occ_text array<long>, occ_pos array<int>"
+_SEGMENTS = "shard int, seg array<long>, seg_min array<long>, seg_max array<long>, seg_len array<int>, words binary"
+_PLACES = "seg long, doc_id long, text_hash long, pos int"
 
 
-def _segments(batches, shards: int, bits: int, parts):
-    """Segments with a repeated minimizer, by shard: the slice's distinct ones and all occurrences."""
-    table = parts.value
-    lists = pa.list_(pa.int64()), pa.list_(pa.int32())
-    for batch in slices(batches, most=2 << 20):
-        words = Words(batch.column("text"))
+class Segments:
+    """A slice's segments with a repeated minimizer, in order of shard, name and document."""
+
+    def __init__(self, batch: pa.RecordBatch, table: np.ndarray, bits: int):
+        self.words = words = Words(batch.column("text"))
         start, windows, least = words.runs()
-        shard, bit = _place(least, shards, bits)
+        shard, bit = _place(least, len(table), bits)
         bit = bit.astype(np.int64)
         hit = (table[shard, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
         hit &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[words.doc[start]]
-        start, windows, shard = start[hit], windows[hit], shard[hit]
-        stop = start + windows + WINDOW - 1
+        start, shard = start[hit], shard[hit]
+        stop = start + windows[hit] + WINDOW - 1
         name = range_hashes(words.hashes, start, stop).view(np.int64)
-        ids, text = (batch.column(c).fill_null(0).to_numpy() for c in ("doc_id", "text_hash"))
-        doc, row = ids[words.doc[start]], words.doc[start]
+        row = words.doc[start]
+        doc = batch.column("doc_id").fill_null(0).to_numpy()[row]
         order = np.lexsort((doc, name, shard))
-        name, doc, row, start, stop, shard = (x[order] for x in (name, doc, row, start, stop, shard))
+        self.name, self.doc, self.row, self.start, self.stop, self.shard = (x[order] for x in (name, doc, row, start, stop, shard))
+
+
+def _segments(batches, bits: int, parts):
+    """The slices' distinct segments, by shard, with their first and last documents."""
+    lists = pa.list_(pa.int64()), pa.list_(pa.int32())
+    for batch in slices(batches, most=4 << 20):
+        found = Segments(batch, parts.value, bits)
+        short = found.words.hashes.astype(np.uint32)
         rows = []
-        short = words.hashes.astype(np.uint32)
-        for s, (n, d, r, a, b) in _split(shard, name, doc, row, start, stop):
+        for s, (n, d, a, b) in _split(found.shard, found.name, found.doc, found.start, found.stop):
             first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
             last = np.r_[first[1:], len(n)] - 1
             lens = b[first] - a[first]
             ends = lens.cumsum()
             at = np.repeat(a[first] - (ends - lens), lens) + np.arange(ends[-1])
-            rows.append((s, n[first], d[first], d[last], lens.astype(np.int32), short[at].astype("<u4").tobytes(), n, d, text[r], (a - words.first[r]).astype(np.int32)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
-        kinds = [pa.int32(), lists[0], lists[0], lists[0], lists[1], pa.binary(), lists[0], lists[0], lists[0], lists[1]]
+            rows.append((s, n[first], d[first], d[last], lens.astype(np.int32), short[at].astype("<u4").tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = [pa.int32(), lists[0], lists[0], lists[0], lists[1], pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
 
+def _places(batches, bits: int, parts):
+    """All occurrences of these segments: name, document and first word."""
+    for batch in slices(batches, most=4 << 20):
+        found = Segments(batch, parts.value, bits)
+        text = batch.column("text_hash").to_numpy()[found.row]
+        yield pa.RecordBatch.from_arrays([pa.array(found.name), pa.array(found.doc), pa.array(text), pa.array((found.start - found.words.first[found.row]).astype(np.int32))], [x.split()[0] for x in _PLACES.split(", ")])
+
+
 def first_documents(seg_len: np.ndarray, words: np.ndarray, seg_min: np.ndarray) -> np.ndarray:
     """For each window of distinct segments in turn, the least document of all segments that hold it."""
     names, text = np.unique(words, return_inverse=True)
@@ -226,6 +243,8 @@ def _shard_answers(group: pa.Table) -> pa.Table:
     firsts = first_documents(lens, words, low)
     windows = lens - WINDOW + 1
     offsets = np.r_[0, windows.cumsum()]
+    del words
+    trim()
     useful = np.minimum.reduceat(firsts, offsets[:-1]) < high
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, windows[useful].cumsum()], pa.int32()), pa.array(firsts[np.repeat(useful, windows)], pa.int64()))
     return pa.table({"seg": pa.array(names[useful], pa.int64()), "firsts": lists})
@@ -291,7 +310,7 @@ def repeated_windows(docs: DataFrame, filter_bytes: int = 16 << 20) -> DataFrame
     filter_bytes: the size of the filter, all that goes through the driver; it does not grow with the input.
     """
     spark = docs.sparkSession
-    shards = partitions(spark)
+    shards = 2 * partitions(spark)
     bits = 8 * max(1, filter_bytes // shards)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     marks = source.select("text").mapInArrow(partial(_minimizers, shards=shards), "shard int, marks binary")
@@ -300,9 +319,10 @@ def repeated_windows(docs: DataFrame, filter_bytes: int = 16 << 20) -> DataFrame
     for shard, part in parts:
         table[shard] = np.frombuffer(part, np.uint8)
     shared = spark.sparkContext.broadcast(table)
-    segments = stored(source.mapInArrow(partial(_segments, shards=shards, bits=bits, parts=shared), _SEGMENTS), "segments")
-    answers = segments.select("shard", "seg", "seg_min", "seg_max", "seg_len", "words").groupBy("shard").applyInArrow(lambda group: _shard_answers(group), "seg long, firsts array<long>")
-    places = segments.select(F.explode(F.arrays_zip("occ_seg", "occ_doc", "occ_text", "occ_pos")).alias("o")).select(F.col("o.occ_seg").alias("seg"), F.col("o.occ_doc").alias("doc_id"), F.col("o.occ_text").alias("text_hash"), F.col("o.occ_pos").alias("pos"))
+    # computed twice rather than kept: the second pass costs less than a copy of the segments
+    segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS)
+    answers = segments.groupBy("shard").applyInArrow(lambda group: _shard_answers(group), "seg long, firsts array<long>")
+    places = source.mapInArrow(partial(_places, bits=bits, parts=shared), _PLACES)
     found = places.join(answers, "seg").select("doc_id", "text_hash", F.expr("filter(transform(firsts, (f, i) -> IF(f < doc_id, pos + i, NULL)), x -> x IS NOT NULL)").alias("starts"))
     return found.where("size(starts) > 0").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
