@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -52,6 +53,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, and an executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the C library of Linux
+        pass
+
+
 def slices(batches, column: str = "text", most: int = 4 << 20):
     """Parts of record batches with about `most` bytes of `column` each, one row at least."""
     for batch in batches:
@@ -65,6 +75,8 @@ def slices(batches, column: str = "text", most: int = 4 << 20):
             to = max(at + 1, int(sizes.searchsorted(before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, sizes
+        trim()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -256,7 +256,7 @@ def _cut(batches):
         words = Words(batch.column("text"))
         n, removed, digests = words.counts, [], []
         raw, a, b = words.raw.tobytes(), words.starts.tolist(), words.ends.tolist()
-        for i, cuts in enumerate(batch.column("starts").to_pylist()):
+        for i, cuts in enumerate(batch.column("starts__").to_pylist()):
             x, y = int(words.first[i]), int(words.first[i + 1])
             gone = covered(cuts, y - x)
             kept = range(x, y) if gone is None else (np.flatnonzero(~gone) + x).tolist()
@@ -270,7 +270,7 @@ def _rewrite(batches):
     for batch in slices(batches, most=2 << 20):
         words = Words(batch.column("text"))
         texts, keep = batch.column("text").to_pylist(), np.ones(batch.num_rows, bool)
-        for i, cuts in enumerate(batch.column("starts").to_pylist()):
+        for i, cuts in enumerate(batch.column("starts__").to_pylist()):
             x, y = int(words.first[i]), int(words.first[i + 1])
             gone = covered(cuts, y - x)
             if gone is None:
@@ -280,7 +280,7 @@ def _rewrite(batches):
             parts = [raw[edge[a] : edge[b]].tobytes() for a, b in _spans(~gone)]
             texts[i] = b"".join(parts).decode("utf-8", "surrogatepass").rstrip()
             keep[i] = bool(parts)
-        out = {c: batch.column(c) for c in batch.schema.names if c not in ("starts", "text_hash")}
+        out = {c: batch.column(c) for c in batch.schema.names if c != "starts__"}
         out["text"] = pa.array(texts, pa.string())
         if "n_chars" in out:
             out["n_chars"] = pa.array([a if u is v or u == v else len(v) for a, u, v in zip(out["n_chars"].to_pylist(), batch.column("text").to_pylist(), texts, strict=True)], out["n_chars"].type)
@@ -328,9 +328,9 @@ def repeated_windows(docs: DataFrame, filter_bytes: int = 16 << 20) -> DataFrame
 
 
 def _with_starts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    found = repeated_windows(docs).withColumnRenamed("doc_id", "d_").withColumnRenamed("text_hash", "t_")
-    match = (F.col("doc_id").cast("long") == F.col("d_")) & (F.xxhash64("text") == F.col("t_"))
-    return rows.join(found.hint("shuffle_hash"), match, "left").drop("d_", "t_")
+    found = repeated_windows(docs).select(F.col("doc_id").alias("doc_id__"), F.col("text_hash").alias("text_hash__"), F.col("starts").alias("starts__"))
+    match = (F.col("doc_id").cast("long") == F.col("doc_id__")) & (F.xxhash64("text") == F.col("text_hash__"))
+    return rows.join(found.hint("shuffle_hash"), match, "left").drop("doc_id__", "text_hash__")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

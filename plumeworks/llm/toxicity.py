@@ -68,8 +68,8 @@ class OrdinalModel:
     def exceed(self, values: list[str]) -> np.ndarray:
         """P(grade > j) of each text, a column for each threshold."""
         score = np.array([self.score(x) if self.weights else 0.0 for x in values])
-        with np.errstate(over="ignore"):
-            return 1 / (1 + np.exp(np.minimum(self.thresholds[None, :] - score[:, None], 700)))
+        away = self.thresholds[None, :] - score[:, None]
+        return np.where(np.isinf(away), 0.0, 1 / (1 + np.exp(np.minimum(away, 700))))
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, penalty: float, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
