@@ -81,7 +81,7 @@ def sample_frames(frames: DataFrame, rate: int = 5, max_frames: int = 300, max_s
     rows = rows.withColumn("streak", F.when(~F.col("decoded"), bad).otherwise(0))
     rows = rows.withColumn("ended", F.max((F.col("streak") >= 3).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where((F.col("ended") == 0) & F.col("decoded"))
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_frames).drop("streak", "ended")
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= max_frames).drop("streak", "ended")
 
 
 def dedup_newest(uploads: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ MIN_HITS, MIN_RUN, MIN_FRACTION = 4, 3, 0.30
 
 def step_index(detections: DataFrame, clip: str = "clip_id", frame: str = "frame_index") -> DataFrame:
     """Number a clip's frames that have detections, from 1; empty frames have no step."""
-    return detections.withColumn("step", F.dense_rank().over(Window.partitionBy(clip).orderBy(frame)))
+    return detections.withColumn("step", F.dense_rank().over(Window.partitionBy(clip).orderBy(frame)).cast("bigint"))
 
 
 def islands(rows: DataFrame, by: list[str], order: list[Column], flag: Column) -> DataFrame:
@@ -212,7 +212,7 @@ def interesting_frames(detections: DataFrame, k: int = 12) -> DataFrame:
     region = F.col("intensity").isNotNull()
     frames = detections.groupBy("clip_id", "frame").agg(F.max(F.coalesce(F.when(region, severity_rank(F.col("severity"))), F.lit(-1))).alias("worst"), F.count_if(region).alias("smoking"), F.count("*").alias("vehicles"), F.round(F.sum("confidence"), 4).alias("confidence_sum"))
     order = Window.partitionBy("clip_id").orderBy(F.desc("worst"), F.desc("smoking"), F.desc("vehicles"), F.desc("confidence_sum"), "frame")
-    return frames.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return frames.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k)
 
 
 def artifact_budget(detections: DataFrame, smoking_cap: int, clean_cap: int) -> DataFrame:

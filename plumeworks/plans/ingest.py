@@ -84,7 +84,7 @@ _FRAMES = "SELECT user_id AS clip_id, frame_index, frame_index/8.0::DOUBLE AS se
 def frame_sampler(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = A.table(spark, sf_dir, "events").withColumn("frame_index", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    e = A.table(spark, sf_dir, "events").withColumn("frame_index", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint"))
     frames = e.select(F.col("user_id").alias("clip_id"), "frame_index", (F.col("frame_index") / 8).alias("seconds"), (F.col("event_type") != "error").alias("decoded"))
     return I.sample_frames(frames, 2, 20, 8).select("clip_id", "frame_index", "place")
 
