@@ -3,8 +3,9 @@
 Texts are reduced to lower-case words joined by single spaces. A benchmark item
 of n characters may differ by k = n * error_rate edits; it is split into k + 1
 pieces, of which one at least must survive k edits, so an exact hit of a piece
-is looked for in one scan over the text. Around hits, Myers' bit-parallel
-distance finds the least number of edits with which the item occurs there.
+is looked for in one scan over the text. Where the text around a hit lacks no
+more of the item's 4-grams than k edits can spoil, Myers' bit-parallel distance
+finds the least number of edits with which the item occurs there.
 
 Items are taken in blocks of a bounded number of characters; each block is sent
 to all tasks and scans all texts.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import id_type, slices, texts
 
 WORD = re.compile(r"\w+")
+GRAM = 4
 
 
 def reduced(text: str | None) -> str:
@@ -65,6 +67,10 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 class PieceIndex:
     """The pieces of a block of items, searched at once."""
 
@@ -72,6 +78,7 @@ class PieceIndex:
         import ahocorasick
 
         self.items = [(key, text, int(len(text) * error_rate)) for key, text in items]
+        self.grams = [grams(text) for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, budget) in enumerate(self.items):
             for offset, piece in cut(text, budget + 1):
@@ -103,6 +110,9 @@ class PieceIndex:
                 else:
                     windows.append([a, b])
             for a, b in windows:
+                # an edit spoils GRAM grams of the item at most; where more are missing no occurrence can be
+                if len(self.grams[i].difference(grams(text[a:b]))) > budget * GRAM:
+                    continue
                 if (hit := myers(item, text[a:b], budget)) and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
             if best:
@@ -158,14 +168,14 @@ def item_blocks(items: DataFrame, least_chars: int, block_chars: int):
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
     """One row per document row and benchmark item that it holds: edits, and start and end in the reduced text."""
     schema = f"doc_id {id_type(docs)}, item_id long, edits long, start long, end long"
     found = [docs.select("doc_id", "text").mapInArrow(partial(_matches, items=block, error_rate=error_rate), schema) for block in item_blocks(items, least_chars, block_chars)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.05, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of docs, with all columns, that hold no benchmark item."""
     for block in item_blocks(items, least_chars, block_chars):
         docs = docs.mapInArrow(partial(_clean, items=block, error_rate=error_rate), docs.schema)
