@@ -38,3 +38,20 @@ def normalise_formats(value: Column) -> Column:
     """A comma list as distinct lower-case tokens without dots, in order."""
     tokens = F.transform(F.split(F.coalesce(value, F.lit("")), ","), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^\.+", ""))
     return F.array_distinct(F.filter(tokens, lambda x: x.rlike("^[a-z0-9]{2,5}$")))
+
+
+def valid_config(low: Column, moderate: Column, size: Column) -> dict[str, Column]:
+    """The pipeline's own wider limits: bands at least a hundredth apart, sides in steps of 32."""
+    lo = F.greatest(F.lit(0.01), F.least(F.lit(0.98), low))
+    return {"severity_low_max": lo, "severity_moderate_max": F.least(F.greatest(moderate, lo + 0.01), F.lit(0.99)), "input_size": F.greatest(F.lit(64), (F.floor(size / 32) * 32).cast("int"))}
+
+
+#: Names of a run's frozen settings, and of the pipeline's options.
+RENAMED = {"confidence_threshold": "conf_threshold", "smoke_mask_threshold": "mask_threshold", "frame_sample_rate": "frame_sample_rate", "max_video_seconds": "max_video_seconds", "severity_low_max": "severity_low_max", "severity_moderate_max": "severity_moderate_max"}
+
+
+def pipeline_options(snapshot: Column) -> Column:
+    """A map of frozen settings under the pipeline's names, without unknown keys and nulls."""
+    names = F.create_map(*(F.lit(x) for pair in RENAMED.items() for x in pair))
+    known = F.map_filter(snapshot, lambda k, v: F.map_contains_key(names, k) & v.isNotNull())
+    return F.transform_keys(known, lambda k, _: F.element_at(names, k))

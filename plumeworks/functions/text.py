@@ -91,3 +91,18 @@ def moment(v: Column) -> Column:
 
 def truncate(v: Column, limit: int = 52) -> Column:
     return F.when(F.length(v) <= limit, v).otherwise(F.concat(F.substring(v, 1, limit - 1), F.lit("…")))
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1)
+
+
+def confined(path: Column) -> Column:
+    """Whether a relative path stays below its root: no root, drive, or step up."""
+    p = F.regexp_replace(path, r"\\", "/")
+    return ~(p.startswith("/") | p.rlike("^[A-Za-z]:") | p.rlike(r"(^|/)\.\.(/|$)") | p.contains("\0"))
+
+
+def rebase(path: Column, old: str, new: str) -> Column:
+    """A path below one root as the same path below another; others stay."""
+    return F.when(path.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substring(path, F.lit(len(old.rstrip("/")) + 1), F.length(path)))).otherwise(path)

@@ -141,3 +141,51 @@ def largest_component(on: np.ndarray) -> tuple[int, float]:
     inside = set(best)
     edge = sum((r + i, c + j) not in inside for r, c in best for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)))
     return len(best), round(min(1.0, 4 * np.pi * len(best) / edge**2), 6) if edge else 0.0
+
+
+def early_stop(history: DataFrame, patience: int, margin: float = 1e-4) -> DataFrame:
+    """The epoch at which training stops and its best one, by folding each run's scores in order."""
+    scores = F.array_sort(F.collect_list(F.struct("epoch", "dice")))
+    start = F.struct(F.lit(-1.0).alias("best"), F.lit(-1).alias("best_epoch"), F.lit(0).alias("waited"), F.lit(-1).alias("stopped"))
+
+    def step(a: Column, x: Column) -> Column:
+        on, better = a["stopped"] < 0, x["dice"] > a["best"] + margin
+        waited = F.when(better, F.lit(0)).otherwise(a["waited"] + 1)
+        new = F.struct(F.when(better, x["dice"]).otherwise(a["best"]).alias("best"), F.when(better, x["epoch"]).otherwise(a["best_epoch"]).alias("best_epoch"), waited.alias("waited"), F.when(waited >= patience, x["epoch"]).otherwise(F.lit(-1)).alias("stopped"))
+        return F.when(on, new).otherwise(a)
+
+    got = history.groupBy("run_id").agg(F.aggregate(scores, start, step).alias("r"))
+    return got.select("run_id", F.col("r.best").alias("best"), F.col("r.best_epoch").alias("best_epoch"), F.when(F.col("r.stopped") >= 0, F.col("r.stopped")).alias("stopped"))
+
+
+def best_candidate(candidates: DataFrame, by: str) -> DataFrame:
+    """The first candidate with the highest score of each group."""
+    return candidates.groupBy(by).agg(F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")).select(by, "b.candidate", "b.score")
+
+
+def otsu(values: np.ndarray) -> int:
+    """The grey level that best parts a histogram in two; levels at and below it are dark."""
+    hist = np.bincount(values, minlength=256).astype(float)
+    n, mass = hist.cumsum(), (hist * np.arange(256)).cumsum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = (mass[-1] * n / n[-1] - mass) ** 2 / (n * (n[-1] - n))
+    return int(np.nan_to_num(spread, nan=-1.0, posinf=-1.0).argmax())
+
+
+def shadow_score(values: np.ndarray) -> float:
+    """How much a crop looks like a shadow on a bright ground: the parts' separation, less for small dark parts."""
+    dark = values <= otsu(values)
+    share = float(dark.mean())
+    if not 0.08 <= share <= 0.75:
+        return 0.0
+    return (float(values[~dark].mean()) - float(values[dark].mean())) * min(share / 0.35, 1.0)
+
+
+def shadow_scores(crops: DataFrame, key: str, column: str) -> DataFrame:
+    """Scores of crops given as arrays of grey levels from 0 to 255."""
+
+    def fold(batches):
+        for part in batches:
+            yield pd.DataFrame({key: part[key], "score": [round(shadow_score(np.asarray(v, np.int64)), 6) for v in part[column]]})
+
+    return crops.select(key, column).mapInPandas(fold, f"{key} {crops.schema[key].dataType.simpleString()}, score double")

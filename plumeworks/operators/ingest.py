@@ -170,3 +170,43 @@ def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:
     rows = tokens.withColumn("newest", F.row_number().over(w) == 1)
     state = F.when(F.col("used"), "used").when(~F.col("newest"), "superseded").when(F.col("expires_at") <= now, "expired").otherwise("valid")
     return rows.withColumn("state", state)
+
+
+# Failures that have a public text of their own, by class, and its topic.
+FAILURES = {"MLPipelineError": "media", "MediaError": "media", "FileNotFoundError": "missing", "PermissionError": "permission", "MemoryError": "memory", "ModuleNotFoundError": "engine", "ImportError": "engine", "OperationalError": "busy", "DatabaseError": "storage", "OSError": "files"}
+
+
+def failure_topic(classes: Column) -> Column:
+    """The topic of the first class, from the raised one up its bases, that has one."""
+    topics = F.create_map(*(F.lit(x) for pair in FAILURES.items() for x in pair))
+    found = F.filter(F.transform(classes, lambda c: F.try_element_at(topics, c)), lambda t: t.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.lit("unexpected"))
+
+
+def claims(attempts: DataFrame) -> DataFrame:
+    """Attempts to claim queued jobs: of each job's, the first one wins and changes one row, others change none."""
+    w = Window.partitionBy("job_id").orderBy("ts", "attempt_id")
+    return attempts.withColumn("rows_affected", (F.row_number().over(w) == 1).cast("int"))
+
+
+def settings_update(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Partial updates of the bands checked against the live row: ranges, then low below moderate."""
+    rows = patches.join(F.broadcast(current.select("severity_low_max", "severity_moderate_max")))
+    low, moderate = F.coalesce("low", "severity_low_max"), F.coalesce("moderate", "severity_moderate_max")
+    range_ok = lambda v: v.isNull() | v.between(0.0, 1.0)
+    error = F.when(~range_ok(F.col("low")), "low_out_of_range").when(~range_ok(F.col("moderate")), "moderate_out_of_range").when(low >= moderate, "low_not_below_moderate")
+    return rows.select("patch_id", error.alias("error"), low.alias("low_max"), moderate.alias("moderate_max"))
+
+
+def live_sessions(tokens: DataFrame, users: DataFrame) -> DataFrame:
+    """Tokens with whether they are refused: issued before the account's password changed, or without a time of issue then."""
+    rows = tokens.join(users.select("user_id", "password_changed_at"), "user_id", "left")
+    refused = F.col("password_changed_at").isNotNull() & (F.col("issued_at").isNull() | (F.col("issued_at") < F.col("password_changed_at")))
+    return rows.withColumn("refused", refused)
+
+
+def artifact_paths(runs: DataFrame, reports: DataFrame) -> DataFrame:
+    """All paths that hang on runs: their folders and their reports' files."""
+    folders = runs.select("analysis_id", F.concat(F.lit("artifacts/"), "analysis_id").alias("path"))
+    files = reports.join(runs.select("analysis_id"), "analysis_id", "left_semi").select("analysis_id", F.concat(F.lit("reports/"), "report_id", F.lit(".pdf")).alias("path"))
+    return folders.unionByName(files)

@@ -239,3 +239,28 @@ def throttle_progress(events: DataFrame, gap: float = 0.4) -> DataFrame:
         return pd.DataFrame(kept, columns=part.columns)
 
     return events.groupBy("analysis_id").applyInPandas(fold, events.schema)
+
+
+# The detector's classes.
+CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
+
+
+def detector_output(raw: DataFrame, frame_w: int, frame_h: int, threshold: float) -> DataFrame:
+    """Raw corner boxes as detections: known classes over a score, clamped to the frame, ranked by confidence."""
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair)), F.col("class_id"))
+    edge = lambda c, most: F.greatest(F.lit(0), F.least(F.bround(F.col(c)).cast("int"), F.lit(most - 1)))
+    rows = raw.where(F.col("class_id").isin(*CLASSES) & (F.col("score") >= threshold))
+    rows = rows.select("clip_id", "frame_index", "raw_id", kind.alias("vehicle_type"), F.round("score", 4).alias("confidence"), edge("x1", frame_w).alias("x"), edge("y1", frame_h).alias("y"), "x2", "y2")
+    side = lambda c, at, most: F.greatest(F.lit(1), F.least(F.bround(F.col(c)).cast("int") - F.col(at), F.lit(most) - F.col(at)))
+    rows = rows.withColumn("w", side("x2", "x", frame_w)).withColumn("h", side("y2", "y", frame_h)).drop("x2", "y2")
+    place = F.row_number().over(Window.partitionBy("clip_id", "frame_index").orderBy(F.desc("confidence"), "raw_id"))
+    return rows.withColumn("det_idx", (place - 1).cast("bigint"))
+
+
+def preview_frames(detections: DataFrame, verdicts: DataFrame, k: int = 12) -> DataFrame:
+    """The interesting frames after clips lost their discarded regions; the first is the preview."""
+    lost = verdicts.where("discarded_regions > 0").select("clip_id", F.lit(True).alias("lost"))
+    rows = detections.join(lost, "clip_id", "left")
+    gone = F.coalesce("lost", F.lit(False))
+    rows = rows.withColumn("intensity", F.when(~gone, F.col("intensity"))).withColumn("severity", F.when(~gone, F.col("severity")))
+    return interesting_frames(rows.drop("lost"), k)

@@ -205,3 +205,27 @@ def test_files_metrics_and_partitions(spark, tmp_path):
     files.replace_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), out, ["k"])
     assert sorted((r.k, r.v) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "c")]
     assert files.seed_runs(spark, 100).exceptAll(files.seed_runs(spark, 100)).count() == 0
+
+
+def test_early_stop(spark):
+    scores = [0.1, 0.5, 0.50005, 0.4, 0.3, 0.9]
+    got = E.early_stop(spark.createDataFrame([("r", i, v) for i, v in enumerate(scores)], "run_id string, epoch int, dice double"), 3).first()
+    assert (got.best, got.best_epoch, got.stopped) == (0.5, 1, 4)
+
+
+def test_shadow_score():
+    import numpy as np
+
+    assert E.shadow_score(np.full(64, 100)) == 0.0
+    half = np.r_[np.full(32, 20), np.full(32, 220)]
+    assert E.shadow_score(half) == pytest.approx(200.0)
+    assert 0 < E.shadow_score(np.r_[np.full(8, 20), np.full(56, 220)]) < 100
+
+
+def test_paths_and_failures(spark):
+    rows = spark.createDataFrame([("a/b",), ("../a",), ("/a",), ("a\\..\\b",), ("C:\\x",), ("a..b/c",)], "p string").select(text.confined(F.col("p")).alias("ok"), text.base_name(F.col("p")).alias("n")).collect()
+    assert [r.ok for r in rows] == [True, False, False, False, False, True]
+    assert [r.n for r in rows] == ["b", "a", "a", "b", "x", "c"]
+    own = lambda *v: F.array(*map(F.lit, v))
+    got = one(spark, a=I.failure_topic(own("Odd", "OSError")), b=I.failure_topic(own("Odd")))
+    assert (got.a, got.b) == ("files", "unexpected")
