@@ -29,7 +29,6 @@ from .common import stored
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: Rules by name: the score's SQL over the base columns, in percent or in characters.
 RULES = {
@@ -56,14 +55,20 @@ def base_columns(docs: DataFrame, key: str = "doc_id", column: str = "text", car
         key,
         *carry,
         F.length(_without(F.col("t"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.length("t") - F.length(_without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.size("w").cast("long").alias("n_words"),
-        # each window by its hash: XXH64 of 8 words, so two windows of a text differ but in one of 2^64 cases
-        F.expr(f"CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) ELSE array() END").alias("h"),
+        # each word by its hash, so that windows need not read words eight times
+        F.expr(f"CASE WHEN size(w) >= {WINDOW} THEN transform(w, x -> xxhash64(x)) END").alias("g"),
     )
+    # a window's hash from those of its halves: of 2, then 4, then 8 words. XXH64 of XXH64, so two windows of a text
+    # share one by chance in one of 2^64 cases. Texts of fewer words than a window have none.
+    for name, of, step in (("g2", "g", 1), ("g4", "g2", 2), ("h", "g4", 4)):
+        halves = f"zip_with(slice({of}, 1, size({of}) - {step}), slice({of}, {step + 1}, size({of}) - {step}), (a, b) -> xxhash64(a, b))"
+        rows = rows.withColumn(name, F.expr(f"CASE WHEN {of} IS NOT NULL THEN {halves} END")).drop(of)
+    rows = rows.withColumn("h", F.coalesce("h", F.expr("array()")))
     # texts with a repeated window: places sorted by window, those with an equal neighbour, and the words they cover
     placed = "array_sort(transform(h, (x, i) -> struct(x AS x, i AS i)))"
     twice = "transform(filter(transform(s, (e, k) -> struct(e.i AS i, (k > 0 AND s[greatest(k - 1, 0)].x = e.x) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].x = e.x) AS r)), e -> e.r), e -> e.i)"
