@@ -85,7 +85,11 @@ def test_token_files_round_trip(spark, odd, none):
 
 def test_shards_roll_and_keep_order(spark, corpus):
     folder = scratch_path(spark, "roll")
-    shards = token_files.write_token_files(corpus, folder, WORD, 1, most=100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a shard takes whole batches
+    try:
+        shards = token_files.write_token_files(corpus, folder, WORD, 1, most=100)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert shards.count() > 5
     got = {r.doc_id: r for r in token_files.read_token_files(shards, folder).collect()}
     at = 0
