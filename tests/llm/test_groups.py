@@ -274,3 +274,43 @@ def test_stages_keep_columns_and_clean_rows(spark, odd):
     assert kept.columns == base.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert ids.count(None) == 2 and ids.count(3) == 1 and 4 not in ids
+
+
+def jaccard(a, b, width=5):
+    def shingles(text):
+        w = [x.lower() for x in WORD.findall(text or "")]
+        return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1
+
+
+def test_near_dedup_finds_all_of_similarity(spark):
+    rng = random.Random(21)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for i in range(25):
+        base = [f"b{i}w{rng.randrange(500)}" for _ in range(rng.randrange(40, 250))]
+        if i % 3 == 0:  # a common passage alone makes no group
+            base += passage.split()
+        for _ in range(rng.randrange(1, 7)):
+            words = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            rows.append((" ".join(words),))
+    chain = [f"c{k}" for k in range(80)]
+    for _ in range(12):  # a chain, whose ends are not alike
+        rows.append((" ".join(chain),))
+        chain = chain[6:] + [f"c{rng.randrange(10**6)}" for _ in range(6)]
+    docs = [(i, t, "en", "s", len(t)) for i, (t,) in enumerate(rows)]
+    label = roots(range(len(docs)), [(i, j) for i in range(len(docs)) for j in range(i) if jaccard(docs[i][1], docs[j][1]) >= 0.8])
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(got) == sorted(set(label.values())) and len(got) < len(docs) - 20
+
+
+def test_near_dedup_decides_by_row(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    docs = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (2, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3])]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3])])
