@@ -3,8 +3,10 @@
 Markup is stripped to lines, one for each block of the page; lines of menus,
 adverts and other surroundings become blank. The lengths of lines are summed
 over sliding windows. Where a sum surges over a threshold the text begins,
-where it dives to nothing the text ends, and what stands between is kept,
-short lines included.
+where it dives to next to nothing the text ends, and what stands between is
+kept, short lines included. So are short lines between and behind kept lines of
+the same container. Lines in main elements weigh more, and others less, the
+more of the page's text main elements hold.
 
 Cases: null and empty html, and pages of surroundings only, give the empty
 string and 0 characters. Unclosed elements end with their page or with an
@@ -29,7 +31,8 @@ AROUND = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "search"
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | AROUND
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MAIN = {"article", "main"}
-#: Words in class, id or role that name surroundings.
+CONTAINERS = {"article", "main", "section", "div", "center", "details", "td", "html", "body"}
+#: Whole tokens of class, id or role that name surroundings.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "sidebar", "side", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies", "disqus", "contentinfo", "complementary", "search", "form", "hidden"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -38,27 +41,28 @@ _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textare
 _SPACE = re.compile(r"\s+")
 
 
-def page_lines(page: str, window: int) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, characters inside links, and if it stands in a main element.
+def page_lines(page: str, window: int) -> list[tuple[str, int, bool, int]]:
+    """The page's blocks in order: text, characters inside links, if it stands in a main element, and the container of the block.
 
     Surroundings leave `window` blank lines, so that no window spans them.
     """
     lines, text, linked = [], [], 0
-    stack: list[tuple[str, bool]] = []  # open elements, and if all in it is left out
-    out, main, link = 0, 0, 0
-    blank = ("", 0, False)
+    stack: list[tuple[str, bool, int, int]] = []  # open elements, if all in it is left out, the containers around and of what is in it
+    out, main, link, opened = 0, 0, 0, 0
+    blank = ("", 0, False, -1)
 
     def end_line():
         nonlocal linked
         if text:
             if line := _SPACE.sub(" ", html.unescape("".join(text))).strip():
-                lines.append((line, linked, main > 0))
+                around = next((x[2] for x in reversed(stack) if x[0] in BLOCKS), 0)
+                lines.append((line, linked, main > 0, around))
             text.clear()
         linked = 0
 
     def close(entry):
         nonlocal out, main, link
-        name, hidden = entry
+        name, hidden, *_ = entry
         out -= hidden
         main -= name in MAIN
         link -= name == "a"
@@ -99,13 +103,16 @@ def page_lines(page: str, window: int) -> list[tuple[str, int, bool]]:
             tail = _RAW[name].search(page, at)
             at = tail.end() if tail else size
             continue
-        named = {w for g in _NAMED.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(g).lower())} if "=" in rest else ()
+        named = {w for g in _NAMED.findall(rest) for w in "".join(g).lower().split()} if "=" in rest else ()
         hidden = name in UNSEEN or name in AROUND or (name == "header" and not main) or (name not in ("html", "body") and not NAMES.isdisjoint(named))
         if name == "p" and stack and stack[-1][0] == "p":
             close(stack.pop())
-        stack.append((name, hidden))
         if hidden:
             end_line()
+        opened += 1
+        around = stack[-1][3] if stack else 0
+        stack.append((name, hidden, around, around if name not in CONTAINERS or name in ("html", "body") else opened))
+        if hidden:
             if name not in UNSEEN:
                 lines.extend([blank] * window)
         out += hidden
@@ -115,24 +122,32 @@ def page_lines(page: str, window: int) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(page: str, window: int = 3, surge: int = 80, link_share: float = 0.5) -> str:
+def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_share: float = 0.5) -> str:
     """Text between surge and dive points of the line-block distribution."""
     lines = page_lines(page, window)
-    inside = any(x[2] for x in lines)
-    # what a page marks as its main element is text from its first line on; else links and what is outside count as blank
-    size = [(len(t) if not inside or m else 0) * (inside or k <= link_share * max(1, len(t))) for t, k, m in lines]
+    # links count as blank
+    plain = [len(t) * (k <= link_share * max(1, len(t))) for t, k, *_ in lines]
+    share = sum(x for x, line in zip(plain, lines, strict=True) if line[2]) / max(1, sum(plain))
+    size = [int(x * (1 + 3 * share if line[2] else 1 - share)) for x, line in zip(plain, lines, strict=True)]
     blocks = [sum(size[i : i + window]) for i in range(len(size))]
-    least = 1 if inside else min(surge, max(blocks, default=0))
-    kept, i, n = [], 0, len(size)
+    most = max(blocks, default=0)
+    begin, end = min(surge, most), min(dive, most)
+    kept, i, n = set(), 0, len(size)
     while i < n:
-        if blocks[i] >= max(1, least):  # a surge
-            while i < n and blocks[i]:  # until the dive
+        if most and blocks[i] >= begin:  # a surge
+            while i < n and blocks[i] >= end:  # until the dive
                 if size[i]:
-                    kept.append(lines[i][0])
+                    kept.add(i)
                 i += 1
         else:
             i += 1
-    return "\n".join(kept)
+    seen = set()
+    for i, line in enumerate(lines):  # short lines between and behind
+        if i in kept:
+            seen.add(line[3])
+        elif plain[i] and line[3] in seen:
+            kept.add(i)
+    return "\n".join(lines[i][0] for i in sorted(kept))
 
 
 def _extract(batches, key: str, url: str, column: str, options: dict):

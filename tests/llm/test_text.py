@@ -36,6 +36,24 @@ def test_main_text(page):
     assert main_text(page) == PAGES[page]
 
 
+LONG = ("A sentence of a body that goes on and on. " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article class='card'><h3>Read on</h3></article>", f"{LONG}\n{LONG}"),
+        (f"<p>{LONG}</p><div class='ad'>Buy.</div><p>The end.</p>", f"{LONG}\nThe end."),
+        (f"<div><div>{LONG}</div><div class='ad'>Buy.</div><div>The end.</div></div>", f"{LONG}\nThe end."),
+        (f"<div class='no-sidebar search-results'><p>{LONG}</p></div>", LONG),
+        (f"<div>A line.</div><article><p>{LONG}</p><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_surge_and_dive_on_every_page(page, want):
+    got = main_text(page).split("\n")
+    assert [x for x in got if x != "Read on"] == want.split("\n")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("<>/ap \"'=&;!-dn")), max_size=80))
 def test_any_markup_ends(page):
