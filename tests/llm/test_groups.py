@@ -201,6 +201,13 @@ def test_language_model(request, name):
     assert P.score_documents(df.where("false")).count() == 0
 
 
+def test_frequent_words_are_those_of_all_training_rows(spark):
+    rows = [(None, f"a w{i} w{i % 7}") for i in range(9000)]
+    count = Counter(t for _, x in rows for t in x.split())
+    want = [b"", *(w.encode() for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:8])]
+    assert list(P.frequent_words(spark.createDataFrame(rows, "doc_id long, text string"), 8)) == want
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     key = np.unique(rng.integers(0, 40 * P.CONTEXTS, 600))
