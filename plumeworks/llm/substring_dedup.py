@@ -75,10 +75,12 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 class Words:
     """The words of a batch of texts: where they lie in its bytes, their hashes and their texts."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, lower: bool = False):
+        """lower: take A-Z for a-z."""
         column = column.fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+        raw = np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8) if lower else raw
         offsets = offsets - offsets[0]
         seen = ~_SPACE[raw]
         cut = np.zeros(len(raw) + 1, bool)
