@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share, removed when the driver ends.
 
-    A local temporary folder is used only where spark.checkpoint.dir is unset.
+    A local temporary folder is used only where spark.checkpoint.dir is unset and all
+    tasks run on this machine; elsewhere the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="plumeworks-")
     path = f"{base.rstrip('/')}/plumeworks-{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)

@@ -8,27 +8,30 @@ more of the item's 4-grams than k edits can spoil, Myers' bit-parallel distance
 finds the least number of edits with which the item occurs there.
 
 Items are taken in blocks of a bounded number of characters; each block is sent
-to all tasks and scans all texts.
+to all tasks and scans all texts, one block after the other.
 
-Cases: null and empty texts match nothing. Items of fewer than `least_chars`
-characters after reduction (null and empty ones too) identify no source and are
-matched by none. Repeated items are reported each under its id, repeated rows
-each for itself. Texts are scanned whole; other columns are ignored.
+Cases: null and empty texts match nothing. Items of fewer than SHORT characters
+after reduction bear no edits and must stand between word boundaries; null
+items and items without words are matched by none. Repeated items are reported
+each under its id, repeated rows each for itself. Of equally good places of an
+item the first is given. Texts are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from functools import partial, reduce
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, slices, texts
+from .common import id_type, slices, stored, texts
 
 WORD = re.compile(r"\w+")
 GRAM = 4
+#: Items of fewer characters are matched as they are, between word boundaries.
+SHORT = 32
 
 
 def reduced(text: str | None) -> str:
@@ -77,7 +80,7 @@ class PieceIndex:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items = [(key, text, int(len(text) * error_rate)) for key, text in items]
+        self.items = [(key, text, int(len(text) * error_rate) if len(text) >= SHORT else 0) for key, text in items]
         self.grams = [grams(text) for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, budget) in enumerate(self.items):
@@ -101,6 +104,10 @@ class PieceIndex:
         found = []
         for i, starts in sorted(begins.items()):
             key, item, budget = self.items[i]
+            if len(item) < SHORT:
+                if whole := [s for s in sorted(starts) if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")]:
+                    found.append((key, 0, whole[0], whole[0] + len(item)))
+                continue
             best = None
             windows: list[list[int]] = []
             for s in sorted(starts):
@@ -153,12 +160,12 @@ def _clean(batches, items: list[tuple[int, str]], error_rate: float):
         yield batch.filter(pa.array([not index.matches(reduced(x)) for x in texts(batch)], pa.bool_()))
 
 
-def item_blocks(items: DataFrame, least_chars: int, block_chars: int):
-    """Blocks of reduced items (id, text) of about block_chars characters; the driver holds one more than it has yielded."""
+def item_blocks(items: DataFrame, block_chars: int):
+    """Blocks of reduced items (id, text) of about block_chars characters; the driver holds two at a time."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator():
         text = reduced(row[1])
-        if len(text) >= least_chars:
+        if text:
             block.append((row[0], text))
             size += len(text)
         if size >= block_chars:
@@ -168,15 +175,33 @@ def item_blocks(items: DataFrame, least_chars: int, block_chars: int):
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
-    """One row per document row and benchmark item that it holds: edits, and start and end in the reduced text."""
+def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
+    """One row per document row and benchmark item that it holds: edits, and start and end in the reduced text.
+
+    Where there are several blocks, each block's rows are written before the next is taken.
+    """
     schema = f"doc_id {id_type(docs)}, item_id long, edits long, start long, end long"
-    found = [docs.select("doc_id", "text").mapInArrow(partial(_matches, items=block, error_rate=error_rate), schema) for block in item_blocks(items, least_chars, block_chars)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    found = None
+    for block, last in _with_last(item_blocks(items, block_chars)):
+        more = docs.select("doc_id", "text").mapInArrow(partial(_matches, items=block, error_rate=error_rate), schema)
+        more = more if last and found is None else stored(more, "matches")
+        found = more if found is None else found.unionByName(more)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, least_chars: int = 32, block_chars: int = 2_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of docs, with all columns, that hold no benchmark item."""
-    for block in item_blocks(items, least_chars, block_chars):
+    for block, last in _with_last(item_blocks(items, block_chars)):
         docs = docs.mapInArrow(partial(_clean, items=block, error_rate=error_rate), docs.schema)
+        docs = docs if last else stored(docs, "clean")
     return docs
+
+
+def _with_last(blocks):
+    """Each block, and if it is the last."""
+    blocks = iter(blocks)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        yield block, after is None
+        block = after

@@ -4,17 +4,22 @@ Documents longer than a sequence are cut, the short piece first. Pieces are
 dealt by hash into groups of a bounded expected size; each is packed best-fit
 by falling length, and then documents move between underfull sequences, one for
 one, two for one or alone, as long as the sum of squared fills rises, which
-empties sequences. A group leaves about one sequence that could be saved.
+empties sequences, until no move raises it or no packing can need fewer
+sequences. The sequence of each group that is less than half full, one at most,
+is packed again with those of other groups.
 
 Cases: null and empty texts are one piece of the end id. Repeated rows are
-packed each for itself. Empty tables give no row. Documents of any length are
-cut; other columns are ignored.
+packed each for itself and dealt to different groups. Pieces of one length are
+ordered by document and piece, then by their ids. Empty tables give no row.
+Documents of any length are cut; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, slices, texts
+from .common import id_type, slices, stored, texts
 from .pretokens import encode_texts
 
 
@@ -50,23 +55,23 @@ def best_fit(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return place, np.array(fills, np.int64)
 
 
-def improve(lens: np.ndarray, place: np.ndarray, fills: np.ndarray, size: int, rounds: int = 40) -> None:
+def improve(lens: np.ndarray, place: np.ndarray, fills: np.ndarray, size: int, rounds: int | None = None) -> None:
     """Moves and swaps between underfull bins that raise the sum of squared fills, in place.
 
-    The emptiest bins give, a few for each bin above the least number that any packing needs; all underfull bins take.
+    Underfull bins give, the emptiest first, and all underfull bins take, until no move gains or the
+    least number of bins that any packing needs is reached. rounds: stop after so many, None for no limit.
     """
     items = np.flatnonzero(fills[place] < size)
     least = -(-int(lens.sum()) // size)
-    for _ in range(rounds):
-        spare = int((fills > 0).sum()) - least
-        if spare <= 0:
+    for _ in range(rounds) if rounds is not None else count():
+        if int((fills > 0).sum()) <= least:
             return
         items = items[fills[place[items]] < size]
         length, at = lens[items], place[items]
         changed = False
         order = np.argsort(at, kind="stable")
         groups = {int(at[g[0]]): list(g) for g in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)} if len(items) else {}
-        for a in sorted(groups, key=lambda b: fills[b])[: 8 + 4 * spare]:
+        for a in sorted(groups, key=lambda b: fills[b]):
 
             def give(parts: list[int], a=a) -> bool:
                 """Hand these pieces of bin a over to a fuller one, for the piece of it that gains most or for none."""
@@ -125,13 +130,16 @@ def pack(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batches, tokenizer: str, end_id: int, size: int):
+    seen: Counter = Counter()  # how often the task has met a row, so that repeated ones are dealt apart
     for batch in slices(batches):
         ids, lens = encode_texts(texts(batch), tokenizer)
         keys, ends = batch.column("doc_id"), lens.cumsum()
-        row, piece, start, length, crc = [], [], [], [], []
+        row, piece, start, length, crc, nth = [], [], [], [], [], []
+        names = keys.to_pylist()
         for i, (a, b) in enumerate(zip(ends - lens, ends, strict=True)):
             raw = np.append(ids[a:b], end_id).astype("<u4")
             n = len(raw)
+            seen[name := (names[i], zlib.crc32(raw.tobytes()))] += 1
             cuts = [0, *range(n % size or size, n + 1, size)]
             for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 row.append(i)
@@ -139,13 +147,16 @@ def _pieces(batches, tokenizer: str, end_id: int, size: int):
                 start.append(x)
                 length.append(y - x)
                 crc.append(zlib.crc32(raw[x:y].tobytes()))
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                nth.append(seen[name])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(nth, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
 
 def _pack_group(part: pd.DataFrame, size: int) -> pd.DataFrame:
     part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
-    place, offset = pack(part["length"].to_numpy(), size)
-    return part.assign(sequence_id=part["pack_group"].to_numpy() * (1 << 32) + place, offset=offset).drop(columns="pack_group")
+    lens = part["length"].to_numpy()
+    place, offset = pack(lens, size)
+    fill = np.bincount(place, lens)[place].astype(np.int64)
+    return part.assign(sequence_id=part["pack_group"].to_numpy() * (1 << 32) + place, offset=offset, fill=fill)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, group: int = 50_000) -> DataFrame:
@@ -153,9 +164,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
 
     group: documents that are packed together, about.
     """
-    kind = id_type(docs)
-    columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    columns = f"doc_id {id_type(docs)}, piece int, start long, length long, ids_crc32 long"
+    packed = f"{columns}, pack_group long, sequence_id long, offset long, fill long"
     groups = max(1, round(docs.count() / group))
-    pieces = docs.select("doc_id", "text").mapInArrow(partial(_pieces, tokenizer=tokenizer, end_id=end_id, size=size), columns)
-    dealt = pieces.withColumn("pack_group", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {groups})"))
-    return dealt.groupBy("pack_group").applyInPandas(partial(_pack_group, size=size), f"{columns}, sequence_id long, offset long")
+    pieces = docs.select("doc_id", "text").mapInArrow(partial(_pieces, tokenizer=tokenizer, end_id=end_id, size=size), f"{columns}, nth long")
+    dealt = pieces.withColumn("pack_group", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32, nth), {groups})")).drop("nth")
+    make = partial(_pack_group, size=size)
+    rows = dealt.groupBy("pack_group").applyInPandas(lambda part: make(part), packed)
+    if groups > 1:
+        rows = stored(rows, "packed")
+        # a group has one sequence of less than half at most, so `group` groups have no more pieces than documents were packed together before
+        rest = rows.where(f"fill * 2 < {size}").select(*(x.split()[0] for x in columns.split(", ")), F.expr(f"{groups} + pack_group div {group}").alias("pack_group"))
+        rows = rows.where(f"fill * 2 >= {size}").unionByName(rest.groupBy("pack_group").applyInPandas(lambda part: make(part), packed))
+    return rows.drop("pack_group", "fill")

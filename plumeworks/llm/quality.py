@@ -3,12 +3,14 @@
 A rule is a score that rises with badness; a cutoff rejects what scores above
 it. For each stratum and rule, labelled good documents test the cutoffs from
 the most lenient to the strictest: a cutoff stands if the exact binomial tail
-P(X <= rejected | n, risk) is at most the error level, and testing stops at the
-first that fails, so that the sequence needs no further correction. The level
-is divided by the number of tests that run side by side (Bonferroni over strata
-and rules). With probability 1 - delta no chosen cutoff rejects more than
-`risk` of a stratum's good documents. A stratum or rule without a standing
-cutoff rejects nothing.
+P(X <= rejected | n, share) is at most the error level, and testing stops at the
+first that fails, so that the sequence needs no further correction. A rule's
+share is `risk` divided by the number of rules, so that the rules together
+reject no more than `risk` even where each rejects other documents; the error
+level is `delta` divided by the number of tests that run side by side
+(Bonferroni over strata and rules). With probability 1 - delta the chosen
+cutoffs reject no more than `risk` of any stratum's good documents, all rules
+together. A stratum or rule without a standing cutoff rejects nothing.
 
 All of it is DataFrame functions. Windows of words are compared inside each
 row; the only shuffles are of counts and of a few numbers a document.
@@ -83,11 +85,15 @@ def base_failed() -> Column:
 
 
 def binomial_tail(n: str, k: str, p: float) -> str:
-    """SQL for P(X <= k) with X binomial (n, p): terms from the last down, until they no longer matter."""
+    """SQL for P(X <= k) with X binomial (n, p): terms from the last down, until they no longer matter.
+
+    For k <= np the term t below the last is less than it by exp(-t^2 / 2np(1-p)) at least, so that
+    those more than nine standard deviations below are under 1e-17 of it.
+    """
     # log C(n, k) by Stirling's series for the factorials, then each term from the one above it
     lf = "(CASE WHEN {x} < 2 THEN 0D ELSE ({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046727D + 1D / (12D * {x}) - 1D / (360D * {x} * {x} * {x}) + 1D / (1260D * pow({x}, 5)) - 1D / (1680D * pow({x}, 7)) END)".format
     top = f"exp({lf(x=f'cast({n} AS double)')} - {lf(x=f'cast({k} AS double)')} - {lf(x=f'cast({n} - {k} AS double)')} + {k} * ln({p}D) + ({n} - {k}) * ln({1 - p!r}D))"
-    steps = f"least({k}, 400)"
+    steps = f"least({k}, 50 + ceil(9 * sqrt({n} * {p * (1 - p)!r}D)))"
     ratio = f"({k} - j + 1) / ({n} - {k} + j) * {(1 - p) / p!r}D"
     return f"CASE WHEN {k} >= {n} THEN 1D WHEN {k} > {n} * {p}D THEN 1D ELSE {top} * aggregate(CASE WHEN {k} > 0 THEN sequence(1, cast({steps} AS int)) ELSE array() END, struct(1D AS s, 1D AS t), (a, j) -> struct(a.s + a.t * ({ratio}) AS s, a.t * ({ratio}) AS t), a -> a.s) END"
 
@@ -95,6 +101,7 @@ def binomial_tail(n: str, k: str, p: float) -> str:
 def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.05, delta: float = 0.05, key: str = "doc_id") -> DataFrame:
     """One row per stratum and rule with a standing cutoff: the strictest of them.
 
+    risk: the share of good documents that all rules together may reject.
     scored has the key, the stratum and the base columns; labels has the key and quality (1: good).
     """
     good = labels.where("quality = 1").select(key).distinct()
@@ -105,7 +112,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str, risk: float = 0.
     tests = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, c in enumerate(CUTOFFS)))
     side_by_side = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("tests"))  # one row, of a count
     tested = counts.select("stratum", "rule", "n", F.explode(tests).alias("t")).select("stratum", "rule", "n", "t.*").join(F.broadcast(side_by_side))
-    tested = tested.withColumn("fails", F.expr(binomial_tail("n", "k", risk)) > F.lit(delta) / F.col("tests"))
+    tested = tested.withColumn("fails", F.expr(binomial_tail("n", "k", risk / len(RULES))) > F.lit(delta) / F.col("tests"))
     first = tested.groupBy("stratum", "rule").agg(F.min(F.when(F.col("fails"), F.col("i"))).alias("end"), F.max("n").alias("n_good"))
     standing = tested.join(first, ["stratum", "rule"]).where("end IS NULL OR i < end")
     return standing.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.max("n_good").alias("n_good"))

@@ -129,7 +129,15 @@ def test_packing_of_odd_rows(odd, none):
 
 
 def test_packing_in_groups(corpus):
-    check_packing(packing.pack_documents(corpus, BYTE, size=256, group=20).collect(), corpus.collect(), 256)
+    rows = packing.pack_documents(corpus, BYTE, size=256, group=20).collect()
+    used = check_packing(rows, corpus.collect(), 256)
+    assert used <= 1.1 * -(-sum(r.length for r in rows) // 256)
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    rows = spark.createDataFrame([(None, "the same text")] * 90, "doc_id long, text string").coalesce(2)
+    got = packing.pack_documents(rows, BYTE, size=64, group=10)
+    assert got.count() == 90 and len({r.g for r in got.selectExpr("sequence_id div 4294967296L as g").collect()}) > 3
 
 
 @settings(max_examples=60, deadline=None)
