@@ -17,10 +17,15 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top.cast("double") / bottom.cast("double")).otherwise(F.lit(0.0))
 
 
+def rank_of(n: Column, percent: float) -> Column:
+    """The rounded rank of a percentile among n values (halves to even), from 1 to n."""
+    return F.least(n, F.greatest(F.lit(1), F.bround(percent / 100 * n).cast("int")))
+
+
 def nearest_rank(ascending: Column, percent: float) -> Column:
     """The element of an ascending array at the rounded rank (halves to even), 0 for an empty one."""
     n = F.size(ascending)
-    rank = F.least(n, F.greatest(F.lit(1), F.bround(percent / 100 * n).cast("int")))
+    rank = rank_of(n, percent)
     return F.when(n > 0, F.element_at(ascending, F.greatest(rank, F.lit(1)))).otherwise(F.lit(0.0))
 
 

@@ -73,6 +73,20 @@ def normalise_email(column: Column) -> Column:
     return F.lower(F.trim(column))
 
 
+def same_email(column: Column, address: str) -> Column:
+    """Equality without regard to case; no other rule is applied."""
+    return F.lower(column) == address.lower()
+
+
+def email_ends_with(column: Column, suffix: str) -> Column:
+    return F.lower(column).endswith(suffix.lower())
+
+
+def token_reference(token: Column) -> Column:
+    """Twelve hex digits that name a secret in a log and don't give it away."""
+    return F.when(token.isNull() | (token == ""), "none").otherwise(F.substring(F.sha2(F.encode(token, "UTF-8"), 256), 1, 12))
+
+
 def day_label(day: Column) -> Column:
     return F.date_format(day, "MMM d")
 

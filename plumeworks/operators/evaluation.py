@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
-from ..functions.stats import confusion_rates, nearest_rank, ratio
+from ..functions.stats import confusion_rates, rank_of, ratio
 
 # Fixed values of the sweep.
 THRESHOLDS = (0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70)
@@ -67,11 +69,24 @@ def dataset_audit(docs: DataFrame) -> DataFrame:
 
 
 def latency_report(samples: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles of measured samples and errors of all, by endpoint."""
-    took = F.array_sort(F.collect_list(F.when(F.col("measured"), F.col("elapsed"))))
-    got = samples.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), took.alias("took"))
-    at = {f"p{q}": F.round(nearest_rank(F.col("took"), q), 6) for q in (50, 95)}
-    got = got.select("endpoint", "n", "errors", *(v.alias(k) for k, v in at.items()), F.round(nearest_rank(F.col("took"), 100), 6).alias("max_elapsed"))
+    """Nearest-rank percentiles of measured samples and errors of all, by endpoint.
+
+    Equal samples are counted, and counts are summed over buckets of nearly equal samples first. Only the
+    buckets that hold a wanted rank are put in order, so that no endpoint's samples meet in one place.
+    """
+    totals = samples.groupBy("endpoint").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.count_if(F.col("measured") & F.col("elapsed").isNotNull()).alias("m"))
+    bucket = F.when(F.col("elapsed") > 0, F.floor(F.log2("elapsed") * 256)).otherwise(F.lit(-(1 << 40)))
+    values = samples.where("measured and elapsed is not null").groupBy("endpoint", "elapsed").agg(F.count("*").alias("c")).withColumn("bucket", bucket)
+    buckets = values.groupBy("endpoint", "bucket").agg(F.sum("c").alias("b"))
+    buckets = buckets.withColumn("before", F.sum("b").over(Window.partitionBy("endpoint").orderBy("bucket")) - F.col("b"))
+    ranks = F.array(*(F.struct(F.lit(q).alias("q"), rank_of(F.col("m"), q).cast("bigint").alias("rank")) for q in (50, 95, 100)))
+    wanted = totals.select("endpoint", F.explode(ranks).alias("r")).select("endpoint", "r.*")
+    hits = buckets.join(wanted, "endpoint").where("before < rank and rank <= before + b").select("endpoint", "bucket", "q", (F.col("rank") - F.col("before")).alias("rest"))
+    inside = values.join(hits.select("endpoint", "bucket").distinct(), ["endpoint", "bucket"], "left_semi")
+    inside = inside.withColumn("up_to", F.sum("c").over(Window.partitionBy("endpoint", "bucket").orderBy("elapsed")))
+    found = hits.join(inside, ["endpoint", "bucket"]).where("up_to >= rest").groupBy("endpoint").agg(*(F.min(F.when(F.col("q") == q, F.col("elapsed"))).alias(f"e{q}") for q in (50, 95, 100)))
+    at = {q: F.round(F.coalesce(f"e{q}", F.lit(0.0)), 6) for q in (50, 95, 100)}
+    got = totals.join(found, "endpoint", "left").select("endpoint", "n", "errors", at[50].alias("p50"), at[95].alias("p95"), at[100].alias("max_elapsed"))
     return got.withColumn("passed", (F.col("errors") == 0) & (F.col("p95") <= 2.0))
 
 
@@ -107,7 +122,7 @@ def dominant_severity(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def component_features(masks: DataFrame, key: str, column: str, side: int, threshold: float) -> DataFrame:
-    """Pixels of the largest 8-connected component of square masks, and its compactness."""
+    """Pixels of the largest 8-connected component of square masks, and the compactness of the largest contour."""
 
     def fold(batches):
         for part in batches:
@@ -121,26 +136,63 @@ def component_features(masks: DataFrame, key: str, column: str, side: int, thres
     return masks.select(key, column).mapInPandas(fold, f"{key} {kind}, pixels int, compactness double")
 
 
-def largest_component(on: np.ndarray) -> tuple[int, float]:
-    """Size of the largest component, and 4 pi A / P^2 over its border edges, in [0, 1]."""
-    seen, best = np.zeros_like(on), []
-    for start in zip(*np.nonzero(on), strict=True):
+_AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]  # clockwise from the left
+
+
+def components_of(on: np.ndarray) -> list[set[tuple[int, int]]]:
+    """The 8-connected components of a mask, in the order of their first pixels."""
+    seen, found = np.zeros_like(on), []
+    for start in zip(*(x.tolist() for x in np.nonzero(on)), strict=True):
         if seen[start]:
             continue
-        stack, cells = [start], []
+        stack, cells = [start], {start}
         seen[start] = True
         while stack:
             r, c = stack.pop()
-            cells.append((r, c))
-            for p in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            for p in ((r + i, c + j) for i, j in _AROUND):
                 if 0 <= p[0] < on.shape[0] and 0 <= p[1] < on.shape[1] and on[p] and not seen[p]:
                     seen[p] = True
+                    cells.add(p)
                     stack.append(p)
-        if len(cells) > len(best):
-            best = cells
-    inside = set(best)
-    edge = sum((r + i, c + j) not in inside for r, c in best for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)))
-    return len(best), round(min(1.0, 4 * np.pi * len(best) / edge**2), 6) if edge else 0.0
+        found.append(cells)
+    return found
+
+
+def outer_border(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pixels met on a walk around a component, counter-clockwise from its first pixel; thin parts are met twice."""
+    first = min(cells)
+    ring = lambda p, k: (p[0] + _AROUND[k % 8][0], p[1] + _AROUND[k % 8][1])
+    last = next((q for k in range(8) if (q := ring(first, k)) in cells), None)
+    if last is None:
+        return [first]
+    walk, at, back = [first], first, last
+    while True:
+        from_ = next(k for k in range(8) if ring(at, k) == back)
+        ahead = next(q for k in range(from_ - 1, from_ - 9, -1) if (q := ring(at, k)) in cells)
+        if ahead == first and at == last:
+            return walk
+        walk.append(ahead)
+        at, back = ahead, at
+
+
+def contour(cells: set[tuple[int, int]]) -> tuple[float, float]:
+    """Area and length of the polygon through the centres of a component's border pixels."""
+    walk = outer_border(cells)
+    steps = list(zip(walk, [*walk[1:], walk[0]], strict=True))
+    area = abs(sum(b * c - a * d for (a, b), (c, d) in steps)) / 2
+    return area, sum(math.hypot(a - c, b - d) for (a, b), (c, d) in steps)
+
+
+def largest_component(on: np.ndarray) -> tuple[int, float]:
+    """Pixels of the largest component, and 4 pi A / P^2 of the contour that encloses most, in [0, 1].
+
+    A contour without area, of a single pixel or a line, has 0. Of equal contours the last one counts.
+    """
+    found = components_of(on)
+    if not found:
+        return 0, 0.0
+    area, length = max(map(contour, reversed(found)), key=lambda x: x[0])
+    return max(map(len, found)), round(min(1.0, 4 * math.pi * area / length**2), 6) if area > 0 else 0.0
 
 
 def early_stop(history: DataFrame, patience: int, margin: float = 1e-4) -> DataFrame:
@@ -164,7 +216,7 @@ def best_candidate(candidates: DataFrame, by: str) -> DataFrame:
 
 
 def otsu(values: np.ndarray) -> int:
-    """The grey level that best parts a histogram in two; levels at and below it are dark."""
+    """The grey level that best parts a histogram in two, the first of equals."""
     hist = np.bincount(values, minlength=256).astype(float)
     n, mass = hist.cumsum(), (hist * np.arange(256)).cumsum()
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -173,8 +225,11 @@ def otsu(values: np.ndarray) -> int:
 
 
 def shadow_score(values: np.ndarray) -> float:
-    """How much a crop looks like a shadow on a bright ground: the parts' separation, less for small dark parts."""
-    dark = values <= otsu(values)
+    """How much a crop looks like a shadow on a bright ground: the parts' separation, less for small dark parts.
+
+    What lies strictly below the level is dark, so a crop of two levels has no dark part.
+    """
+    dark = values < otsu(values)
     share = float(dark.mean())
     if not 0.08 <= share <= 0.75:
         return 0.0

@@ -71,23 +71,27 @@ def image_policy(w: Column, h: Column) -> Column:
 
 
 def sample_frames(frames: DataFrame, rate: int = 5, max_frames: int = 300, max_seconds: float | None = None) -> DataFrame:
-    """Every rate-th frame of a clip up to a number and a time, ending at the third decode failure in a row."""
-    rows = frames.where(F.col("frame_index") % rate == 0)
-    if max_seconds is not None:
-        rows = rows.where(F.col("seconds") <= max_seconds)
+    """Every rate-th decoded frame of a clip up to a number and a time, ending at the third decode failure in a row.
+
+    Failures are counted over all frames of the clip, sampled or not.
+    """
+    rows = frames if max_seconds is None else frames.where(F.col("seconds") <= max_seconds)
     w = Window.partitionBy("clip_id").orderBy("frame_index")
-    rows = rows.withColumn("place", F.row_number().over(w) - F.row_number().over(Window.partitionBy("clip_id", "decoded").orderBy("frame_index")))
-    bad = F.row_number().over(Window.partitionBy("clip_id", "decoded", "place").orderBy("frame_index"))
-    rows = rows.withColumn("streak", F.when(~F.col("decoded"), bad).otherwise(0))
-    rows = rows.withColumn("ended", F.max((F.col("streak") >= 3).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where((F.col("ended") == 0) & F.col("decoded"))
-    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= max_frames).drop("streak", "ended")
+    failed = [~F.col("decoded"), *(~F.lag("decoded", k, True).over(w) for k in (1, 2))]
+    rows = rows.withColumn("third_", (failed[0] & failed[1] & failed[2]).cast("int"))
+    rows = rows.withColumn("ended_", F.max("third_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where((F.col("ended_") == 0) & F.col("decoded") & (F.col("frame_index") % max(1, rate) == 0))
+    return rows.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= max(1, max_frames)).drop("third_", "ended_")
+
 
+def dedup_newest(uploads: DataFrame, present: str | None = None) -> DataFrame:
+    """One row per account and checksum: the newest, which an equal upload would be given.
 
-def dedup_newest(uploads: DataFrame) -> DataFrame:
-    """One row per account and checksum: the newest."""
+    present: a column that tells if the row's file still exists; a newest row without its file is no duplicate of anything.
+    """
     w = Window.partitionBy("user_id", "checksum").orderBy(F.desc("uploaded_at"), F.desc("upload_id"))
-    return uploads.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+    newest = uploads.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1").drop("rn_")
+    return newest.where(F.col(present)) if present else newest
 
 
 def admit(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -184,9 +188,12 @@ def failure_topic(classes: Column) -> Column:
 
 
 def claims(attempts: DataFrame) -> DataFrame:
-    """Attempts to claim queued jobs: of each job's, the first one wins and changes one row, others change none."""
+    """Attempts to claim jobs: the first of each queued job wins and changes one row, others change none.
+
+    attempts has job_id, ts, attempt_id and status, the job's state before all attempts.
+    """
     w = Window.partitionBy("job_id").orderBy("ts", "attempt_id")
-    return attempts.withColumn("rows_affected", (F.row_number().over(w) == 1).cast("int"))
+    return attempts.withColumn("rows_affected", ((F.row_number().over(w) == 1) & (F.col("status") == "queued")).cast("int"))
 
 
 def settings_update(current: DataFrame, patches: DataFrame) -> DataFrame:

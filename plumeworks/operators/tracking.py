@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,8 @@ from ..functions.severity import severity_of_rank, severity_rank
 # Fixed values of association and persistence.
 MIN_IOU, GAP = 0.3, 2
 MIN_HITS, MIN_RUN, MIN_FRACTION = 4, 3, 0.30
+# Fixed values of progress writes: the longest stage, and states in which a run has ended.
+STAGE_LENGTH, ENDED = 50, ("done", "failed")
 
 
 def step_index(detections: DataFrame, clip: str = "clip_id", frame: str = "frame_index") -> DataFrame:
@@ -29,18 +33,18 @@ def islands(rows: DataFrame, by: list[str], order: list[Column], flag: Column) -
     return rows.withColumn("island", place - within)
 
 
-def track_counters(observations: DataFrame, key: str, order: list[str]) -> DataFrame:
+def track_counters(observations: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """Observations, hits, longest run, peak, span and latest type of tracks whose rows are all consecutive steps."""
-    cols = [F.col(c) for c in order]
-    rows = islands(observations, [key], cols, F.col("fired"))
-    runs = rows.groupBy(key, "fired", "island").agg(
+    keys = [key] if isinstance(key, str) else key
+    rows = islands(observations, keys, [F.col(c) for c in order], F.col("fired"))
+    runs = rows.groupBy(*keys, "fired", "island").agg(
         F.count("*").alias("n"),
         F.max(F.when(F.col("fired"), F.col("intensity"))).alias("peak"),
         F.min(F.struct(*order)).alias("first_"),
         F.max(F.struct(*order)).alias("last_"),
         F.max_by("vehicle_type", F.struct(*order)).alias("type_"),
     )
-    got = runs.groupBy(key).agg(
+    got = runs.groupBy(*keys).agg(
         F.sum("n").alias("observations"),
         F.coalesce(F.sum(F.when(F.col("fired"), F.col("n"))), F.lit(0)).alias("hits"),
         F.coalesce(F.max(F.when(F.col("fired"), F.col("n"))), F.lit(0)).alias("longest_run"),
@@ -77,15 +81,15 @@ def readable(b) -> bool:
 
 
 class Tracker:
-    """Greedy association of one clip's detections with live tracks."""
+    """Greedy association of one clip's detections with live tracks; tracks beyond the gap are counted and dropped."""
 
-    def __init__(self, tracks: list[dict] | None = None, step: int = 0):
-        self.tracks, self.step = tracks or [], step
+    def __init__(self, tracks: list[dict] | None = None, step: int = 0, count: int = 0):
+        self.tracks, self.step, self.count = tracks or [], step, count
 
     def update(self, boxes: list) -> list[int]:
         """The track of each detection of a frame that has some, in detection order."""
         self.step += 1
-        live = [t for t in self.tracks if self.step - t["last"] <= GAP]
+        live = self.tracks = [t for t in self.tracks if self.step - t["last"] <= GAP]
         pairs = sorted((-v, d, k) for d, b in enumerate(boxes) for k, t in enumerate(live) if (v := overlap(b, t["box"])) >= MIN_IOU)
         taken, given = {}, set()
         for _, d, k in pairs:
@@ -96,7 +100,8 @@ class Tracker:
         for d, b in enumerate(boxes):
             t = taken.get(d)
             if t is None:
-                t = {"id": len(self.tracks) + 1, "box": None, "last": 0}
+                self.count += 1
+                t = {"id": self.count, "box": None, "last": 0}
                 self.tracks.append(t)
             t["last"] = self.step
             if readable(b):
@@ -105,49 +110,44 @@ class Tracker:
         return out
 
 
-_DETECTION = "clip_id string, frame_index long, det_idx int, track_id int, step int"
-
-
 def _fold_clips(batches):
-    """Association over rows sorted by clip, frame and detection; a clip may span batches."""
-    clip, frame, tracker, boxes, places = None, None, Tracker(), [], []
-
-    def flush(out: list) -> None:
-        if boxes:
-            tracks = tracker.update(boxes)
-            out += [(clip, frame, d, t, tracker.step) for d, t in zip(places, tracks, strict=True)]
-            boxes.clear()
-            places.clear()
+    """Association over rows sorted by clip, frame and detection; a clip and a frame may span batches."""
+    tracker, clip, open_ = Tracker(), object(), None
+
+    def tracked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal tracker, clip
+        ids, steps = [], []
+        columns = [batch.column(c).to_pylist() for c in ("clip_id", "frame_index", *"xywh")]
+        for (c, _), rows in groupby(zip(*columns, strict=True), key=itemgetter(0, 1)):
+            if c != clip:
+                tracker, clip = Tracker(), c
+            got = tracker.update([None if r[2] is None else r[2:] for r in rows])
+            ids += got
+            steps += [tracker.step] * len(got)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32()), pa.array(steps, pa.int32())], [*batch.schema.names, "track_id", "step"])
 
     for batch in batches:
-        out: list = []
-        for c, f, d, x, y, w, h in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if (c, f) != (clip, frame):
-                flush(out)
-                if c != clip:
-                    tracker = Tracker()
-                clip, frame = c, f
-            boxes.append(None if x is None else (x, y, w, h))
-            places.append(d)
-        yield _rows(out)
-    out = []
-    flush(out)
-    yield _rows(out)
-
-
-def _rows(out: list) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    columns = list(zip(*out, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _DETECTION.split(", ")])
+        if open_ is not None:
+            batch = pa.concat_batches([open_, batch])
+        if not batch.num_rows:
+            continue
+        frames = list(zip(batch.column("clip_id").to_pylist(), batch.column("frame_index").to_pylist(), strict=True))
+        whole = next((i + 1 for i in range(len(frames) - 1, -1, -1) if frames[i] != frames[-1]), 0)
+        open_ = batch.slice(whole)
+        if whole:
+            yield tracked(batch.slice(0, whole))
+    if open_ is not None and open_.num_rows:
+        yield tracked(open_)
 
 
 def associate(detections: DataFrame) -> DataFrame:
-    """Each detection with its track and step; clips are folded in frame order, one state a clip in memory.
+    """Each detection, all its columns with it, with its track and step; clips are folded in frame order, one state a clip in memory.
 
-    detections: clip_id, frame_index, det_idx (rank by confidence), x, y, w, h.
+    detections: clip_id, frame_index, det_idx (rank by confidence), x, y, w, h, and others.
     """
-    rows = detections.select("clip_id", F.col("frame_index").cast("bigint").alias("frame_index"), F.col("det_idx").cast("int").alias("det_idx"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
-    return rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_index", "det_idx").mapInArrow(_fold_clips, _DETECTION)
+    rows = detections.withColumns({"frame_index": F.col("frame_index").cast("bigint"), "det_idx": F.col("det_idx").cast("int"), **{c: F.col(c).cast("double") for c in "xywh"}})
+    schema = rows.withColumns({"track_id": F.lit(0), "step": F.lit(0)}).schema
+    return rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_index", "det_idx").mapInArrow(_fold_clips, schema)
 
 
 def tracked_counters(tracked: DataFrame) -> DataFrame:
@@ -200,11 +200,13 @@ def clip_verdict(detections: DataFrame, tracks: DataFrame, frames: DataFrame) ->
 
 
 def iou_pairs(detections: DataFrame) -> DataFrame:
-    """Candidate pairs of a clip's detections in neighbouring frames that overlap enough."""
-    b = box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    left = detections.select("clip_id", F.col("frame").alias("f1"), F.col("vehicle_id").alias("v1"), b.alias("a"))
-    right = detections.select("clip_id", (F.col("frame") - 1).alias("f1"), F.col("vehicle_id").alias("v2"), b.alias("b"))
-    return left.join(right, ["clip_id", "f1"]).withColumn("overlap", iou(F.col("a"), F.col("b"))).where(F.col("overlap") >= MIN_IOU).select("clip_id", "f1", "v1", "v2", F.round("overlap", 6).alias("overlap"))
+    """Candidate pairs of a clip's detections that overlap enough and are no more than GAP steps apart."""
+    rows = step_index(detections, "clip_id", "frame").select("clip_id", "step", "frame", "vehicle_id", box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
+    left = rows.select("clip_id", "step", F.col("frame").alias("f1"), F.col("vehicle_id").alias("v1"), F.col("box").alias("a"))
+    # each later detection waits at the steps before it
+    right = rows.select("clip_id", F.explode(F.sequence(F.col("step") - GAP, F.col("step") - 1)).alias("step"), F.col("frame").alias("f2"), F.col("vehicle_id").alias("v2"), F.col("box").alias("b"))
+    met = left.join(right, ["clip_id", "step"]).withColumn("overlap", iou(F.col("a"), F.col("b")))
+    return met.where(F.col("overlap") >= MIN_IOU).select("clip_id", "f1", "v1", "f2", "v2", F.round("overlap", 6).alias("overlap"))
 
 
 def interesting_frames(detections: DataFrame, k: int = 12) -> DataFrame:
@@ -225,7 +227,8 @@ def artifact_budget(detections: DataFrame, smoking_cap: int, clean_cap: int) ->
 def throttle_progress(events: DataFrame, gap: float = 0.4) -> DataFrame:
     """Progress writes of each run: repeats are dropped, and writes within the gap unless they complete it.
 
-    Whether a write is within the gap depends on the last one that was made, so each run is folded in order.
+    Percents are held within 0 and 100 and stages cut before they are compared. With a column
+    `status`, what comes when the run has ended changes nothing, though it counts as written. Whether a write is within the gap depends on the last one that was made, so each run is folded in order.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -234,11 +237,14 @@ def throttle_progress(events: DataFrame, gap: float = 0.4) -> DataFrame:
             state = (row.percent, row.stage)
             if state == last or (at is not None and row.percent < 100 and row.at - at < gap):
                 continue
-            kept.append(row)
+            if getattr(row, "status", None) not in ENDED:
+                kept.append(row)
             last, at = state, row.at
         return pd.DataFrame(kept, columns=part.columns)
 
-    return events.groupBy("analysis_id").applyInPandas(fold, events.schema)
+    percent = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("percent", F.lit(0)))).cast(events.schema["percent"].dataType)
+    rows = events.withColumns({"percent": percent, "stage": F.substring(F.coalesce("stage", F.lit("")), 1, STAGE_LENGTH)})
+    return rows.groupBy("analysis_id").applyInPandas(fold, rows.schema)
 
 
 # The detector's classes.

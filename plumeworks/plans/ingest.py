@@ -74,11 +74,10 @@ _FRAMES = "SELECT user_id AS clip_id, frame_index, frame_index/8.0::DOUBLE AS se
 
 @query(
     sql(
-        "SELECT clip_id, frame_index, place FROM (SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS place FROM e WHERE ended = 0 AND decoded) WHERE place <= 20",
+        "SELECT clip_id, frame_index, place FROM (SELECT clip_id, frame_index, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) AS place FROM e WHERE ended = 0 AND decoded AND frame_index%2 = 0) WHERE place <= 20",
         f=_FRAMES,
-        i="SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_index) - row_number() OVER (PARTITION BY clip_id, decoded ORDER BY frame_index) AS isl FROM f WHERE frame_index%2 = 0 AND seconds <= 8",
-        s="SELECT *, CASE WHEN NOT decoded THEN row_number() OVER (PARTITION BY clip_id, decoded, isl ORDER BY frame_index) ELSE 0 END AS streak FROM i",
-        e="SELECT *, max(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS ended FROM s",
+        s="SELECT *, CASE WHEN NOT decoded AND NOT lag(decoded, 1, TRUE) OVER (PARTITION BY clip_id ORDER BY frame_index) AND NOT lag(decoded, 2, TRUE) OVER (PARTITION BY clip_id ORDER BY frame_index) THEN 1 ELSE 0 END AS third FROM f WHERE seconds <= 8",
+        e="SELECT *, max(third) OVER (PARTITION BY clip_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS ended FROM s",
     )
 )
 def frame_sampler(spark, sf_dir):
@@ -89,13 +88,13 @@ def frame_sampler(spark, sf_dir):
     return I.sample_frames(frames, 2, 20, 8).select("clip_id", "frame_index", "place")
 
 
-_COPIES = "SELECT doc_id AS upload_id, doc_id%40 AS user_id, sha256(text) AS checksum, doc_id*13%1009 AS uploaded_at FROM documents"
+_COPIES = "SELECT doc_id AS upload_id, doc_id%40 AS user_id, sha256(text) AS checksum, doc_id*13%1009 AS uploaded_at, doc_id%7 <> 0 AS present FROM documents"
 
 
-@query(sql("SELECT upload_id, user_id, checksum FROM (SELECT *, row_number() OVER (PARTITION BY user_id, checksum ORDER BY uploaded_at DESC, upload_id DESC) AS rn FROM c) WHERE rn = 1", c=_COPIES))
+@query(sql("SELECT upload_id, user_id, checksum FROM (SELECT *, row_number() OVER (PARTITION BY user_id, checksum ORDER BY uploaded_at DESC, upload_id DESC) AS rn FROM c) WHERE rn = 1 AND present", c=_COPIES))
 def dedup_newest(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("upload_id"), (F.col("doc_id") % 40).alias("user_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("checksum"), (F.col("doc_id") * 13 % 1009).alias("uploaded_at"))
-    return I.dedup_newest(rows).select("upload_id", "user_id", "checksum")
+    rows = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("upload_id"), (F.col("doc_id") % 40).alias("user_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("checksum"), (F.col("doc_id") * 13 % 1009).alias("uploaded_at"), (F.col("doc_id") % 7 != 0).alias("present"))
+    return I.dedup_newest(rows, "present").select("upload_id", "user_id", "checksum")
 
 
 @query(sql("SELECT request_id, media_id FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY requested_at, request_id) AS rn FROM (SELECT event_id AS request_id, user_id*4 + event_id%4 AS media_id, ts AS requested_at FROM events) WHERE media_id NOT IN (SELECT media_id FROM runs WHERE status IN ('pending','queued','running'))) WHERE rn = 1", "runs"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.settings import RENAMED, pipeline_options, valid_config
-from ..functions.text import base_name, confined, rebase
+from ..functions.text import base_name, confined, email_ends_with, rebase, same_email, token_reference
 from ..operators import evaluation as E
 from ..operators import ingest as I
 from ..operators import tracking as T
 from ..sources import adapters as A
+from ..sources import files
+from ..streaming.runner import scratch
 from .base import query
 from .tracking import _ONE, _PAIR, _RANK, _VERDICT, _detections
 from .views import sql
@@ -91,9 +93,10 @@ def path_rules(spark, sf_dir):
     return rows.select("event_id", base_name(F.col("path")).alias("name"), confined(F.col("path")).alias("inside"), rebase(F.col("path"), "old/media", "new").alias("moved"))
 
 
-@query("SELECT event_id AS attempt_id, CAST(CASE WHEN row_number() OVER (PARTITION BY user_id*10 + event_id%10 ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS INTEGER) AS rows_affected FROM events")
+@query("SELECT event_id AS attempt_id, CAST(CASE WHEN row_number() OVER (PARTITION BY user_id*10 + event_id%10 ORDER BY ts, event_id) = 1 AND (user_id*10 + event_id%10)%3 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS rows_affected FROM events")
 def job_claims(spark, sf_dir):
     e = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("attempt_id"), (F.col("user_id") * 10 + F.col("event_id") % 10).alias("job_id"), "ts")
+    e = e.withColumn("status", F.when(F.col("job_id") % 3 == 0, "failed").otherwise("queued"))
     return I.claims(e).select("attempt_id", "rows_affected")
 
 
@@ -116,3 +119,34 @@ def session_cutoff(spark, sf_dir):
 @query(sql("SELECT analysis_id, 'artifacts/' || analysis_id AS path FROM runs WHERE user_id%10 = 3 UNION ALL SELECT analysis_id, 'reports/' || report_id || '.pdf' FROM reports WHERE analysis_id IN (SELECT analysis_id FROM runs WHERE user_id%10 = 3)", "runs", "reports"))
 def artifact_paths(spark, sf_dir):
     return I.artifact_paths(A.runs(spark, sf_dir).where("user_id % 10 = 3"), A.reports(spark, sf_dir))
+
+
+@query("SELECT c_custkey, lower(c_name) LIKE '%0000%' AND lower(c_name) = lower('CUSTOMER#000000007') AS same, ends_with(lower(c_name), '7') AS suffix, CASE WHEN c_custkey%10 = 0 THEN 'none' ELSE substr(sha256(c_name), 1, 12) END AS reference FROM customer")
+def account_names(spark, sf_dir):
+    """Equality and suffix without regard to case, and the names of secrets in logs."""
+    c = A.table(spark, sf_dir, "customer")
+    token = F.when(F.col("c_custkey") % 10 != 0, F.col("c_name"))
+    return c.select("c_custkey", same_email(F.col("c_name"), "CUSTOMER#000000007").alias("same"), email_ends_with(F.col("c_name"), "7").alias("suffix"), token_reference(token).alias("reference"))
+
+
+_LABELS = "SELECT event_id, user_id%20 AS f, event_id%11 = 0 AS short, [0, 2, 3, 5, 7][event_id%5 + 1] AS cls, user_id%20 = 3 AND event_id%5 = 1 AND event_id%11 <> 0 AS oops, (event_id*7%100)/100.0::DOUBLE AS cx, (event_id*3%100)/100.0::DOUBLE AS cy, (event_id%50)/100.0::DOUBLE AS bw, (event_id%30)/100.0::DOUBLE AS bh FROM events"
+
+
+@query(
+    sql(
+        "SELECT vehicle_type, CAST(round_even(cx*640 - w/2.0::DOUBLE, 0) AS INTEGER) AS x, CAST(round_even(cy*480 - h/2.0::DOUBLE, 0) AS INTEGER) AS y, w, h FROM s WHERE w*h >= 3072",
+        l=_LABELS,
+        s="SELECT CASE cls WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' WHEN 5 THEN 'bus' ELSE 'truck' END AS vehicle_type, cx, cy, greatest(8, CAST(round_even(bw*640, 0) AS INTEGER)) AS w, greatest(8, CAST(round_even(bh*480, 0) AS INTEGER)) AS h FROM l WHERE NOT short AND cls > 0 AND f NOT IN (SELECT f FROM l WHERE oops)",
+    )
+)
+def label_boxes(spark, sf_dir):
+    """Boxes of label files, some with short lines and one with a bad number, written and read again."""
+    e = A.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    share = lambda v: F.concat(F.lit("0."), F.lpad(v.cast("string"), 2, "0"))
+    cls = F.element_at(F.array(*map(F.lit, (0, 2, 3, 5, 7))), (k % 5 + 1).cast("int")).cast("string")
+    cx = F.when((F.col("user_id") % 20 == 3) & (k % 5 == 1), F.lit("oops")).otherwise(share(k * 7 % 100))
+    line = F.when(k % 11 == 0, F.concat_ws(" ", cls, F.lit("0.5"))).otherwise(F.concat_ws(" ", cls, cx, share(k * 3 % 100), share(k % 50), share(k % 30)))
+    path = scratch(spark, "labels")
+    e.select((F.col("user_id") % 20).alias("f"), line.alias("value")).repartition("f").write.partitionBy("f").text(path)
+    return files.label_boxes(spark, path, 640, 480).select("vehicle_type", "x", "y", "w", "h")

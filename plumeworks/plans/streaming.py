@@ -38,15 +38,28 @@ def stream_dedup(spark, sf_dir):
     return drain(S.dedup(_events(spark, sf_dir), ["user_id", "event_type"], late="365 days"), "append", "dedup").select("user_id", "event_type")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS clip_id, CAST(count(DISTINCT event_id) AS INTEGER) AS steps FROM events GROUP BY 1")
+_LATE_MS = 3_600_000
+_LANES = "view click purchase signup error".split()
+
+
+@query(
+    f"WITH m AS (SELECT epoch_ms(max(ts)) - {_LATE_MS} AS mark FROM events), f AS (SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events, m WHERE epoch_ms(ts) < mark), "
+    "g AS (SELECT *, step - lag(step) OVER (PARTITION BY user_id, event_type ORDER BY step) AS gap FROM f) "
+    "SELECT CAST(user_id AS VARCHAR) AS clip_id, CAST(count(*) FILTER (gap IS NULL OR gap > 2) AS INTEGER) AS tracks, CAST(max(step) AS INTEGER) AS steps FROM g GROUP BY 1"
+)
 def stream_tracks(spark, sf_dir):
-    """Steps that the stateful tracker has seen in each clip."""
+    """Tracks and steps of each clip: a type of event keeps its place, so a track ends where its type is away for over two steps.
+
+    Rows arrive in several files and out of order; what is newer than the watermark still waits.
+    """
     e = A.table(spark, sf_dir, "events")
-    rows = e.select(F.col("user_id").cast("string").alias("clip_id"), F.col("event_id").alias("frame_index"), F.lit(0).alias("det_idx"), (F.col("event_id") % 640).cast("double").alias("x"), F.lit(100.0).alias("y"), F.lit(120.0).alias("w"), F.lit(90.0).alias("h"))
+    lane = F.element_at(F.create_map(*(F.lit(v) for i, t in enumerate(_LANES) for v in (t, 1000.0 * i))), F.col("event_type"))
+    rows = e.select(F.col("user_id").cast("string").alias("clip_id"), "ts", F.col("event_id").alias("frame_index"), F.lit(0).alias("det_idx"), lane.alias("x"), F.lit(100.0).alias("y"), F.lit(120.0).alias("w"), F.lit(90.0).alias("h"))
     path = scratch(spark, "detections")
-    rows.write.parquet(path)
+    rows.repartition(4, F.col("frame_index")).write.parquet(path)
     stream = S.read_events(spark, path, rows.schema)
-    return drain(S.track_stream(stream), "update", "tracks").groupBy("clip_id").agg(F.max("steps").alias("steps"))
+    found = drain(S.track_stream(stream, late=f"{_LATE_MS} milliseconds"), "update", "tracks")
+    return found.groupBy("clip_id").agg(F.max("tracks").alias("tracks"), F.max("steps").alias("steps"))
 
 
 @query()

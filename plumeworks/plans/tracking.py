@@ -80,10 +80,11 @@ def exhaust_roi_boxes(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT clip_id, f1, v1, v2, round(o, 6) AS overlap FROM p WHERE o >= 0.3",
+        "SELECT clip_id, f1, v1, f2, v2, round(o, 6) AS overlap FROM p WHERE o >= 0.3",
         "vehicles",
         **{"one_v": _ONE["one_v"]},
-        i="SELECT a.analysis_id AS clip_id, a.frame_number AS f1, a.vehicle_id AS v1, b.vehicle_id AS v2, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x) AS iw, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y) AS ih, a.w*a.h + b.w*b.h AS areas FROM one_v a JOIN one_v b ON a.analysis_id = b.analysis_id AND b.frame_number = a.frame_number + 1",
+        st="SELECT *, dense_rank() OVER (PARTITION BY analysis_id ORDER BY frame_number) AS step FROM one_v",
+        i="SELECT a.analysis_id AS clip_id, a.frame_number AS f1, a.vehicle_id AS v1, b.frame_number AS f2, b.vehicle_id AS v2, least(a.x+a.w, b.x+b.w) - greatest(a.x, b.x) AS iw, least(a.y+a.h, b.y+b.h) - greatest(a.y, b.y) AS ih, a.w*a.h + b.w*b.h AS areas FROM st a JOIN st b ON a.analysis_id = b.analysis_id AND b.step > a.step AND b.step <= a.step + 2",
         p="SELECT *, CASE WHEN iw > 0 AND ih > 0 THEN CAST(iw*ih AS DOUBLE)/(areas - iw*ih) ELSE 0 END AS o FROM i",
     )
 )
@@ -150,8 +151,8 @@ _VERDICT = dict(
 @query(sql("SELECT clip_id, tv AS total_vehicles, CASE WHEN dropped THEN 0 ELSE rg END AS total_smoke, ct AS confirmed_tracks, CASE WHEN dropped THEN rg ELSE 0 END AS discarded_regions, CASE WHEN dropped OR rg = 0 THEN 'none' ELSE (['low','moderate','high'])[worst+1] END AS overall_severity, CASE WHEN dropped OR rg = 0 THEN 0 ELSE round(mi, 6) END AS mean_intensity, round(coalesce(ac, 0), 6) AS avg_confidence, applied FROM dr", "runs", "vehicles", "regions", **_ONE, d=_PAIR, **_VERDICT))
 def clip_verdict(spark, sf_dir):
     d = _detections(spark, sf_dir)
-    rows = d.withColumn("track_id", F.concat_ws("/", "clip_id", "vehicle_type")).withColumn("fired", F.col("intensity").isNotNull())
-    tracks = T.track_counters(rows, "track_id", ["frame", "vehicle_id"]).withColumn("clip_id", F.substring_index("track_id", "/", 1).cast("bigint"))
+    rows = d.withColumns({"lane": F.col("vehicle_type"), "fired": F.col("intensity").isNotNull()})
+    tracks = T.track_counters(rows, ["clip_id", "lane"], ["frame", "vehicle_id"])
     return T.clip_verdict(d, tracks, A.runs(spark, sf_dir).select(F.col("analysis_id").alias("clip_id"), "frames_processed"))
 
 
@@ -161,8 +162,8 @@ def greedy_tracks(spark, sf_dir):
     from pyspark.sql import Window
 
     d = _detections(spark, sf_dir).withColumn("det_idx", F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(F.desc("confidence"), "vehicle_id")) - 1)
-    rows = d.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").cast("bigint").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity")
-    tracked = T.associate(rows).join(rows.select("clip_id", "frame_index", "det_idx", F.col("intensity").isNotNull().alias("fired"), "intensity", "vehicle_type"), ["clip_id", "frame_index", "det_idx"])
+    rows = d.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity", F.col("intensity").isNotNull().alias("fired"))
+    tracked = T.associate(rows)
     return T.tracked_counters(tracked)
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sniff_format
 
-# Vehicle classes of label files, and the least box in pixels.
+# Vehicle classes of label files, the least box in pixels and its least side.
 CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
-MIN_BOX_PIXELS = 64 * 48
+MIN_BOX_PIXELS, MIN_SIDE = 64 * 48, 8
 METRICS = "metrics struct<precision: double, recall: double, dice: double, iou: double>, threshold double, samples int"
 
 
@@ -34,16 +34,19 @@ def pairs(images: DataFrame, masks: DataFrame) -> DataFrame:
 def label_boxes(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """Vehicle boxes of label files, one line an object: class and centre, width and height as shares.
 
-    A file with one bad line gives no box at all; other classes and small boxes are left out.
+    Lines of fewer than five parts are passed over; other classes and small boxes are left out. A file
+    with a class, or a vehicle's number, that can't be read gives no box at all.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.col("t")[0] != "")
-    number = lambda i: F.get("t", F.lit(i)).try_cast("double")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("t")).where(F.size("t") >= 5)
+    number = lambda i: F.when(F.col("t")[i].rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.col("t")[i].try_cast("double"))
     rows = lines.select("file", number(0).cast("int").alias("class_id"), *(number(i + 1).alias(n) for i, n in enumerate(("cx", "cy", "bw", "bh"))))
-    bad = rows.where(" or ".join(f"{c} is null" for c in ("class_id", "cx", "cy", "bw", "bh"))).select("file").distinct()
+    vehicle = F.col("class_id").isin(*CLASSES)
+    bad = rows.where(F.col("class_id").isNull() | (vehicle & F.expr("cx is null or cy is null or bw is null or bh is null"))).select("file").distinct()
     kind = F.element_at(F.create_map(*(x for k, v in CLASSES.items() for x in (F.lit(k), F.lit(v)))), F.col("class_id"))
-    good = rows.join(bad, "file", "left_anti").where(F.col("class_id").isin(*CLASSES))
-    px = lambda c, n: F.bround(c * n).cast("int")
-    boxes = good.select("file", kind.alias("vehicle_type"), px(F.col("cx") - F.col("bw") / 2, width).alias("x"), px(F.col("cy") - F.col("bh") / 2, height).alias("y"), px(F.col("bw"), width).alias("w"), px(F.col("bh"), height).alias("h"))
+    px = lambda v: F.bround(v).cast("int")
+    side = lambda c, n: F.greatest(F.lit(MIN_SIDE), px(F.col(c) * n))
+    boxes = rows.where(vehicle).join(bad, "file", "left_anti").select("file", kind.alias("vehicle_type"), "cx", "cy", side("bw", width).alias("w"), side("bh", height).alias("h"))
+    boxes = boxes.select("file", "vehicle_type", px(F.col("cx") * width - F.col("w") / 2).alias("x"), px(F.col("cy") * height - F.col("h") / 2).alias("y"), "w", "h")
     return boxes.where(F.col("w") * F.col("h") >= MIN_BOX_PIXELS)
 
 

@@ -64,7 +64,7 @@ def frames(fires, n=12, vehicles=1, x=lambda v, i: 50 + 4 * i + 400 * v):
 def verdict(spark, rows, n=12):
     d = spark.createDataFrame(rows, "clip_id string, frame_index long, det_idx int, x double, y double, w double, h double, fired boolean, vehicle_type string")
     d = d.withColumn("intensity", F.when(F.col("fired"), 0.42)).withColumn("severity", F.when(F.col("fired"), "moderate")).withColumn("confidence", F.lit(0.9))
-    tracked = T.associate(d).join(d.select("clip_id", "frame_index", "det_idx", "fired", "intensity", "vehicle_type"), ["clip_id", "frame_index", "det_idx"])
+    tracked = T.associate(d)
     tracks = T.tracked_counters(tracked)
     return T.clip_verdict(d, tracks, spark.createDataFrame([("c0", n)], "clip_id string, frames_processed int")).first(), tracks.collect()
 
@@ -189,6 +189,10 @@ def test_label_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("2 0.5 0.5 0.2 0.2\n2 oops 0.5 0.2 0.2\n")
     got = files.label_boxes(spark, str(tmp_path), 640, 480).collect()
     assert [(r.vehicle_type, r.x, r.y, r.w, r.h) for r in got] == [("car", 256, 192, 128, 96)]
+    (tmp_path / "a.txt").write_text("2 0.5\n0 oops x x x\n2.9\t0.5  0.5 0.2 0.2\n5 0.5 0.5 0.9 0.001\n3 0.25 0.25 0.2515625 0.2 0.9\n")
+    got = files.label_boxes(spark, str(tmp_path), 640, 480).collect()
+    # the width of the last is 161: its left edge comes from the rounded width, 160 - 80.5
+    assert sorted((r.vehicle_type, r.x, r.y, r.w, r.h) for r in got) == [("bus", 32, 236, 576, 8), ("car", 256, 192, 128, 96), ("motorcycle", 80, 72, 161, 96)]
 
 
 def test_files_metrics_and_partitions(spark, tmp_path):
@@ -218,8 +222,12 @@ def test_shadow_score():
 
     assert E.shadow_score(np.full(64, 100)) == 0.0
     half = np.r_[np.full(32, 20), np.full(32, 220)]
-    assert E.shadow_score(half) == pytest.approx(200.0)
-    assert 0 < E.shadow_score(np.r_[np.full(8, 20), np.full(56, 220)]) < 100
+    # the level is the lower one itself, and nothing lies strictly below it
+    assert E.shadow_score(half) == 0.0
+    three = np.r_[np.full(24, 10), np.full(12, 20), np.full(64, 220)]
+    assert E.otsu(three) == 20
+    bright = (12 * 20 + 64 * 220) / 76
+    assert E.shadow_score(three) == pytest.approx((bright - 10) * 0.24 / 0.35)
 
 
 def test_paths_and_failures(spark):
@@ -229,3 +237,70 @@ def test_paths_and_failures(spark):
     own = lambda *v: F.array(*map(F.lit, v))
     got = one(spark, a=I.failure_topic(own("Odd", "OSError")), b=I.failure_topic(own("Odd")))
     assert (got.a, got.b) == ("files", "unexpected")
+
+
+def sampled(spark, n, failures, **options):
+    rows = [("c", i, i / 10, i not in failures) for i in range(n)]
+    got = I.sample_frames(spark.createDataFrame(rows, "clip_id string, frame_index long, seconds double, decoded boolean"), **options)
+    return [r.frame_index for r in got.orderBy("frame_index").collect()]
+
+
+def test_frames_until_the_third_failure_in_a_row(spark):
+    assert sampled(spark, 12, {2, 4, 6}, rate=2) == [0, 8, 10]
+    assert sampled(spark, 12, {5, 6, 7}, rate=4) == [0, 4]
+    assert sampled(spark, 12, {0, 1, 2}, rate=1) == []
+    assert sampled(spark, 12, {3, 4, 6, 7}, rate=1, max_frames=5) == [0, 1, 2, 5, 8]
+    assert sampled(spark, 12, set(), rate=3, max_seconds=0.6) == [0, 3, 6]
+
+
+def test_contours():
+    import numpy as np
+
+    mask = lambda *rows: np.array([[c == "#" for c in r] for r in rows])
+    assert E.largest_component(mask("...", ".#.", "...")) == (1, 0.0)
+    assert E.largest_component(mask("....", "###.", "....")) == (3, 0.0)  # a line encloses nothing
+    square = mask(".....", ".###.", ".###.", ".###.", ".....")
+    assert E.contour(E.components_of(square)[0]) == (4.0, 8.0)
+    assert E.largest_component(square) == (9, round(4 * np.pi * 4 / 64, 6))
+    ring = mask("####", "#..#", "#..#", "####")
+    assert E.contour(E.components_of(ring)[0]) == (9.0, 12.0)
+    diamond = mask(".#.", "###", ".#.")
+    assert E.contour(E.components_of(diamond)[0]) == (2.0, pytest.approx(4 * 2**0.5))
+    tail = mask("##...", "##...", "..##.")  # a diagonal tail is walked there and back
+    assert E.contour(E.components_of(tail)[0]) == (1.0, pytest.approx(4 + 2 * (2**0.5 + 1)))
+    # the larger component is a line; the contour with most area is the other one's
+    assert E.largest_component(mask("######", "......", "##....", "##....")) == (6, round(4 * np.pi / 16, 6))
+
+
+def test_progress_is_clamped_and_ends(spark):
+    rows = [("a", 0.0, -5, "s" * 60, "running"), ("a", 10.0, 400, "s", "running"), ("a", 20.0, 100, "t", "failed"), ("a", 30.0, 50, "u", "running")]
+    got = T.throttle_progress(spark.createDataFrame(rows, "analysis_id string, at double, percent int, stage string, status string")).orderBy("at").collect()
+    assert [(r.percent, len(r.stage)) for r in got] == [(0, 50), (100, 1), (50, 1)]
+
+
+def test_streams_without_rows(spark, tmp_path):
+    from plumeworks.streaming import operators as R
+    from plumeworks.streaming.runner import drain
+
+    schema = "clip_id string, ts timestamp, frame_index long, det_idx int, x double, y double, w double, h double, value double"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
+    stream = lambda: R.read_events(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema)
+    assert drain(R.daily_buckets(stream()), "complete", "none").count() == 0
+    assert drain(R.track_stream(stream()), "update", "none").count() == 0
+
+
+def test_stream_tracks_wait_for_late_frames(spark, tmp_path):
+    import datetime as dt
+
+    from plumeworks.streaming import operators as R
+    from plumeworks.streaming.runner import drain
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    row = lambda s, x: ("c", at(s), s, 0, float(x), 0.0, 100.0, 100.0)
+    schema = "clip_id string, ts timestamp, frame_index long, det_idx int, x double, y double, w double, h double"
+    path = str(tmp_path / "in")
+    # frames of one moving vehicle in wrong order: in the order of arrival they would be several tracks
+    for part in ([row(3, 120), row(1, 40)], [row(2, 80), row(4, 160), row(0, 0)], [row(100, 900)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    got = drain(R.track_stream(R.read_events(spark, path, spark.createDataFrame([], schema).schema, per_trigger=1), late="30 seconds"), "update", "late").collect()
+    assert max((r.steps, r.tracks) for r in got) == (5, 1)  # the frame at 100 s waits
