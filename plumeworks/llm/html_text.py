@@ -1,24 +1,30 @@
 """Main text of web pages by line-block distribution (operator 7).
 
-Markup is stripped to lines, one for each block of the page; lines of menus,
-adverts and other surroundings become blank. The lengths of lines are summed
-over sliding windows. Where a sum surges over a threshold the text begins,
-where it dives to next to nothing the text ends, and what stands between is
-kept, short lines included. So are short lines between and behind kept lines of
-the same container. Lines in main elements weigh more, and others less, the
-more of the page's text main elements hold.
-
-Cases: null and empty html, and pages of surroundings only, give the empty
-string and 0 characters. Unclosed elements end with their page or with an
-enclosing element. Pages are read whole and are independent of each other, so
-repeated rows give repeated rows. Other columns are ignored.
+Markup is stripped to lines, one for each block of the page, and the lengths of
+lines are summed over sliding windows. Where a sum surges over a threshold the
+text begins, where it dives to next to nothing the text ends, and what stands
+between is kept, short lines included. So are short lines between and behind
+kept lines of the same container. Tags and class words weigh a line before the
+sums are made: lines in main elements weigh more, and others less, the more of
+the page's text main elements hold; lines that are mostly links, and lines of
+menus, adverts and other surroundings, weigh nothing (`around_weight`), and blank
+lines part surroundings from what is around them. A line that weighs under the dive
+doesn't begin or end a text.
+
+Cases: null and empty html give the empty string and 0 characters. Unclosed
+elements end with their page or with an enclosing element; a tag without an end
+is text. Pages are read whole, in time that grows with their length, and are
+independent of each other, so repeated rows give repeated rows. Where several
+windows are equally full each is taken. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,119 +41,182 @@ CONTAINERS = {"article", "main", "section", "div", "center", "details", "td", "h
 #: Whole tokens of class, id or role that name surroundings.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "sidebar", "side", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies", "disqus", "contentinfo", "complementary", "search", "form", "hidden"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "iframe", "noscript")}
 _SPACE = re.compile(r"\s+")
 
 
-def page_lines(page: str, window: int) -> list[tuple[str, int, bool, int]]:
-    """The page's blocks in order: text, characters inside links, if it stands in a main element, and the container of the block.
-
-    Surroundings leave `window` blank lines, so that no window spans them.
-    """
+class Line(NamedTuple):
+    """A block of the page: text, characters inside links, if it stands in a main element and in surroundings, and its container."""
+
+    text: str
+    linked: int
+    main: bool
+    around: bool
+    container: int
+
+
+BLANK = Line("", 0, False, False, -1)
+
+
+class Tags:
+    """The markup of a page in order: (name, rest of the tag) with a slash before the name of an end, or ("", text)."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """Where the tag that is open at `at` ends, outside of quotes; once none has, quotes are like other characters."""
+        while self.quotes:
+            stop = _STOP.search(self.page, at)
+            if stop and stop.group() == ">":
+                return stop.start()
+            at = self.page.find(stop.group(), stop.end()) + 1 if stop else 0
+            if not at:
+                self.quotes = False
+        return -1
+
+    def __iter__(self):
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            open_ = page.find("<", at)
+            if open_ != at:
+                yield "", page[at : open_ if open_ >= 0 else size]
+                at = open_ if open_ >= 0 else size
+                continue
+            for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(begin, at):
+                    to = page.find(end, at + len(begin))
+                    at = to + len(end) if to >= 0 else size
+                    break
+            else:
+                name = _NAME.match(page, at + 1)
+                if not name and page[at + 1 : at + 2] not in ("!", "?"):
+                    yield "", "<"
+                    at += 1
+                    continue
+                to = self.end(name.end()) if name and self.quotes else -1
+                to = to if to >= 0 else page.find(">", at)
+                if to < 0:  # no tag ends from here on
+                    yield "", page[at:]
+                    return
+                if name:
+                    yield name.group().lower(), page[name.end() : to]
+                at = to + 1
+                if name and (raw := _RAW.get(name.group().lower())) and not page[name.end() : to].endswith("/"):
+                    tail = raw.search(page, at)
+                    at = tail.end() if tail else size
+
+
+def page_lines(page: str, window: int) -> list[Line]:
+    """The page's blocks in order; `window` blank lines stand around surroundings, so that no window spans their edge."""
     lines, text, linked = [], [], 0
-    stack: list[tuple[str, bool, int, int]] = []  # open elements, if all in it is left out, the containers around and of what is in it
-    out, main, link, opened = 0, 0, 0, 0
-    blank = ("", 0, False, -1)
+    stack: list[tuple[str, bool, bool, int, int]] = []  # open elements: name, unseen, in surroundings, container of their text and of what is in them
+    open_: Counter = Counter()
+    unseen, around, main, link, opened = 0, 0, 0, 0, 0
 
     def end_line():
         nonlocal linked
         if text:
             if line := _SPACE.sub(" ", html.unescape("".join(text))).strip():
-                around = next((x[2] for x in reversed(stack) if x[0] in BLOCKS), 0)
-                lines.append((line, linked, main > 0, around))
+                lines.append(Line(line, linked, main > 0, around > 0, stack[-1][3] if stack else 0))
             text.clear()
         linked = 0
 
-    def close(entry):
-        nonlocal out, main, link
-        name, hidden, *_ = entry
-        out -= hidden
+    def close() -> bool:
+        nonlocal unseen, around, main, link
+        name, hidden, named, *_ = stack.pop()
+        open_[name] -= 1
+        unseen -= hidden
+        around -= named
         main -= name in MAIN
         link -= name == "a"
+        return named
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        if not m:  # a tag that never ends
-            at += 1
-            continue
-        at = m.end()
-        closing, name, rest, words = m.groups()
-        if words is not None:
-            if not out:
-                text.append(words)
+    for name, rest in Tags(page):
+        if not name:
+            if not unseen:
+                text.append(rest)
                 if link:
-                    linked += len(words)
-            continue
-        if name is None:
+                    linked += len(rest)
             continue
-        name = name.lower()
+        ends, name = name[0] == "/", name.lstrip("/")
         if name in BLOCKS:
             end_line()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    hid = any(x[1] for x in stack[k:])
-                    for entry in stack[k:]:
-                        close(entry)
-                    del stack[k:]
-                    if hid and name not in UNSEEN:
-                        lines.extend([blank] * window)
-                    break
-            continue
-        if name in VOID or rest.endswith("/"):
+        if ends:
+            if open_[name]:
+                left = False
+                while stack[-1][0] != name:
+                    left |= close()
+                left |= close()
+                if left:
+                    lines.extend([BLANK] * window)
             continue
-        if name in _RAW and name in UNSEEN:
-            tail = _RAW[name].search(page, at)
-            at = tail.end() if tail else size
+        if name in VOID or rest.endswith("/") or (name in _RAW and name in UNSEEN):
             continue
-        named = {w for g in _NAMED.findall(rest) for w in "".join(g).lower().split()} if "=" in rest else ()
-        hidden = name in UNSEEN or name in AROUND or (name == "header" and not main) or (name not in ("html", "body") and not NAMES.isdisjoint(named))
+        words = {w for g in _NAMED.findall(rest) for w in "".join(g).lower().split()} if "=" in rest else ()
+        hidden = name in UNSEEN
+        named = not hidden and (name in AROUND or (name == "header" and not main) or (name not in ("html", "body") and not NAMES.isdisjoint(words)))
         if name == "p" and stack and stack[-1][0] == "p":
-            close(stack.pop())
-        if hidden:
+            close()
+        if hidden or named:
             end_line()
+        if named:
+            lines.extend([BLANK] * window)
         opened += 1
-        around = stack[-1][3] if stack else 0
-        stack.append((name, hidden, around, around if name not in CONTAINERS or name in ("html", "body") else opened))
-        if hidden:
-            if name not in UNSEEN:
-                lines.extend([blank] * window)
-        out += hidden
+        inner = stack[-1][4] if stack else 0
+        own = inner if name in BLOCKS else (stack[-1][3] if stack else 0)
+        open_[name] += 1
+        stack.append((name, hidden, named, own, opened if name in CONTAINERS and name not in ("html", "body") else inner))
+        unseen += hidden
+        around += named
         main += name in MAIN
         link += name == "a"
     end_line()
     return lines
 
 
-def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_share: float = 0.5) -> str:
+def line_sizes(lines: list[Line], link_share: float, around_weight: float) -> tuple[list[int], list[int]]:
+    """Of each line its length, 0 for links and surroundings, and its weighted length, which the windows sum."""
+    linking = [x.linked > link_share * max(1, len(x.text)) for x in lines]
+    plain = [0 if k or x.around else len(x.text) for x, k in zip(lines, linking, strict=True)]
+    share = sum(n for n, x in zip(plain, lines, strict=True) if x.main) / max(1, sum(plain))
+    weight = [0 if k else (1 + 3 * share if x.main else 1 - share) * (around_weight if x.around else 1) for x, k in zip(lines, linking, strict=True)]
+    return plain, [int(len(x.text) * w) for x, w in zip(lines, weight, strict=True)]
+
+
+def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_share: float = 0.5, around_weight: float = 0.0) -> str:
     """Text between surge and dive points of the line-block distribution."""
     lines = page_lines(page, window)
-    # links count as blank
-    plain = [len(t) * (k <= link_share * max(1, len(t))) for t, k, *_ in lines]
-    share = sum(x for x, line in zip(plain, lines, strict=True) if line[2]) / max(1, sum(plain))
-    size = [int(x * (1 + 3 * share if line[2] else 1 - share)) for x, line in zip(plain, lines, strict=True)]
+    plain, size = line_sizes(lines, link_share, around_weight)
     blocks = [sum(size[i : i + window]) for i in range(len(size))]
     most = max(blocks, default=0)
     begin, end = min(surge, most), min(dive, most)
     kept, i, n = set(), 0, len(size)
     while i < n:
         if most and blocks[i] >= begin:  # a surge
+            run = []
             while i < n and blocks[i] >= end:  # until the dive
                 if size[i]:
-                    kept.add(i)
+                    run.append(i)
                 i += 1
+            least = lambda k: size[k] >= end or (plain[k] and lines[k].main)
+            while run and not least(run[0]):
+                run.pop(0)
+            while run and not least(run[-1]):
+                run.pop()
+            kept.update(run)
         else:
             i += 1
     seen = set()
     for i, line in enumerate(lines):  # short lines between and behind
         if i in kept:
-            seen.add(line[3])
-        elif plain[i] and line[3] in seen:
+            seen.add(line.container)
+        elif plain[i] and line.container in seen:
             kept.add(i)
-    return "\n".join(lines[i][0] for i in sorted(kept))
+    return "\n".join(lines[i].text for i in sorted(kept))
 
 
 def _extract(batches, key: str, url: str, column: str, options: dict):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumeworks.llm import decontamination as X
 from plumeworks.llm import quality as Q
 from plumeworks.llm import toxicity as T
-from plumeworks.llm.html_text import extract_text, main_text
+from plumeworks.llm.html_text import extract_text, line_sizes, main_text, page_lines
 
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Menu</a></li></ul></nav><!-- ad --><div class=\"ad\">Buy this now, it is long enough to surge over any threshold there is, buy it.</div>{}<footer>&copy; us</footer></body>"
 PAGES = {
@@ -54,6 +54,55 @@ def test_surge_and_dive_on_every_page(page, want):
     assert [x for x in got if x != "Read on"] == want.split("\n")
 
 
+def brute_main_text(page, window=3, surge=80, dive=10):
+    """The rule by definition: a line is kept if some run of full windows that begins with a surge reaches it."""
+    lines = page_lines(page, window)
+    plain, size = line_sizes(lines, 0.5, 0.0)
+    total = lambda i: sum(size[i : i + window])
+    most = max(map(total, range(len(size))), default=0)
+    kept = set()
+    for a in range(len(size)):
+        if most == 0 or total(a) < min(surge, most):
+            continue
+        b = a
+        while b + 1 < len(size) and total(b + 1) >= min(dive, most):
+            b += 1
+        solid = [i for i in range(a, b + 1) if size[i] >= min(dive, most) or (plain[i] and lines[i].main)]
+        if solid:
+            kept |= {i for i in range(solid[0], solid[-1] + 1) if size[i]}
+    first = {}
+    for i in sorted(kept):
+        first.setdefault(lines[i].container, i)
+    kept |= {i for i, x in enumerate(lines) if plain[i] and first.get(x.container, len(lines)) < i}
+    return "\n".join(lines[i].text for i in sorted(kept))
+
+
+PARTS = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<div class='ad'>", "<a href=x>", "</a>", "<br>", "<h1>", "</h1>", "word", "A short line.", "A sentence of a body that goes on and on, long enough to matter. ", "&amp;", "<b>", "<footer>", "</footer>", "<!-- x -->", "<script>y</script>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=40))
+def test_line_blocks_equal_brute_force(parts):
+    assert main_text("".join(parts)) == brute_main_text("".join(parts))
+
+
+def test_windows_decide(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    everything = ["\n".join(x.text for x in page_lines(p, 3) if x.text) for p in pages]
+    got = list(map(main_text, pages))
+    assert got == list(map(brute_main_text, pages))
+    assert np.mean([a != b for a, b in zip(got, everything)]) > 0.9
+
+
+@pytest.mark.parametrize("piece", ["<a \"'", "<a ", "<b>x<br>", "</p>", "<!x ", "<div></b>", '<a href="x> <p>'])
+def test_bad_markup_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    main_text(piece * (200_000 // len(piece)))
+    assert time.process_time() - began < 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from(list("<>/ap \"'=&;!-dn")), max_size=80))
 def test_any_markup_ends(page):
