@@ -185,7 +185,7 @@ def tokens(text):
 @pytest.mark.parametrize("name", ["corpus", "odd"])
 def test_language_model(request, name):
     df = request.getfixturevalue(name)
-    got = P.score_documents(df, most=30, sample=20).collect()
+    got = P.score_documents(df, most=30).collect()
     rows = df.collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     count = Counter(t for r in rows if not held(r.doc_id) for t in tokens(r.text))
@@ -238,6 +238,68 @@ def test_tables_follow_their_conditional():
     assert np.bincount(drawn, minlength=c + 1)[1:] / 200_000 == pytest.approx(s / s.sum(), abs=0.01)
 
 
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.9])
+def test_tables_of_many_customers(d):
+    for c in (P.EXACT, 300, 1000):
+        row = np.array([0.0])  # logarithms of Stirling numbers of n customers at 1 ... n tables
+        for n in range(1, c):
+            row = np.logaddexp(np.r_[row + np.log(n - np.arange(1, n + 1) * d), -np.inf], np.r_[-np.inf, row])
+        k = np.arange(1, c + 1)
+        for a in (0.01, 0.5, 3.0, 60.0, 5000.0, 1e6):
+            p = np.exp(row + k * math.log(a) - (row + k * math.log(a)).max())
+            mean = (p * k).sum() / p.sum()
+            deviation = math.sqrt((p * (k - mean) ** 2).sum() / p.sum())
+            drawn = P.tables(np.full(20_000, c), np.full(20_000, a), d, np.random.default_rng(4))
+            assert drawn.min() >= 1 and drawn.max() <= c
+            assert drawn.mean() == pytest.approx(mean, rel=0.045) and drawn.std() == pytest.approx(deviation, rel=0.1, abs=0.02)
+
+
+def test_scores_equal_brute_force_over_the_seating(corpus):
+    """Each text's score from plain dictionaries of the seating that the shards hold."""
+    most = 25
+    model = P.fit(corpus, most=most, burn_in=1, keep=2)
+    frequent = model.frequent.value
+    names = {xxhash.xxh64_intdigest(w): w for r in corpus.collect() for w in tokens(r.text)}
+    by_number = {i: w for w, i in frequent.items()}
+    seats, parents = [{} for _ in model.kept], [{} for _ in model.kept]
+    for row in model.shards.collect():
+        shard = P.Shard(row.asDict())
+        runs = shard.rooms.run(model.chain[:-1])
+        size = -(-model.most // model.parts)  # frequent words of a block
+        own = [by_number[row.shard * size + int(x)] if row.kind == 0 else names[int(x)] for x in shard.names]
+        for k, r in enumerate(model.kept):
+            t, c1, t1 = runs[r]
+            for i, key in enumerate(shard.types.tolist()):
+                seats[k][own[key // P.CONTEXTS], key % P.CONTEXTS] = (int(shard.rooms.count[i]), int(t[i]))
+            for i, w in enumerate(own):
+                parents[k][w] = (int(c1[i]), int(t1[i]))
+
+    def context(w):
+        i = frequent.get(w, -1)
+        return 1 + i if 0 <= i < P.OWN else P.suffix_class(w)
+
+    def probability(w, ctx):
+        total = 0.0
+        for k, r in enumerate(model.kept):
+            m = model.chain[r + 1]
+            c1, t1 = parents[k].get(w, (0, 0))
+            parent = (c1 - m["d1"] * t1 + (m["theta1"] + m["d1"] * m["T1"]) / (model.corpus["V"] + 1)) / (m["theta1"] + m["C1"])
+            c, t = seats[k].get((w, ctx), (0, 0))
+            total += (c - m["d"] * t + (m["theta"] + m["d"] * m["t"][ctx]) * parent) / (m["theta"] + m["c"][ctx])
+        return total / len(model.kept)
+
+    want = {}
+    for r in corpus.collect():
+        ctx, score = 0, 0.0
+        for w in tokens(r.text):
+            score += math.log10(probability(w, ctx))
+            ctx = context(w)
+        want[r.doc_id] = score
+    for r in P.score_documents(corpus, most=most, burn_in=1, keep=2).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-5)
+        assert r.perplexity == pytest.approx(10 ** (-want[r.doc_id] / r.n_tokens), rel=1e-4)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     rng = random.Random(12)
     bench = [" ".join(f"q{i}b{k}" for k in range(30)) for i in range(3)]
