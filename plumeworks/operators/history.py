@@ -101,10 +101,10 @@ def public(runs: DataFrame) -> DataFrame:
 
 
 def detail_tree(runs: DataFrame, vehicles: DataFrame, regions: DataFrame) -> DataFrame:
-    """Runs with their vehicles in frame order, each with its worst region or null."""
-    region = regions.groupBy("vehicle_id").agg(F.max(F.struct("intensity", "confidence", "area_ratio", "opacity")).alias("region"))
+    """Runs with their vehicles in frame order, each with its regions, the worst first."""
+    region = regions.groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct("intensity", "confidence", "area_ratio", "opacity")), asc=False).alias("regions"))
     cars = vehicles.join(runs.select("analysis_id"), "analysis_id", "left_semi").groupBy("vehicle_id").agg(*(F.first(c).alias(c) for c in vehicles.columns if c != "vehicle_id"))
-    nested = F.struct(F.coalesce("frame_number", F.lit(-1)).alias("frame"), (-F.col("confidence")).alias("order"), "vehicle_id", "vehicle_type", "confidence", "region.intensity")
+    nested = F.struct(F.coalesce("frame_number", F.lit(-1)).alias("frame"), (-F.col("confidence")).alias("order"), "vehicle_id", "vehicle_type", "confidence", F.coalesce("regions", F.array()).alias("regions"))
     tree = cars.join(region, "vehicle_id", "left").groupBy("analysis_id").agg(F.array_sort(F.collect_list(nested)).alias("vehicles"))
     return runs.join(tree, "analysis_id", "left")
 

@@ -82,15 +82,15 @@ def public_projection(spark, sf_dir):
 
 @query(
     sql(
-        "SELECT r.analysis_id, status, string_agg(vehicle_type || ':' || frame_number || ':' || coalesce(CAST(CAST(round(intensity*1000000) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY frame_number, confidence DESC, vehicle_id) AS vehicles FROM runs r LEFT JOIN cars v USING (analysis_id) LEFT JOIN worst w USING (vehicle_id) WHERE r.user_id < 300 GROUP BY r.analysis_id, status",
+        "SELECT r.analysis_id, status, string_agg(vehicle_type || ':' || frame_number || ':' || coalesce(regions, '-'), ',' ORDER BY frame_number, confidence DESC, vehicle_id) AS vehicles FROM runs r LEFT JOIN cars v USING (analysis_id) LEFT JOIN nested w USING (vehicle_id) GROUP BY r.analysis_id, status",
         "runs", "vehicles", "regions",
-        worst="SELECT vehicle_id, max(intensity) AS intensity FROM regions GROUP BY vehicle_id",
+        nested="SELECT vehicle_id, string_agg(CAST(CAST(round(intensity*1000000) AS BIGINT) AS VARCHAR), '+' ORDER BY intensity DESC) AS regions FROM regions GROUP BY vehicle_id",
         cars="SELECT vehicle_id, any_value(analysis_id) AS analysis_id, any_value(vehicle_type) AS vehicle_type, any_value(frame_number) AS frame_number, any_value(confidence) AS confidence FROM vehicles GROUP BY vehicle_id",
     )
 )
 def detail_tree(spark, sf_dir):
-    tree = H.detail_tree(A.runs(spark, sf_dir).where("user_id < 300"), A.vehicles(spark, sf_dir), A.regions(spark, sf_dir))
-    text = F.transform("vehicles", lambda v: F.concat_ws(":", v.vehicle_type, v.frame.cast("string"), F.coalesce(F.round(v.intensity * 1000000).cast("bigint").cast("string"), F.lit("-"))))
+    tree = H.detail_tree(A.runs(spark, sf_dir), A.vehicles(spark, sf_dir), A.regions(spark, sf_dir))
+    text = F.transform("vehicles", lambda v: F.concat_ws(":", v.vehicle_type, v.frame.cast("string"), F.coalesce(F.nullif(F.concat_ws("+", F.transform(v.regions, lambda r: F.round(r.intensity * 1000000).cast("bigint").cast("string"))), F.lit("")), F.lit("-"))))
     return tree.select("analysis_id", "status", F.nullif(F.concat_ws(",", text), F.lit("")).alias("vehicles"))
 
 

@@ -182,23 +182,23 @@ def band_edges(spark, sf_dir):
     return rows.groupBy(classify(v).alias("pipeline_band"), severity_for(v).alias("stored_band")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT clip_id, frame, worst, smoking, vehicles, confidence_sum, place FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY worst DESC, smoking DESC, vehicles DESC, confidence_sum DESC, frame) AS place FROM fr) WHERE place <= 3", "vehicles", "regions", **_ONE, d=_PAIR, fr=f"SELECT clip_id, frame, max(CASE WHEN intensity IS NULL THEN -1 ELSE {_RANK} END) AS worst, count(intensity) AS smoking, count(*) AS vehicles, round(sum(confidence), 4) AS confidence_sum FROM d GROUP BY 1, 2"))
+@query(sql("SELECT clip_id, frame, worst, smoking, vehicles, confidence_sum, place FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY worst DESC, smoking DESC, vehicles DESC, confidence_sum DESC, frame) AS place FROM fr) WHERE place <= 12", "vehicles", "regions", **_ONE, d=_PAIR, fr=f"SELECT clip_id, frame, max(CASE WHEN intensity IS NULL THEN -1 ELSE {_RANK} END) AS worst, count(intensity) AS smoking, count(*) AS vehicles, round(sum(confidence), 4) AS confidence_sum FROM d GROUP BY 1, 2"))
 def frame_interest_top(spark, sf_dir):
-    return T.interesting_frames(_detections(spark, sf_dir), 3)
+    return T.interesting_frames(_detections(spark, sf_dir))
 
 
-@query(sql("SELECT clip_id, frame, vehicle_id, smoking FROM (SELECT clip_id, frame, vehicle_id, intensity IS NOT NULL AS smoking, row_number() OVER (PARTITION BY clip_id, intensity IS NOT NULL ORDER BY frame, vehicle_id) AS place FROM d) WHERE place <= CASE WHEN smoking THEN 2 ELSE 1 END", "vehicles", "regions", **_ONE, d=_PAIR))
+@query(sql("SELECT clip_id, frame, vehicle_id, smoking FROM (SELECT clip_id, frame, vehicle_id, intensity IS NOT NULL AS smoking, row_number() OVER (PARTITION BY clip_id, intensity IS NOT NULL ORDER BY frame, vehicle_id) AS place FROM d) WHERE place <= CASE WHEN smoking THEN 150 ELSE 80 END", "vehicles", "regions", **_ONE, d=_PAIR))
 def artifact_budget(spark, sf_dir):
-    return T.artifact_budget(_detections(spark, sf_dir), 2, 1).select("clip_id", "frame", "vehicle_id", "smoking")
+    return T.artifact_budget(_detections(spark, sf_dir), 150, 80).select("clip_id", "frame", "vehicle_id", "smoking")
 
 
-@query(sql("SELECT clip_id, frame, vehicle_id, confidence, total - least(total, 4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame NULLS FIRST, confidence DESC, vehicle_id) AS place, count(*) OVER (PARTITION BY clip_id) AS total FROM d) WHERE place <= 4", "vehicles", "regions", **_ONE, d=_PAIR))
+@query(sql("SELECT clip_id, frame, vehicle_id, confidence, total - least(total, 200) AS more FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame NULLS FIRST, confidence DESC, vehicle_id) AS place, count(*) OVER (PARTITION BY clip_id) AS total FROM d) WHERE place <= 200", "vehicles", "regions", **_ONE, d=_PAIR))
 def detection_table_top(spark, sf_dir):
     """The first detections of each clip and how many more there are."""
     d = _detections(spark, sf_dir)
     totals = d.groupBy("clip_id").agg(F.count("*").alias("total"))
-    top = H.top_per_group(d, ["clip_id"], [F.col("frame").asc_nulls_first(), F.desc("confidence"), F.col("vehicle_id")], 4)
-    return top.join(totals, "clip_id").select("clip_id", "frame", "vehicle_id", "confidence", (F.col("total") - F.least(F.col("total"), F.lit(4))).alias("more"))
+    top = H.top_per_group(d, ["clip_id"], [F.col("frame").asc_nulls_first(), F.desc("confidence"), F.col("vehicle_id")], 200)
+    return top.join(totals, "clip_id").select("clip_id", "frame", "vehicle_id", "confidence", (F.col("total") - F.least(F.col("total"), F.lit(200))).alias("more"))
 
 
 @query(sql(f"SELECT f.name, vehicles, smoking, CASE WHEN worst >= 0 THEN (['low','moderate','high'])[worst+1] ELSE '' END AS dominant FROM fs f LEFT JOIN (SELECT clip_id, frame, count(*) AS vehicles, count(intensity) AS smoking, max(CASE WHEN intensity IS NULL THEN -1 ELSE {_RANK} END) AS worst FROM d GROUP BY 1, 2) g ON g.clip_id = f.clip_id AND g.frame = CAST(regexp_extract(f.name, '_(\\d+)\\.jpg', 1) AS INTEGER)", "vehicles", "regions", **_ONE, d=_PAIR, fs="SELECT analysis_id AS clip_id, 'run' || analysis_id || '_' || (analysis_id%8) || '.jpg' AS name FROM (SELECT DISTINCT analysis_id FROM vehicles)"))
