@@ -13,8 +13,9 @@ fingerprints travel in blocks dealt by hash, and a pair of blocks returns a
 spanning forest of its links, never all pairs of a dense group.
 
 Cases: texts without words (null, empty, blank) have fingerprint zero and are
-linked like others. Texts of one or two words have one shingle. Repeated rows
-share a component. Rows without doc_id are linked too; a component of such rows
+linked like others. Texts of one or two words have one shingle; of long texts all
+shingles count. A bit that half of the hashes set is 0. Repeated rows share a
+component. Rows without doc_id are linked too; a component of such rows
 only has no id. Empty tables give no row. Other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_type, slices, stored, texts
-from .components import components
+from .components import components, with_least
 
 SEED = 42
 #: Blocks that a cell's fingerprints are dealt to; a cell of one fingerprint fills one of them.
@@ -134,8 +135,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     """One row per row of docs: doc_id, fp (the fingerprint as a signed integer), component_id (its least doc_id)."""
     kind = id_type(docs, key)
     prints = stored(docs.select(key, column).mapInArrow(partial(_fingerprints, key=key, column=column, width=width), f"doc_id {kind}, fp long"), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     labels = components(links(distinct.select("fp"), most))
-    named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "rows", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("degree"))
+    # a component of many fingerprints, and a fingerprint of many rows, are not dealt to one task
+    total = prints.count()
+    owned = with_least(named, least, "component", total).select("fp", "component_id", F.col("rows").alias("degree"))
+    return with_least(prints, owned, "fp", total).select("doc_id", "fp", "component_id")

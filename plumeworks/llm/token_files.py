@@ -7,11 +7,12 @@ begin. Layout, all little-endian: the header below, then keys (i64 a row), row
 ends in ids (u64 a row), level sizes in 64-bit words (u32 a level), level words
 (u64), fingerprints (u32 a slot), rows (u32 a slot), ids (u16 or u32).
 
-Cases: null and empty texts hold the end id alone. A null key takes the
-smallest 64-bit integer's place and comes back as null. Repeated keys are kept
-in the order Spark sorts them; the index gives the first row and the rest
-follow it. Empty tables write no file and read back as no row. Other columns
-are ignored.
+Cases: null and empty texts hold the end id alone. Rows without a key come first,
+counted in the header, and are in no index. Repeated keys are kept in the order
+Spark sorts them, by the hash of their texts; the index gives the first row and
+the rest follow it. Empty tables write no file and read back as no row. Texts of
+any length are encoded whole; a shard holds one text at least. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from pyspark.sql import functions as F
 from .common import partitions, scratch_path, slices, stored, texts
 from .pretokens import encode_texts
 
-MAGIC = b"PWT1"
-#: magic, bytes of an id, levels, rows, slots, ids.
-HEADER = struct.Struct("<4sHHQQQ")
-NULL_KEY = np.iinfo(np.int64).min
+MAGIC = b"PWT2"
+#: magic, bytes of an id, levels, rows, rows without key, slots, ids.
+HEADER = struct.Struct("<4sHHQQQQ")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,22 +86,28 @@ class PerfectHash:
         return mix(keys, cls.FINGERPRINT_SEED).astype(np.uint32)
 
 
-def shard_bytes(keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of one shard; keys ascend."""
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+def shard_bytes(keys: np.ndarray, lens: np.ndarray, ids: np.ndarray, bare: int = 0) -> bytes:
+    """The file of one shard; keys ascend, behind `bare` rows without one."""
+    first = first_rows(keys, bare)
     index = PerfectHash.build(keys[first])
     slot = index.slots(keys[first])
     prints, rows = np.zeros(len(first), "<u4"), np.zeros(len(first), "<u4")
     prints[slot], rows[slot] = PerfectHash.fingerprints(keys[first]), first
-    head = HEADER.pack(MAGIC, ids.itemsize, len(index.levels), len(keys), len(first), len(ids))
+    head = HEADER.pack(MAGIC, ids.itemsize, len(index.levels), len(keys), bare, len(first), len(ids))
     return b"".join([head, keys.astype("<i8").tobytes(), lens.cumsum().astype("<u8").tobytes(), np.array([len(x) for x in index.levels], "<u4").tobytes(), index.words.astype("<u8").tobytes(), prints.tobytes(), rows.tobytes(), ids.tobytes()])
 
 
+def first_rows(keys: np.ndarray, bare: int) -> np.ndarray:
+    """The first row of each key."""
+    rest = keys[bare:]
+    return np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]][: len(rest)]) + bare
+
+
 class Shard:
     """A shard file's bytes, with keyed access."""
 
     def __init__(self, raw: bytes):
-        magic, width, levels, n, slots, total = HEADER.unpack_from(raw)
+        magic, width, levels, n, self.bare, slots, total = HEADER.unpack_from(raw)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at = HEADER.size
@@ -142,17 +148,17 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, width: int, most:
     """Write a partition's rows, which ascend by key, as shards of about `most` ids."""
     task = TaskContext.get()
     system, base = _file_system(folder)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     part, seq = task.partitionId(), 0
 
     def flush():
         nonlocal seq
-        keys, lens, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, bare, lens, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         name = f"{part:08d}-{seq:06d}.ids"
         draft = f"{base}/.{name}.{task.taskAttemptId()}"
         with system.open_output_stream(draft) as out:
-            out.write(shard_bytes(keys, lens, ids))
+            out.write(shard_bytes(keys, lens, ids, int(bare.sum())))
         system.move(draft, f"{base}/{name}")  # a repeated task replaces the file by an equal one
         seq += 1
         return pa.RecordBatch.from_pydict({"shard": [name], "n_rows": [len(keys)], "n_ids": [len(ids)]}, schema=pa.schema([("shard", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
@@ -165,7 +171,8 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, width: int, most:
         inner = np.ones(len(full), bool)
         inner[lens.cumsum() - 1] = False
         full[inner] = ids
-        held.append((batch.column("key").fill_null(NULL_KEY).to_numpy(), lens, full))
+        keys = batch.column("key")
+        held.append((keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), lens, full))
         waiting += len(full)
         if waiting >= most:
             yield flush()
@@ -186,7 +193,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     system, base = _file_system(folder)
     system.create_dir(base)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
+    rows = rows.repartitionByRange(partitions(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
     made = rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width, most=most), "shard string, n_rows long, n_ids long")
     made = stored(made, "shards")
     return made.withColumn("start", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
@@ -198,16 +205,17 @@ def _read(batches, folder: str):
         for name, start in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist(), strict=True):
             with system.open_input_stream(f"{base}/{name}") as file:
                 shard = Shard(file.read())
-            found = shard.find(shard.keys)
-            rows = np.arange(len(found))
-            begin = np.flatnonzero(np.r_[True, shard.keys[1:] != shard.keys[:-1]])
-            if (found != np.repeat(begin, np.diff(np.r_[begin, len(rows)]))).any():
+            rows, begin = np.arange(len(shard.keys)), first_rows(shard.keys, shard.bare)
+            found = shard.find(shard.keys[begin])
+            if (found != begin).any():
                 raise ValueError(f"{name}: the index does not find its keys")
-            found += rows - found  # the rows of a repeated key follow its first
-            spans = [shard.span(int(r)) for r in found]
+            # rows without a key, then the rows of each key from the one that the index gives
+            each = np.diff(np.r_[begin, len(rows)])
+            rows[shard.bare :] = np.repeat(found, each) + rows[shard.bare :] - np.repeat(begin, each)
+            spans = [shard.span(int(r)) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shard.keys, pa.int64(), mask=shard.keys == NULL_KEY),
+                    pa.array(shard.keys, pa.int64(), mask=rows < shard.bare),
                     pa.array([start + a for a, _ in spans], pa.int64()),
                     pa.array([b - a for a, b in spans], pa.int64()),
                     pa.array([zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in spans], pa.int64()),

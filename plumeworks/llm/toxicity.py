@@ -13,7 +13,8 @@ grade, chosen by hash; scoring covers every row and whole texts.
 Cases: null and empty texts have no features and the grade that the thresholds
 alone give. Labels without grade or without document are not used; without
 labels of two grades nothing is toxic and severity is 0. Repeated rows get equal
-rows. Other columns are ignored.
+rows; a document with several grades is a row of each. Ties in the sample's order
+are broken by doc_id. Texts of any length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations

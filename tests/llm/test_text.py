@@ -209,6 +209,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in got.items() if not r.rejected}
 
 
+def test_severity_equals_brute_force(spark):
+    """Scores from the model's weights and thresholds by the definition of the cumulative link."""
+    docs, grades = toxic_corpus(spark)
+    model = T.fit_toxicity(docs, grades)
+    assert model.weights and list(model.thresholds) == sorted(model.thresholds)
+    got = {r.doc_id: r for r in T.score_toxicity(docs, model).collect()}
+    for r in docs.collect():
+        score = sum(model.weights.get(f, 0.0) for f in T.features(r.text or ""))
+        over = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert got[r.doc_id].expected_severity == pytest.approx(sum(over), abs=1e-9)
+        assert got[r.doc_id].grade == sum(p > 0.5 for p in over) and got[r.doc_id].rejected == (over[0] >= 0.3)
+
+
 def test_ordinal_gradient_lowers_the_loss():
     rows, cols = np.array([0, 1, 2, 3, 3]), np.array([0, 1, 2, 0, 2])
     w, t = T.fit(rows, cols, 3, np.array([0, 1, 2, 1]), 1e-4, 800)

@@ -83,6 +83,16 @@ def test_token_files_round_trip(spark, odd, none):
     assert [r.doc_id or 0 for r in sorted(got, key=lambda r: r.start)] == [r.doc_id or 0 for r in rows]
 
 
+def test_least_key_is_a_key(spark):
+    least = -(2**63)
+    rows = [(None, "a"), (least, "b c"), (least, "b c"), (None, "a"), (5, "d")]
+    got = token_files.round_trip(spark, spark.createDataFrame(rows, "doc_id long, text string"), WORD, 1).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, least, least, 5]
+    keys = np.array([0, 0, least, least, 5])
+    shard = token_files.Shard(token_files.shard_bytes(keys, np.ones(5, np.int64), np.arange(5, dtype="<u2"), 2))
+    assert shard.bare == 2 and shard.find(np.array([least, 5, 0])).tolist() == [2, 4, -1]
+
+
 def test_shards_roll_and_keep_order(spark, corpus):
     folder = scratch_path(spark, "roll")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # a shard takes whole batches
