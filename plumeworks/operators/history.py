@@ -75,11 +75,36 @@ class HistoryFilter:
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of rows; the size is kept within its bound."""
+    """One page of rows; the size is kept within its bound.
+
+    What stands before the page passes the driver too, so deep pages are better reached by page_after().
+    """
     size = max(1, min(MAX_PAGE_SIZE, size))
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, ordering: str, last: tuple | None, size: int = PAGE_SIZE) -> DataFrame:
+    """The page behind the row `last` (its sort key and analysis_id; None for the first page), in the order of HistoryFilter.
+
+    Its cost does not grow with the number of the page: the key filters the scan, and one page of rows goes to the driver.
+    """
+    name, down = ordering.lstrip("-"), ordering.startswith("-")
+    if name not in SORT_KEYS:
+        raise ValueError(f"unknown ordering: {ordering!r}")
+    key = F.col(name)
+    if last is not None:
+        value, at = last
+        behind = F.col("analysis_id") > at
+        if value is None:  # nulls come last when the order falls and first when it rises
+            df = df.where((key.isNull() & behind) if down else (key.isNotNull() | behind))
+        elif down:
+            df = df.where((key < F.lit(value)) | key.isNull() | ((key == F.lit(value)) & behind))
+        else:
+            df = df.where((key > F.lit(value)) | ((key == F.lit(value)) & behind))
+    order = [key.desc_nulls_last() if down else key.asc_nulls_first(), F.col("analysis_id").asc()]
+    return df.orderBy(*order).limit(max(1, min(MAX_PAGE_SIZE, size)))
+
+
 def page_envelope(df: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """Count, pages, and the numbers of the pages before and behind."""
     size = max(1, min(MAX_PAGE_SIZE, size))

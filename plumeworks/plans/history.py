@@ -29,6 +29,16 @@ def history_page(spark, sf_dir):
     return H.page(rows, f.order(), 2).select(*_COLUMNS)
 
 
+@query(sql("SELECT analysis_id, overall_severity, status FROM runs ORDER BY overall_severity DESC, analysis_id LIMIT 10 OFFSET 30", "runs"))
+def history_page_after(spark, sf_dir):
+    """The fourth page, reached by keys."""
+    runs, last = A.runs(spark, sf_dir), None
+    for _ in range(3):
+        row = H.page_after(runs, "-overall_severity", last).collect()[-1]
+        last = (row.overall_severity, row.analysis_id)
+    return H.page_after(runs, "-overall_severity", last).select("analysis_id", "overall_severity", "status")
+
+
 @query(sql(f"SELECT count(*) AS count, 2 AS page, greatest(1, CAST(ceil(count(*)/10.0) AS BIGINT)) AS pages, 10 AS page_size, CASE WHEN 2 < ceil(count(*)/10.0) THEN 3 END AS next_page, 1 AS previous_page FROM runs WHERE user_id = {USER}", "runs"))
 def history_envelope(spark, sf_dir):
     return H.page_envelope(H.owned(A.runs(spark, sf_dir), USER), 2)

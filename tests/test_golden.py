@@ -304,3 +304,14 @@ def test_stream_tracks_wait_for_late_frames(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     got = drain(R.track_stream(R.read_events(spark, path, spark.createDataFrame([], schema).schema, per_trigger=1), late="30 seconds"), "update", "late").collect()
     assert max((r.steps, r.tracks) for r in got) == (5, 1)  # the frame at 100 s waits
+
+
+def test_pages_by_key_with_nulls(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i % 4)) for i in range(23)], "analysis_id long, avg_confidence double")
+    for ordering in ("avg_confidence", "-avg_confidence"):
+        whole = [tuple(r) for r in df.orderBy(*H.HistoryFilter(ordering=ordering).order()).collect()]
+        got, last = [], None
+        while rows := H.page_after(df, ordering, last, 5).collect():
+            got += [tuple(r) for r in rows]
+            last = (rows[-1].avg_confidence, rows[-1].analysis_id)
+        assert got == whole
