@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching (operator 2).
 
 Texts are reduced to lower-case words joined by single spaces. A benchmark item
-of n characters may differ by k = n * error_rate edits; it is split into k + 1
+of n characters may differ by k edits, n * error_rate and a few; it is split into k + 1
 pieces, of which one at least must survive k edits, so an exact hit of a piece
 is looked for in one scan over the text. Where the text around a hit lacks no
 more of the item's 4-grams than k edits can spoil, Myers' bit-parallel distance
@@ -32,6 +32,7 @@ WORD = re.compile(r"\w+")
 GRAM = 4
 #: Items of fewer characters are matched as they are, between word boundaries.
 SHORT = 32
+SPARE = 2
 
 
 def reduced(text: str | None) -> str:
@@ -70,6 +71,11 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
+def budget(n: int, error_rate: float) -> int:
+    """Edits that an item of n characters may bear: a share of them, and up to SPARE more, without which a short item bears no changed word."""
+    return 0 if n < SHORT else int(n * error_rate) + min(SPARE, n // 40)
+
+
 def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
@@ -80,11 +86,11 @@ class PieceIndex:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items = [(key, text, int(len(text) * error_rate) if len(text) >= SHORT else 0) for key, text in items]
+        self.items = [(key, text, budget(len(text), error_rate)) for key, text in items]
         self.grams = [grams(text) for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, text, budget) in enumerate(self.items):
-            for offset, piece in cut(text, budget + 1):
+        for i, (_, text, edits) in enumerate(self.items):
+            for offset, piece in cut(text, edits + 1):
                 places.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, at in places.items():
@@ -103,7 +109,7 @@ class PieceIndex:
                 begins.setdefault(i, []).append(end + 1 - size - offset)
         found = []
         for i, starts in sorted(begins.items()):
-            key, item, budget = self.items[i]
+            key, item, most = self.items[i]
             if len(item) < SHORT:
                 if whole := [s for s in sorted(starts) if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")]:
                     found.append((key, 0, whole[0], whole[0] + len(item)))
@@ -111,20 +117,20 @@ class PieceIndex:
             best = None
             windows: list[list[int]] = []
             for s in sorted(starts):
-                a, b = max(0, s - budget), s + len(item) + budget
+                a, b = max(0, s - most), s + len(item) + most
                 if windows and a <= windows[-1][1]:
                     windows[-1][1] = b
                 else:
                     windows.append([a, b])
             for a, b in windows:
                 # an edit spoils GRAM grams of the item at most; where more are missing no occurrence can be
-                if len(self.grams[i].difference(grams(text[a:b]))) > budget * GRAM:
+                if len(self.grams[i].difference(grams(text[a:b]))) > most * GRAM:
                     continue
-                if (hit := myers(item, text[a:b], budget)) and (best is None or hit[0] < best[0]):
+                if (hit := myers(item, text[a:b], most)) and (best is None or hit[0] < best[0]):
                     best = (hit[0], a + hit[1])
             if best:
                 edits, end = best
-                back = myers(item[::-1], text[max(0, end - len(item) - budget) : end][::-1][: len(item) + budget], budget)
+                back = myers(item[::-1], text[max(0, end - len(item) - most) : end][::-1][: len(item) + most], most)
                 # the reversed pattern's best end is where the occurrence begins, where it ends as early as here
                 found.append((key, edits, max(0, end - back[1]) if back else end, end))
         return found

@@ -163,7 +163,7 @@ def test_contaminated_equals_brute_force(spark, items):
     for d, text in docs:
         for i, item in known.items():
             e, _ = edits(item, X.reduced(text))
-            if e <= int(len(item) * 0.08) if len(item) >= X.SHORT else f" {item} " in f" {X.reduced(text)} ":
+            if e <= X.budget(len(item), 0.08) if len(item) >= X.SHORT else f" {item} " in f" {X.reduced(text)} ":
                 want.add((d, i, e))
     got = X.contaminated(df, items).collect()
     assert {(r.doc_id, r.item_id, r.edits) for r in got} == want and want
