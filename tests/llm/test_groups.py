@@ -205,30 +205,56 @@ def test_frequent_words_are_those_of_all_training_rows(spark):
     rows = [(None, f"a w{i} w{i % 7}") for i in range(9000)]
     count = Counter(t for _, x in rows for t in x.split())
     want = [b"", *(w.encode() for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:8])]
-    assert list(P.frequent_words(spark.createDataFrame(rows, "doc_id long, text string"), 8)) == want
+    contexts = P.contexts_of(spark.createDataFrame(rows, "doc_id long, text string"), 8, unit=500)
+    assert list(contexts.words) == want
+    assert contexts.buckets == round((9000 * 4 / 500) ** 0.25) == 3 and contexts.size == len(contexts.group) == 1 + 3 * 127
+    assert [contexts.of(w) for w in want] == [1 + i for i in range(9)]
+    assert 1 + 3 * P.OWN <= contexts.of(b"other") < contexts.size
+    assert contexts.group[contexts.of(b"other")] == contexts.group[contexts.of(b"another")] == 1 + P.ending(b"her")
+
+
+def test_contexts_grow_with_the_tokens():
+    assert [P.buckets(n, 1 << 24) for n in (0, 1 << 20, 1 << 24, 1 << 28, 1 << 32, 1 << 44)] == [1, 1, 1, 2, 4, 32]
+    words = {f"w{i}".encode(): i for i in range(3000)}
+    for per in (1, 2, 40, 300):
+        contexts = P.Contexts(words, per)
+        found = [contexts.of(w) for w in words] + [contexts.of(f"v{i}".encode()) for i in range(3000)]
+        assert 1 <= min(found) and max(found) < contexts.size == len(contexts.group) <= int(contexts.held)
+        assert [contexts.group[c] for c in found[:3000]] == [1 + P.ending(w) for w in words]
+
 
 
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    key = np.unique(rng.integers(0, 40 * P.CONTEXTS, 600))
-    word, context, count = key // P.CONTEXTS, key % P.CONTEXTS, rng.integers(1, 200, len(key))
-    rooms = P.Restaurants(word, context, count, 3, 40)
-    c = np.bincount(context, count, P.CONTEXTS)
-    fixed = {"d": 0.6, "d1": 0.7, "theta": 1.0, "theta1": 1.0, "c": c}
-    state = lambda t, t1: fixed | {"t": t, "C1": t.sum(), "T1": t1, "new1": (1.0 + 0.7 * t1) / 41}
-    m = state(np.bincount(context, minlength=P.CONTEXTS), 40)
+    group = P.Contexts({b"": 0, b"one": 1}, 2).group
+    size = len(group)
+    key = np.unique(rng.integers(0, 40 * size, 3000))
+    word, context, count = key // size, key % size, rng.integers(1, 200, len(key))
+    rooms = P.Restaurants(word, context, count, 3, 40, group)
+    c = np.bincount(context, count, size)
+    fixed = {"d": 0.6, "d2": 0.5, "d1": 0.7, "theta": 1.0, "theta2": 1.0, "theta1": 1.0, "c": c}
+
+    def state(totals):
+        t, t2, t1 = totals[:size], totals[size:-1], totals[-1]
+        return fixed | {"t": t, "c2": np.bincount(group, t, P.ENDINGS + 1), "t2": t2, "C1": t2.sum(), "T1": t1, "new1": (1.0 + 0.7 * t1) / 41}
+
+    m = state(rooms.totals())
     for _ in range(3):
         rooms.sweep(m)
-        totals = rooms.totals()
-        m = state(totals[: P.CONTEXTS], totals[-1])
-    assert ((rooms.t >= 1) & (rooms.t <= count)).all() and ((rooms.t1 >= 1) & (rooms.t1 <= rooms.c1)).all()
-    parent = np.r_[rooms.c1 - m["d1"] * rooms.t1 + m["new1"], m["new1"]] / (m["theta1"] + m["C1"])
-    assert parent.sum() == pytest.approx(1)
-    for ctx in range(P.CONTEXTS):
-        full, seats = np.zeros(41), np.zeros(41)
-        at = context == ctx
-        full[word[at]], seats[word[at]] = count[at], rooms.t[at]
-        assert P.probabilities(m, full, seats, np.full(41, ctx), parent).sum() == pytest.approx(1)
+        m = state(rooms.totals())
+    for seats, guests in ((rooms.t, count), (rooms.t2, rooms.c2), (rooms.t1, rooms.c1)):
+        assert ((seats >= 1) & (seats <= guests)).all()
+    assert rooms.c2.sum() == rooms.t.sum() and rooms.c1.sum() == rooms.t2.sum()
+    root = P.root_probability(m, np.r_[rooms.c1, 0], np.r_[rooms.t1, 0])
+    assert root.sum() == pytest.approx(1)
+    for ctx in range(size):
+        customers, seats, customers2, seats2 = np.zeros((4, 41))
+        at, at2 = context == ctx, rooms.group2 == group[ctx]
+        customers[word[at]], seats[word[at]] = count[at], rooms.t[at]
+        customers2[rooms.word2[at2]], seats2[rooms.word2[at2]] = rooms.c2[at2], rooms.t2[at2]
+        parent = P.parent_probability(m, customers2, seats2, np.full(41, group[ctx]), root)
+        assert parent.sum() == pytest.approx(1)
+        assert P.probabilities(m, customers, seats, np.full(41, ctx), parent).sum() == pytest.approx(1)
 
 
 def test_tables_follow_their_conditional():
@@ -254,36 +280,46 @@ def test_tables_of_many_customers(d):
             assert drawn.mean() == pytest.approx(mean, rel=0.045) and drawn.std() == pytest.approx(deviation, rel=0.1, abs=0.02)
 
 
-def test_scores_equal_brute_force_over_the_seating(corpus):
+@pytest.mark.parametrize("unit", [1 << 24, 400])
+def test_scores_equal_brute_force_over_the_seating(corpus, unit):
     """Each text's score from plain dictionaries of the seating that the shards hold."""
     most = 25
-    model = P.fit(corpus, most=most, burn_in=1, keep=2)
-    frequent = model.frequent.value
+    model = P.fit(corpus, most=most, burn_in=1, keep=2, unit=unit)
+    contexts = model.contexts.value
+    size, group = contexts.size, contexts.group
+    assert (contexts.buckets > 1) == (unit == 400)
     names = {xxhash.xxh64_intdigest(w): w for r in corpus.collect() for w in tokens(r.text)}
-    by_number = {i: w for w, i in frequent.items()}
-    seats, parents = [{} for _ in model.kept], [{} for _ in model.kept]
+    by_number = {i: w for w, i in contexts.words.items()}
+    seats, parents, roots = ([{} for _ in model.kept] for _ in range(3))
     for row in model.shards.collect():
-        shard = P.Shard(row.asDict())
+        shard = P.Shard(row.asDict(), *model.form)
         runs = shard.rooms.run(model.chain[:-1])
-        size = -(-model.most // model.parts)  # frequent words of a block
-        own = [by_number[row.shard * size + int(x)] if row.kind == 0 else names[int(x)] for x in shard.names]
+        block = -(-len(by_number) // model.parts)  # frequent words of a block
+        own = [by_number[row.shard * block + int(x)] if row.kind == 0 else names[int(x)] for x in shard.names]
         for k, r in enumerate(model.kept):
-            t, c1, t1 = runs[r]
+            t, c2, t2, c1, t1 = runs[r]
             for i, key in enumerate(shard.types.tolist()):
-                seats[k][own[key // P.CONTEXTS], key % P.CONTEXTS] = (int(shard.rooms.count[i]), int(t[i]))
+                seats[k][own[key // size], key % size] = (int(shard.rooms.count[i]), int(t[i]))
+            for i, key in enumerate(zip(shard.rooms.word2.tolist(), shard.rooms.group2.tolist())):
+                parents[k][own[key[0]], key[1]] = (int(c2[i]), int(t2[i]))
             for i, w in enumerate(own):
-                parents[k][w] = (int(c1[i]), int(t1[i]))
-
-    def context(w):
-        i = frequent.get(w, -1)
-        return 1 + i if 0 <= i < P.OWN else P.suffix_class(w)
+                roots[k][w] = (int(c1[i]), int(t1[i]))
+    for k, r in enumerate(model.kept):  # guests of a parent are the tables below it, totals those of the chain
+        below = Counter()
+        for (w, ctx), (_, t) in seats[k].items():
+            below[w, group[ctx]] += t
+        assert below == Counter({key: c for key, (c, _) in parents[k].items()})
+        assert sum(t for _, t in seats[k].values()) == model.chain[r + 1]["t"].sum()
+        assert sum(t for _, t in parents[k].values()) == model.chain[r + 1]["C1"]
 
     def probability(w, ctx):
         total = 0.0
         for k, r in enumerate(model.kept):
-            m = model.chain[r + 1]
-            c1, t1 = parents[k].get(w, (0, 0))
-            parent = (c1 - m["d1"] * t1 + (m["theta1"] + m["d1"] * m["T1"]) / (model.corpus["V"] + 1)) / (m["theta1"] + m["C1"])
+            m, g = model.chain[r + 1], group[ctx]
+            c1, t1 = roots[k].get(w, (0, 0))
+            root = (c1 - m["d1"] * t1 + (m["theta1"] + m["d1"] * m["T1"]) / (model.corpus["V"] + 1)) / (m["theta1"] + m["C1"])
+            c2, t2 = parents[k].get((w, g), (0, 0))
+            parent = (c2 - m["d2"] * t2 + (m["theta2"] + m["d2"] * m["t2"][g]) * root) / (m["theta2"] + m["c2"][g])
             c, t = seats[k].get((w, ctx), (0, 0))
             total += (c - m["d"] * t + (m["theta"] + m["d"] * m["t"][ctx]) * parent) / (m["theta"] + m["c"][ctx])
         return total / len(model.kept)
@@ -293,9 +329,9 @@ def test_scores_equal_brute_force_over_the_seating(corpus):
         ctx, score = 0, 0.0
         for w in tokens(r.text):
             score += math.log10(probability(w, ctx))
-            ctx = context(w)
+            ctx = contexts.of(w)
         want[r.doc_id] = score
-    for r in P.score_documents(corpus, most=most, burn_in=1, keep=2).collect():
+    for r in P.score_documents(corpus, most=most, burn_in=1, keep=2, unit=unit).collect():
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-5)
         assert r.perplexity == pytest.approx(10 ** (-want[r.doc_id] / r.n_tokens), rel=1e-4)
 
