@@ -294,7 +294,7 @@ def test_scores_equal_brute_force_over_the_seating(corpus, unit):
     for row in model.shards.collect():
         shard = P.Shard(row.asDict(), *model.form)
         runs = shard.rooms.run(model.chain[:-1])
-        block = -(-len(by_number) // model.parts)  # frequent words of a block
+        block = -(-len(by_number) // model.blocks)  # frequent words of a block
         own = [by_number[row.shard * block + int(x)] if row.kind == 0 else names[int(x)] for x in shard.names]
         for k, r in enumerate(model.kept):
             t, c2, t2, c1, t1 = runs[r]
