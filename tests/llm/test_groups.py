@@ -293,7 +293,7 @@ def test_scores_equal_brute_force_over_the_seating(corpus, unit):
     seats, parents, roots = ([{} for _ in model.kept] for _ in range(3))
     for row in model.shards.collect():
         shard = P.Shard(row.asDict(), *model.form)
-        runs = shard.rooms.run(model.chain[:-1])
+        runs = shard.rooms.run(model.chain[:-1], model.kept)
         block = -(-len(by_number) // model.blocks)  # frequent words of a block
         own = [by_number[row.shard * block + int(x)] if row.kind == 0 else names[int(x)] for x in shard.names]
         for k, r in enumerate(model.kept):
