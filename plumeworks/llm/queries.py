@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 
 #: A document of more tokens than this is over the limit in op5.
@@ -86,6 +87,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector by its first positives; every seventh label is moved on by one."""
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and audit of every document."""
+    from .merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -97,5 +120,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_embedding_dedup": oracles.OP11, "op12_hard_negatives": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
