@@ -16,7 +16,7 @@ returns k rows a window, of which the best k are the result.
 
 Cases: rows without vec_id or label, without a vector, or with null or
 non-finite components take no part. Vectors of another length than the anchor's
-are not compared with it; a vector without components scores 0. Repeated rows
+are not compared with it; two vectors without components score 0. Repeated rows
 are rows like others: each of them is an anchor, a positive of the other, a
 negative. Anchors without positives or without negatives in a window give no
 row for it. Scores that 64 bits can't hold raise OverflowError. Empty tables
@@ -45,6 +45,10 @@ LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 _PART = "vec_id is not null and label is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
 
 
+def whole_product(x: list[float], y: list[float]) -> int:
+    return sum(int(a) * int(b) for a, b in zip(x, y, strict=True))
+
+
 class Shard:
     """Candidates with their integer components and, by dimension, their order."""
 
@@ -59,7 +63,7 @@ class Shard:
         """Exact inner products: in doubles where they hold all sums, else in Python's integers."""
         if self.most * float(np.abs(q).sum()) < 2**53:
             return (x @ q).astype(np.int64)
-        exact = [sum(int(a) * int(b) for a, b in zip(row, q.tolist(), strict=True)) for row in x.tolist()]
+        exact = [whole_product(row, q.tolist()) for row in x.tolist()]
         if any(not LOWEST <= s <= HIGHEST for s in exact):
             raise OverflowError("an inner product does not fit into 64 bits")
         return np.array(exact, np.int64)
@@ -82,7 +86,7 @@ class Shard:
         while depth < n:
             top = np.zeros(len(q))  # the largest products that are left, by dimension
             top[up], top[down] = self.sorted[n - 1 - depth, up], self.sorted[depth, down]
-            bound = int(self.product(top[None], q)[0])
+            bound = whole_product(top.tolist(), q.tolist())
             if all(bound < low or (least is not None and bound < least) for (low, _), least in zip(windows, k_th, strict=True)):
                 break
             to = min(n, depth + step)
@@ -107,8 +111,8 @@ class Shard:
 
 def components_of(column: pa.ListArray) -> np.ndarray:
     """Integer components as doubles, a row for each vector."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    x = np.floor(SCALE * x)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = np.floor(SCALE * x.reshape(len(column), len(x) // max(1, len(column))))
     if np.isinf(x).any():
         raise OverflowError("a component does not fit into a double")
     return x

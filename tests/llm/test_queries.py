@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11_embedding_dedup": "vec_id n_links component_id kept",
+    "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -29,7 +32,9 @@ def test_query_gives_its_rows(spark, name):
     n = got.count()
     if name == "op7_html_text":
         assert n == spark.read.parquet(f"{SF}/pages.parquet").count()
-    elif name == "op2_decontamination":
+    elif name == "op11_embedding_dedup":
+        assert n == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    elif name in ("op2_decontamination", "op12_hard_negatives"):
         assert n > 0
     elif name == "op10_packing":
         assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").distinct().count()
