@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
 from ..functions.stats import confusion_rates, rank_of, ratio
+from .masks import labelled
 
 # Fixed values of the sweep.
 THRESHOLDS = (0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70)
@@ -112,11 +113,6 @@ def mask_confidence(mask: Column, threshold: float) -> Column:
     return F.when(F.size(above) > 0, F.aggregate(above, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.when(F.size(above) > 0, F.size(above))).otherwise(0.0)
 
 
-def split_disjoint(rows: DataFrame, key: str, share: float = 0.2, seed: int = 7) -> DataFrame:
-    """Mark a validation part: a row belongs to it by its key's hash, so both parts are disjoint at any size."""
-    return rows.withColumn("validation", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000)) < int(share * 10000))
-
-
 def dominant_severity(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.max_by("severity", F.struct(severity_rank(F.col("severity")), "severity")).alias("dominant"))
 
@@ -141,21 +137,12 @@ _AROUND = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
 
 def components_of(on: np.ndarray) -> list[set[tuple[int, int]]]:
     """The 8-connected components of a mask, in the order of their first pixels."""
-    seen, found = np.zeros_like(on), []
-    for start in zip(*(x.tolist() for x in np.nonzero(on)), strict=True):
-        if seen[start]:
-            continue
-        stack, cells = [start], {start}
-        seen[start] = True
-        while stack:
-            r, c = stack.pop()
-            for p in ((r + i, c + j) for i, j in _AROUND):
-                if 0 <= p[0] < on.shape[0] and 0 <= p[1] < on.shape[1] and on[p] and not seen[p]:
-                    seen[p] = True
-                    cells.add(p)
-                    stack.append(p)
-        found.append(cells)
-    return found
+    label = labelled(on)
+    row, column = np.nonzero(label)
+    order = np.argsort(label[row, column], kind="stable")
+    cells = list(zip(row[order].tolist(), column[order].tolist(), strict=True))
+    ends = np.bincount(label[row, column], minlength=1)[1:].cumsum().tolist()
+    return [set(cells[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def outer_border(cells: set[tuple[int, int]]) -> list[tuple[int, int]]:

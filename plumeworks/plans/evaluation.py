@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators import masks as M
+from ..operators import splits
 from ..sources import adapters as A
 from .base import query
 from .views import sql
@@ -95,9 +97,65 @@ def largest_component(spark, sf_dir):
     return E.component_features(A.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 0.05)
 
 
-@query()
+_SPLIT = "SELECT r.*, coalesce(place <= greatest(1, round_even(0.2::DOUBLE*n, 0)), false) AS validation, NOT coalesce(place <= greatest(1, round_even(0.2::DOUBLE*n, 0)), false) OR n = 1 AS training FROM r LEFT JOIN (SELECT {key}, row_number() OVER (ORDER BY md5({key} || ':7')) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM r WHERE {key} IS NOT NULL)) USING ({key})".format
+
+
+@query(sql(_SPLIT(key="doc_id"), r="SELECT doc_id, lang FROM documents"))
 def split_disjoint(spark, sf_dir):
-    return E.split_disjoint(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return splits.split_disjoint(A.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query(sql(_SPLIT(key="conv_id"), r="SELECT conv_id, turn FROM conversations"))
+def split_disjoint_groups(spark, sf_dir):
+    """A split of conversations: no turn of a conversation is in another part than the rest."""
+    return splits.split_disjoint(A.table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id")
+
+
+@query()
+def plume_features(spark, sf_dir):
+    """Features of masks over grey images; every second mask has half the image's side."""
+    rows = A.table(spark, sf_dir, "embeddings")
+    level = lambda c, low, by: F.transform(c, lambda v: low + by * v.cast("double"))
+    half = F.col("vec_id") % 2 == 1
+    mask = level(F.when(half, F.slice("embedding", 1, 16)).otherwise(F.col("embedding")), 0.5, 2.0)
+    return M.plume_features(rows, "vec_id", mask, F.when(half, 4).otherwise(8), level(F.col("embedding"), 128.0, 600.0), F.lit(8))
+
+
+_SAMPLES_SQL = "SELECT vec_id, CASE WHEN vec_id%5 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN label%3 = 0 THEN 'negative' ELSE 'positive' END AS label, CASE WHEN label%2 = 0 THEN 'shadow' END AS negative_kind, 'photo' || vec_id%4 AS source, CASE WHEN label < 8 THEN (['white', 'grey', 'black'])[label%3 + 1] END AS smoke_colour, round((vec_id%50)/100.0::DOUBLE, 6) AS coverage, vec_id%6 = 0 AS on_cast_shadow, embedding FROM embeddings"
+_PIXELS_SQL = "SELECT vec_id, count(*) FILTER (m AND g < 80) AS dark_smoke, count(*) FILTER (NOT m AND g < 80) AS dark_ground, count(*) FILTER (m) AS smoke, count(*) AS pixels, avg(g) FILTER (m) AS mean_in, avg(g) FILTER (NOT m) AS mean_out FROM (SELECT vec_id, CAST(floor(least(255, greatest(0, 90 + 600*v::DOUBLE))) AS BIGINT) AS g, v < -0.02::FLOAT AS m FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)) GROUP BY vec_id"
+
+
+def _dataset(spark, sf_dir):
+    k, label = F.col("vec_id"), F.col("label")
+    return A.table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(k % 5 == 0, "val").otherwise("train").alias("split"),
+        F.when(label % 3 == 0, "negative").otherwise("positive").alias("label"),
+        F.when(label % 2 == 0, "shadow").alias("negative_kind"),
+        F.concat(F.lit("photo"), k % 4).alias("source"),
+        F.when(label < 8, F.element_at(F.array(*map(F.lit, ("white", "grey", "black"))), (label % 3 + 1).cast("int"))).alias("smoke_colour"),
+        F.round(k % 50 / 100.0, 6).alias("coverage"),
+        (k % 6 == 0).alias("on_cast_shadow"),
+        F.transform("embedding", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 90 + 600 * v.cast("double"))))).alias("image"),
+        F.transform("embedding", lambda v: v < F.lit(-0.02).cast("float")).alias("inside"),
+    )
+
+
+@query(
+    sql(
+        "SELECT coalesce(split, 'all') AS split, n, positive, negative, mean_positive_coverage, positives_on_cast_shadow, round(base, 6) AS p_smoke, round(given, 6) AS p_smoke_given_dark, round(given/greatest(base, 1e-9), 4) AS lift, shadowlike_positives, round(shadowlike_positives::DOUBLE/greatest(positive, 1), 4) AS shadowlike_positive_fraction, round(dg::DOUBLE/greatest(ds, 1), 3) AS dark_background_px_per_dark_smoke_px FROM t",
+        s=_SAMPLES_SQL,
+        p=_PIXELS_SQL,
+        t="SELECT split, count(*) AS n, count(*) FILTER (label = 'positive') AS positive, count(*) FILTER (label <> 'positive') AS negative, round(avg(coverage) FILTER (label = 'positive'), 5) AS mean_positive_coverage, count(*) FILTER (label = 'positive' AND on_cast_shadow) AS positives_on_cast_shadow, count(*) FILTER (label = 'positive' AND mean_in < 80 AND mean_in - mean_out < -25) AS shadowlike_positives, CAST(sum(dark_smoke) AS BIGINT) AS ds, CAST(sum(dark_ground) AS BIGINT) AS dg, sum(smoke)::DOUBLE/greatest(sum(pixels), 1) AS base, sum(dark_smoke)::DOUBLE/greatest(sum(dark_smoke) + sum(dark_ground), 1) AS given FROM s JOIN p USING (vec_id) GROUP BY GROUPING SETS ((split), ())",
+    )
+)
+def dataset_balance(spark, sf_dir):
+    return M.dataset_balance(_dataset(spark, sf_dir))
+
+
+@query(sql("SELECT split, 'source' AS dimension, source AS value, count(*) AS n FROM s GROUP BY 1, 3 UNION ALL SELECT split, 'negative_kind', coalesce(negative_kind, '?') AS k, count(*) FROM s WHERE label <> 'positive' GROUP BY 1, 3 UNION ALL SELECT split, 'smoke_colour', coalesce(smoke_colour, '?') AS k, count(*) FROM s WHERE label = 'positive' GROUP BY 1, 3", s=_SAMPLES_SQL))
+def dataset_groups(spark, sf_dir):
+    return M.dataset_groups(_dataset(spark, sf_dir))
 
 
 @query(sql("SELECT analysis_id, CASE max(r) WHEN 2 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS dominant FROM (SELECT analysis_id, CASE WHEN intensity < 0.33 THEN 0 WHEN intensity < 0.66 THEN 1 ELSE 2 END AS r FROM regions) GROUP BY analysis_id", "regions"))
