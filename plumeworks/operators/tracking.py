@@ -6,7 +6,6 @@ import math
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +16,8 @@ from ..functions.severity import severity_of_rank, severity_rank
 # Fixed values of association and persistence.
 MIN_IOU, GAP = 0.3, 2
 MIN_HITS, MIN_RUN, MIN_FRACTION = 4, 3, 0.30
-# Fixed values of progress writes: the longest stage, and states in which a run has ended.
-STAGE_LENGTH, ENDED = 50, ("done", "failed")
+# Fixed values of progress writes: the longest stage, states in which a run has ended, and seconds between writes.
+STAGE_LENGTH, ENDED, GAP_SECONDS = 50, ("done", "failed"), 0.4
 
 
 def step_index(detections: DataFrame, clip: str = "clip_id", frame: str = "frame_index") -> DataFrame:
@@ -224,27 +223,31 @@ def artifact_budget(detections: DataFrame, smoking_cap: int, clean_cap: int) ->
     return rows.where(F.col("place") <= F.when(F.col("smoking"), smoking_cap).otherwise(clean_cap))
 
 
-def throttle_progress(events: DataFrame, gap: float = 0.4) -> DataFrame:
+def throttle_progress(events: DataFrame, gap: float = GAP_SECONDS) -> DataFrame:
     """Progress writes of each run: repeats are dropped, and writes within the gap unless they complete it.
 
     Percents are held within 0 and 100 and stages cut before they are compared. With a column
-    `status`, what comes when the run has ended changes nothing, though it counts as written. Whether a write is within the gap depends on the last one that was made, so each run is folded in order.
+    `status`, what comes when the run has ended changes nothing, though it counts as written. Whether a
+    write is within the gap depends on the last one that was made, so a run's writes are folded in order,
+    of time, percent and then the other columns.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept, last, at = [], None, None
-        for row in part.sort_values(["at", "percent"]).itertuples(index=False):
-            state = (row.percent, row.stage)
-            if state == last or (at is not None and row.percent < 100 and row.at - at < gap):
-                continue
-            if getattr(row, "status", None) not in ENDED:
-                kept.append(row)
-            last, at = state, row.at
-        return pd.DataFrame(kept, columns=part.columns)
-
     percent = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("percent", F.lit(0)))).cast(events.schema["percent"].dataType)
     rows = events.withColumns({"percent": percent, "stage": F.substring(F.coalesce("stage", F.lit("")), 1, STAGE_LENGTH)})
-    return rows.groupBy("analysis_id").applyInPandas(fold, rows.schema)
+    others = [c for c in rows.columns if c not in ("analysis_id", "at", "percent")]
+    writes = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("at", "percent", *others))).alias("writes"))
+    ended = lambda w: F.coalesce(w["status"].isin(*ENDED), F.lit(False)) if "status" in others else F.lit(False)
+    kind = writes.schema["writes"].dataType.elementType
+    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(writes.schema["writes"].dataType).alias("kept"))
+
+    def step(a: Column, w: Column) -> Column:
+        last = a["last"]
+        repeat = (w["percent"] == last["percent"]) & (w["stage"] == last["stage"])
+        soon = (w["percent"] < 100) & (w["at"] - last["at"] < gap)
+        skip = F.coalesce(repeat, F.lit(False)) | F.coalesce(soon, F.lit(False))
+        return F.struct(F.when(skip, last).otherwise(w).alias("last"), F.when(skip | ended(w), a["kept"]).otherwise(F.concat(a["kept"], F.array(w))).alias("kept"))
+
+    kept = writes.select("analysis_id", F.explode(F.aggregate("writes", start, step, lambda a: a["kept"])).alias("w"))
+    return kept.select(*(F.col(c) if c == "analysis_id" else F.col(f"w.{c}") for c in rows.columns))
 
 
 # The detector's classes.

@@ -222,7 +222,15 @@ def running_progress(spark, sf_dir):
     return _detections(spark, sf_dir).select("clip_id", "frame", "vehicle_id", (40 + F.floor(32 * share)).cast("int").alias("progress"))
 
 
-@query()
+_WRITES = "SELECT user_id AS analysis_id, epoch_us(ts)/3.6e9::DOUBLE AS at_, CAST(event_id%101 AS INTEGER) AS percent, event_type AS stage, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id%101, event_type) AS n FROM events"
+
+
+@query(
+    "WITH RECURSIVE w AS (" + _WRITES + "), f AS (SELECT analysis_id, n, at_ AS last_at, percent AS last_percent, stage AS last_stage, true AS kept FROM w WHERE n = 1 UNION ALL "
+    "SELECT analysis_id, n2, CASE WHEN skip THEN last_at ELSE a2 END, CASE WHEN skip THEN last_percent ELSE p2 END, CASE WHEN skip THEN last_stage ELSE s2 END, NOT skip "
+    "FROM (SELECT f.*, w.at_ AS a2, w.percent AS p2, w.stage AS s2, w.n AS n2, (w.percent = last_percent AND w.stage = last_stage) OR (w.percent < 100 AND w.at_ - last_at < 0.4) AS skip FROM f JOIN w ON w.analysis_id = f.analysis_id AND w.n = f.n + 1)) "
+    'SELECT analysis_id, at_ AS "at", percent, stage FROM f JOIN w USING (analysis_id, n) WHERE kept'
+)
 def progress_throttle(spark, sf_dir):
     """Progress writes that survive the throttle, from events as reports."""
     e = A.table(spark, sf_dir, "events")

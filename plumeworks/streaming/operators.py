@@ -1,4 +1,4 @@
-"""Streaming forms: daily buckets, sliding windows, sessions, deduplication, tracks.
+"""Streaming forms: daily buckets, sliding windows, sessions, deduplication.
 
 Event time must be a timestamp with time zone; `event_time` casts what arrives
 without one.
@@ -6,15 +6,9 @@ without one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tracking import Tracker, readable
-
 
 def read_events(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
     """A stream of Parquet files."""
@@ -45,42 +39,3 @@ def sessions(stream: DataFrame, key: str, gap: str, at: str = "ts", late: str =
 def dedup(stream: DataFrame, keys: list[str], at: str = "ts", late: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
     return event_time(stream, at, late).dropDuplicatesWithinWatermark(keys)
-
-
-_TRACKS = "clip_id string, tracks int, steps int"
-_STATE = "step int, tracks int, ids array<int>, lasts array<int>, boxes array<array<double>>, held array<array<double>>"
-_HELD = ["at_ms", "frame_index", "det_idx", "x", "y", "w", "h"]
-
-
-def _track(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Hold a clip's detections until the watermark has passed them, then fold them into its tracks in order of time.
-
-    The state keeps the live tracks, a count of all, and what is held.
-    """
-    tracker, held = Tracker(), []
-    if state.exists:
-        step, count, ids, lasts, boxes, held = state.get
-        tracker = Tracker([{"id": i, "last": n, "box": tuple(b) if len(b) else None} for i, n, b in zip(ids, lasts, boxes, strict=True)], step, count)
-        held = [list(r) for r in held]
-    for part in parts:
-        held += part[_HELD].to_numpy(float).tolist()
-    mark = state.getCurrentWatermarkMs()
-    ready = sorted(r for r in held if r[0] < mark)
-    held = [r for r in held if r[0] >= mark]
-    for _, frame in groupby(ready, key=lambda r: r[:2]):
-        tracker.update([b if readable(b := tuple(r[3:])) else None for r in frame])
-    state.update((tracker.step, tracker.count, [t["id"] for t in tracker.tracks], [t["last"] for t in tracker.tracks], [list(t["box"] or ()) for t in tracker.tracks], held))
-    if held:
-        state.setTimeoutTimestamp(max(mark + 1, int(min(r[0] for r in held))))
-    if ready:
-        yield pd.DataFrame({"clip_id": [key[0]], "tracks": [tracker.count], "steps": [tracker.step]})
-
-
-def track_stream(detections: DataFrame, at: str = "ts", late: str = "10 seconds") -> DataFrame:
-    """Tracks and steps of each clip so far, one row a clip and trigger, from frames older than the watermark.
-
-    Frames may arrive in any order within `late`; frames that come later than that are dropped. A frame is a
-    time and a frame_index of its clip. The last frames wait until newer ones move the watermark.
-    """
-    rows = event_time(detections, at, late).withColumn("at_ms", F.unix_millis(at))
-    return rows.groupBy("clip_id").applyInPandasWithState(_track, _TRACKS, _STATE, "update", "EventTimeTimeout")

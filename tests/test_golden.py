@@ -281,29 +281,13 @@ def test_progress_is_clamped_and_ends(spark):
 def test_streams_without_rows(spark, tmp_path):
     from plumeworks.streaming import operators as R
     from plumeworks.streaming.runner import drain
+    from plumeworks.streaming.tracks import track_stream
 
     schema = "clip_id string, ts timestamp, frame_index long, det_idx int, x double, y double, w double, h double, value double"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none"))
     stream = lambda: R.read_events(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema)
     assert drain(R.daily_buckets(stream()), "complete", "none").count() == 0
-    assert drain(R.track_stream(stream()), "update", "none").count() == 0
-
-
-def test_stream_tracks_wait_for_late_frames(spark, tmp_path):
-    import datetime as dt
-
-    from plumeworks.streaming import operators as R
-    from plumeworks.streaming.runner import drain
-
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    row = lambda s, x: ("c", at(s), s, 0, float(x), 0.0, 100.0, 100.0)
-    schema = "clip_id string, ts timestamp, frame_index long, det_idx int, x double, y double, w double, h double"
-    path = str(tmp_path / "in")
-    # frames of one moving vehicle in wrong order: in the order of arrival they would be several tracks
-    for part in ([row(3, 120), row(1, 40)], [row(2, 80), row(4, 160), row(0, 0)], [row(100, 900)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
-    got = drain(R.track_stream(R.read_events(spark, path, spark.createDataFrame([], schema).schema, per_trigger=1), late="30 seconds"), "update", "late").collect()
-    assert max((r.steps, r.tracks) for r in got) == (5, 1)  # the frame at 100 s waits
+    assert drain(track_stream(stream()), "update", "none").count() == 0
 
 
 def test_pages_by_key_with_nulls(spark):
