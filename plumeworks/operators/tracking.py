@@ -216,11 +216,18 @@ def interesting_frames(detections: DataFrame, k: int = 12) -> DataFrame:
     return frames.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= k)
 
 
-def artifact_budget(detections: DataFrame, smoking_cap: int, clean_cap: int) -> DataFrame:
-    """Detections whose crop is kept: the first of each class in scan order."""
+def artifact_budget(detections: DataFrame, smoking_cap: int, clean_cap: int, mask_cap: int) -> DataFrame:
+    """Detections whose crop or mask is kept: the first of each class in scan order that can be written.
+
+    detections: clip_id, frame, vehicle_id, intensity (null: clean), crop_written and mask_written (false: there
+    is none, or writing fails, which uses nothing of the budget).
+    """
     smoking = F.col("intensity").isNotNull()
-    rows = detections.withColumn("smoking", smoking).withColumn("place", F.row_number().over(Window.partitionBy("clip_id", "smoking").orderBy("frame", "vehicle_id")))
-    return rows.where(F.col("place") <= F.when(F.col("smoking"), smoking_cap).otherwise(clean_cap))
+    upto = Window.partitionBy("clip_id", "smoking").orderBy("frame", "vehicle_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = detections.withColumn("smoking", smoking).withColumns({"crops": F.count_if("crop_written").over(upto), "masks": F.count_if("mask_written").over(upto)})
+    crop = F.coalesce("crop_written", F.lit(False)) & (F.col("crops") <= F.when(F.col("smoking"), smoking_cap).otherwise(clean_cap))
+    mask = F.coalesce("mask_written", F.lit(False)) & F.col("smoking") & (F.col("masks") <= mask_cap)
+    return rows.withColumns({"crop": crop, "mask": mask}).where("crop or mask").drop("crops", "masks")
 
 
 def throttle_progress(events: DataFrame, gap: float = GAP_SECONDS) -> DataFrame:

@@ -156,15 +156,51 @@ def clip_verdict(spark, sf_dir):
     return T.clip_verdict(d, tracks, A.runs(spark, sf_dir).select(F.col("analysis_id").alias("clip_id"), "frames_processed"))
 
 
-@query()
-def greedy_tracks(spark, sf_dir):
-    """Tracks of clips by greedy association, with their counters."""
+# greedy association as a recursion over the steps of all clips: pairs of a detection and a live track are
+# taken from the best on, each that meets neither a taken detection nor a taken track
+_IW, _IH = (f"(least(d.{a}+d.{s}, live[k].{a}+live[k].{s}) - greatest(d.{a}, live[k].{a}))" for a, s in ("xw", "yh"))
+_IOU = f"CASE WHEN {_IW} > 0 AND {_IH} > 0 THEN ({_IW}*{_IH})::DOUBLE / (d.w*d.h + live[k].w*live[k].h - {_IW}*{_IH}) ELSE 0 END"
+_GREEDY = {
+    "det": "SELECT *, row_number() OVER (PARTITION BY clip_id, frame ORDER BY confidence DESC, vehicle_id, x, y, w, h, intensity) - 1 AS d, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame) AS step FROM cameras",
+    "st": "SELECT clip_id, step, list({'d': d, 'x': x, 'y': y, 'w': w, 'h': h} ORDER BY d) AS dets FROM det GROUP BY 1, 2",
+    "tr": "SELECT DISTINCT clip_id, 0::BIGINT AS step, []::STRUCT(id BIGINT, seen BIGINT, x INTEGER, y INTEGER, w INTEGER, h INTEGER)[] AS tracks, 0::BIGINT AS n, []::STRUCT(d BIGINT, id BIGINT)[] AS given FROM cameras UNION ALL "
+    "SELECT clip_id, step, list_concat(list_transform(live, lambda t, i: CASE WHEN list_contains(list_transform(taken, lambda c: c.k), i) THEN list_transform(list_filter(dets, lambda d: d.d = list_filter(taken, lambda c: c.k = i)[1].d), lambda d: {'id': t.id, 'seen': step, 'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h})[1] ELSE t END), list_transform(fresh, lambda d, i: {'id': n + i, 'seen': step, 'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h})), "
+    "n + len(fresh), list_concat(list_transform(taken, lambda c: {'d': c.d, 'id': live[c.k].id}), list_transform(fresh, lambda d, i: {'d': d.d, 'id': n + i})) "
+    "FROM (SELECT *, list_filter(dets, lambda d: NOT list_contains(list_transform(taken, lambda c: c.d), d.d)) AS fresh FROM "
+    "(SELECT *, list_reduce(list_transform(cands, lambda c: [c]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda a: a.d = c[1].d OR a.k = c[1].k)) > 0 THEN acc ELSE list_concat(acc, c) END, []::STRUCT(o DOUBLE, d BIGINT, k BIGINT)[]) AS taken FROM "
+    f"(SELECT *, list_sort(list_filter(flatten(list_transform(dets, lambda d: list_transform(range(1, len(live) + 1), lambda k: {{'o': -({_IOU}), 'd': d.d, 'k': k}}))), lambda c: c.o <= -0.3)) AS cands FROM "
+    "(SELECT tr.clip_id, st.step, st.dets, tr.n, list_filter(tr.tracks, lambda t: st.step - t.seen <= 2) AS live FROM tr JOIN st ON st.clip_id = tr.clip_id AND st.step = tr.step + 1))))",
+}
+_GREEDY["gv"] = "SELECT clip_id, step, g.d AS d, g.id AS track_id FROM (SELECT clip_id, step, unnest(given) AS g FROM tr)"
+_GREEDY["ob"] = "SELECT clip_id, frame, vehicle_type, intensity, intensity IS NOT NULL AS fired, step, track_id FROM det JOIN gv USING (clip_id, step, d)"
+_GREEDY["br"] = "SELECT *, CASE WHEN fired AND coalesce(step - lag(step) OVER w = 1, false) THEN 0 ELSE 1 END AS brk FROM ob WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY step)"
+_GREEDY["rn"] = "SELECT *, sum(brk) OVER (PARTITION BY clip_id, track_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM br"
+_GREEDY["rs"] = "SELECT clip_id, track_id, run, count(*) FILTER (fired) AS hits FROM rn GROUP BY ALL"
+_TRACKED = sql(
+    "SELECT CAST(o.clip_id AS VARCHAR) AS clip_id, CAST(o.track_id AS INTEGER) AS track_id, count(*) AS observations, count(*) FILTER (fired) AS hits, max(longest) AS longest_run, coalesce(max(intensity) FILTER (fired), 0) AS peak_intensity, min(frame) AS first_frame, max(frame) AS last_frame, arg_max(vehicle_type, step) AS vehicle_type, round(count(*) FILTER (fired)::DOUBLE/count(*), 6) AS hit_fraction "
+    "FROM ob o JOIN (SELECT clip_id, track_id, max(hits) AS longest FROM rs GROUP BY ALL) l ON l.clip_id = o.clip_id AND l.track_id = o.track_id GROUP BY o.clip_id, o.track_id",
+    "cameras", **{k: _GREEDY[k] for k in ("det", "st", "tr", "gv", "ob", "br", "rn", "rs")},
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _associated(spark, sf_dir):
     from pyspark.sql import Window
 
-    d = _detections(spark, sf_dir).withColumn("det_idx", F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(F.desc("confidence"), "vehicle_id")) - 1)
-    rows = d.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity", F.col("intensity").isNotNull().alias("fired"))
-    tracked = T.associate(rows)
-    return T.tracked_counters(tracked)
+    first = Window.partitionBy("clip_id", "frame").orderBy(F.desc("confidence"), "vehicle_id", "x", "y", "w", "h", "intensity")
+    d = A.cameras(spark, sf_dir).withColumn("det_idx", F.row_number().over(first) - 1)
+    return T.associate(d.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity", F.col("intensity").isNotNull().alias("fired")))
+
+
+@query(_TRACKED)
+def greedy_tracks(spark, sf_dir):
+    """Tracks of clips of hundreds of frames by greedy association, with their counters."""
+    return T.tracked_counters(_associated(spark, sf_dir))
+
+
+@query(sql("SELECT CAST(clip_id AS VARCHAR) AS clip_id, frame AS frame_index, CAST(d AS INTEGER) AS det_idx, CAST(track_id AS INTEGER) AS track_id, CAST(step AS INTEGER) AS step FROM det JOIN gv USING (clip_id, step, d)", "cameras", **{k: _GREEDY[k] for k in ("det", "st", "tr", "gv")}).replace("WITH ", "WITH RECURSIVE ", 1))
+def greedy_assignments(spark, sf_dir):
+    """The track and step of each detection."""
+    return _associated(spark, sf_dir).select("clip_id", "frame_index", "det_idx", "track_id", "step")
 
 
 @query(sql(f"SELECT analysis_id, count(*) FILTER (b = 'low') AS low, count(*) FILTER (b = 'moderate') AS moderate, count(*) FILTER (b = 'high') AS high, (['low','moderate','high'])[max(CASE b WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END)] AS worst, round(avg(intensity), 6) AS mean_intensity, round(avg(confidence), 6) AS mean_confidence, count(*) AS regions FROM (SELECT *, {_BAND} AS b FROM regions) GROUP BY analysis_id", "regions"))
@@ -182,20 +218,31 @@ def band_edges(spark, sf_dir):
     return rows.groupBy(classify(v).alias("pipeline_band"), severity_for(v).alias("stored_band")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT clip_id, frame, worst, smoking, vehicles, confidence_sum, place FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY worst DESC, smoking DESC, vehicles DESC, confidence_sum DESC, frame) AS place FROM fr) WHERE place <= 12", "vehicles", "regions", **_ONE, d=_PAIR, fr=f"SELECT clip_id, frame, max(CASE WHEN intensity IS NULL THEN -1 ELSE {_RANK} END) AS worst, count(intensity) AS smoking, count(*) AS vehicles, round(sum(confidence), 4) AS confidence_sum FROM d GROUP BY 1, 2"))
+# clips of hundreds of frames, so that the limits cut
+_CAMERA = f"SELECT clip_id, frame, vehicle_id, confidence, intensity, CASE WHEN intensity IS NOT NULL THEN {_BAND} END AS severity FROM cameras"
+
+
+def _camera(spark, sf_dir):
+    return A.cameras(spark, sf_dir).withColumn("severity", F.when(F.col("intensity").isNotNull(), classify(F.col("intensity"))))
+
+
+@query(sql("SELECT clip_id, frame, worst, smoking, vehicles, confidence_sum, place FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY worst DESC, smoking DESC, vehicles DESC, confidence_sum DESC, frame) AS place FROM fr) WHERE place <= 12", "cameras", d=_CAMERA, fr=f"SELECT clip_id, frame, max(CASE WHEN intensity IS NULL THEN -1 ELSE {_RANK} END) AS worst, count(intensity) AS smoking, count(*) AS vehicles, round(sum(confidence), 4) AS confidence_sum FROM d GROUP BY 1, 2"))
 def frame_interest_top(spark, sf_dir):
-    return T.interesting_frames(_detections(spark, sf_dir))
+    return T.interesting_frames(_camera(spark, sf_dir))
 
 
-@query(sql("SELECT clip_id, frame, vehicle_id, smoking FROM (SELECT clip_id, frame, vehicle_id, intensity IS NOT NULL AS smoking, row_number() OVER (PARTITION BY clip_id, intensity IS NOT NULL ORDER BY frame, vehicle_id) AS place FROM d) WHERE place <= CASE WHEN smoking THEN 150 ELSE 80 END", "vehicles", "regions", **_ONE, d=_PAIR))
+@query(sql("SELECT clip_id, frame, vehicle_id, smoking, crop, mask FROM (SELECT *, cw AND count(*) FILTER (cw) OVER w <= CASE WHEN smoking THEN 150 ELSE 80 END AS crop, mw AND smoking AND count(*) FILTER (mw) OVER w <= 150 AS mask FROM (SELECT *, intensity IS NOT NULL AS smoking, vehicle_id%9 <> 0 AS cw, vehicle_id%5 <> 0 AND intensity IS NOT NULL AS mw FROM d) WINDOW w AS (PARTITION BY clip_id, smoking ORDER BY frame, vehicle_id ROWS UNBOUNDED PRECEDING)) WHERE crop OR mask", "cameras", d=_CAMERA))
 def artifact_budget(spark, sf_dir):
-    return T.artifact_budget(_detections(spark, sf_dir), 150, 80).select("clip_id", "frame", "vehicle_id", "smoking")
+    """Crops and masks within their budgets; every ninth crop and every fifth mask can't be written."""
+    key, smoking = F.col("vehicle_id"), F.col("intensity").isNotNull()
+    rows = _camera(spark, sf_dir).withColumns({"crop_written": key % 9 != 0, "mask_written": (key % 5 != 0) & smoking})
+    return T.artifact_budget(rows, 150, 80, 150).select("clip_id", "frame", "vehicle_id", "smoking", "crop", "mask")
 
 
-@query(sql("SELECT clip_id, frame, vehicle_id, confidence, total - least(total, 200) AS more FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame NULLS FIRST, confidence DESC, vehicle_id) AS place, count(*) OVER (PARTITION BY clip_id) AS total FROM d) WHERE place <= 200", "vehicles", "regions", **_ONE, d=_PAIR))
+@query(sql("SELECT clip_id, frame, vehicle_id, confidence, total - least(total, 200) AS more FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame NULLS FIRST, confidence DESC, vehicle_id) AS place, count(*) OVER (PARTITION BY clip_id) AS total FROM d) WHERE place <= 200", "cameras", d=_CAMERA))
 def detection_table_top(spark, sf_dir):
     """The first detections of each clip and how many more there are."""
-    d = _detections(spark, sf_dir)
+    d = _camera(spark, sf_dir)
     totals = d.groupBy("clip_id").agg(F.count("*").alias("total"))
     top = H.top_per_group(d, ["clip_id"], [F.col("frame").asc_nulls_first(), F.desc("confidence"), F.col("vehicle_id")], 200)
     return top.join(totals, "clip_id").select("clip_id", "frame", "vehicle_id", "confidence", (F.col("total") - F.least(F.col("total"), F.lit(200))).alias("more"))

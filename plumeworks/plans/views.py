@@ -18,6 +18,10 @@ VIEWS = {
     "vehicles": f"""SELECT {VEHICLE_ID} AS vehicle_id, l_orderkey AS analysis_id,
   CASE WHEN l_returnflag = 'A' THEN 'car' WHEN l_returnflag = 'R' THEN 'truck' WHEN l_linestatus = 'F' THEN 'bus' ELSE 'motorcycle' END AS vehicle_type, l_linenumber AS frame_number,
   CAST(l_partkey%600 AS INTEGER) AS x, CAST(l_suppkey%400 AS INTEGER) AS y, CAST(l_quantity+20 AS INTEGER) AS w, CAST(l_quantity+10 AS INTEGER) AS h, round(0.35 + l_tax*5, 4) AS confidence FROM lineitem""",
+    "cameras": f"""SELECT l_suppkey AS clip_id, date_diff('day', DATE '1995-01-01', l_shipdate::DATE)//10 AS frame, {VEHICLE_ID} AS vehicle_id,
+  CASE WHEN l_returnflag = 'A' THEN 'car' WHEN l_returnflag = 'R' THEN 'truck' WHEN l_linestatus = 'F' THEN 'bus' ELSE 'motorcycle' END AS vehicle_type,
+  CAST(l_partkey*37%240 AS INTEGER) AS x, CAST(l_orderkey*53%160 AS INTEGER) AS y, CAST(l_quantity+90 AS INTEGER) AS w, CAST(l_quantity+70 AS INTEGER) AS h,
+  round(0.35 + l_tax*5, 4) AS confidence, CASE WHEN l_linestatus = 'F' THEN round(abs(l_discount)*10, 6) END AS intensity FROM lineitem""",
     "regions": f"""SELECT {VEHICLE_ID} AS vehicle_id, l_orderkey AS analysis_id, round(abs(l_discount)*10, 6) AS intensity, round(0.5 + abs(l_tax)*4, 6) AS confidence,
   round(l_quantity/100, 6) AS area_ratio, round(0.3 + abs(l_discount)*7, 6) AS opacity FROM lineitem WHERE l_linestatus = 'F'""",
     "reports": "SELECT analysis_id AS report_id, analysis_id, created_at + INTERVAL 90 MINUTE AS generated_at, CAST(1 + analysis_id%12 AS INTEGER) AS page_count, analysis_id*37%5000000 AS file_size_bytes FROM runs WHERE status = 'done' AND analysis_id%2 = 0",

@@ -69,6 +69,23 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of long clips, one for each supplier: hundreds of frames of ten days, with boxes that cross."""
+    kind = F.when(F.col("l_returnflag") == "A", "car").when(F.col("l_returnflag") == "R", "truck").when(F.col("l_linestatus") == "F", "bus").otherwise("motorcycle")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("clip_id"),
+        F.floor(F.datediff("l_shipdate", F.lit("1995-01-01")) / 10).alias("frame"),
+        (F.col("l_orderkey") * 1000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("vehicle_id"),
+        kind.alias("vehicle_type"),
+        (F.col("l_partkey") * 37 % 240).cast("int").alias("x"),
+        (F.col("l_orderkey") * 53 % 160).cast("int").alias("y"),
+        (F.col("l_quantity") + 90).cast("int").alias("w"),
+        (F.col("l_quantity") + 70).cast("int").alias("h"),
+        F.round(0.35 + F.col("l_tax") * 5, 4).alias("confidence"),
+        F.when(F.col("l_linestatus") == "F", F.round(F.abs("l_discount") * 10, 6)).alias("intensity"),
+    )
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoke regions, from lineitem rows of status F."""
     rows = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")

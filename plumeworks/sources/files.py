@@ -59,6 +59,45 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+# The entries of an index of samples, and of a dataset's manifest.
+ENTRY = "file string, label string, negative_kind string, smoke_colour string, source string, mask_coverage double, on_cast_shadow boolean"
+MANIFEST = "name string, generator_version string, seed long, tile_size int, totals struct<samples: long, positive: long, negative: long>, splits map<string, struct<count: long, positive: long, negative: long>>"
+
+
+def _documents(spark: SparkSession, path: str, schema: str, pattern: str) -> DataFrame:
+    rows = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema(f"{schema}, corrupt string").json(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def index_entries(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Entries of index documents, arrays of objects, with their path and time; a repeated file counts once, as its last entry.
+
+    A document that can't be parsed, or with an entry that names no file, gives none.
+    """
+    rows = _documents(spark, path, ENTRY, pattern).withColumn("place", F.monotonically_increasing_id())
+    bad = rows.where("corrupt is not null or file is null").select("path").distinct()
+    good = rows.join(bad, "path", "left_anti")
+    columns = [c for c in good.columns if c not in ("corrupt", "place")]
+    newest = good.groupBy("path", "file").agg(F.max_by(F.struct(*columns), "place").alias("e"))
+    return newest.select("e.*")
+
+
+def manifests(spark: SparkSession, path: str, pattern: str = "manifest.json") -> DataFrame:
+    """A row for each manifest; what can't be parsed has nulls and readable = false."""
+    rows = _documents(spark, path, MANIFEST, pattern)
+    return rows.withColumn("readable", F.col("corrupt").isNull() & F.col("generator_version").isNotNull()).drop("corrupt")
+
+
+def reusable(manifests: DataFrame, version: str, seed: int) -> DataFrame:
+    """Manifests whose dataset may be used as it is: of the same generator and seed."""
+    return manifests.where(F.col("readable") & (F.col("generator_version") == version) & (F.col("seed") == seed))
+
+
+def to_read_again(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents (path, modified) that `known` doesn't hold in the same state: the key of a cache is both."""
+    return found.select("path", "modified").distinct().join(known.select("path", "modified"), ["path", "modified"], "left_anti")
+
+
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Write children so that each key's rows replace what stood under that key, and others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
