@@ -53,6 +53,11 @@ def letterbox(w: Column, h: Column, side: int = 256) -> Column:
     return F.struct(scale.alias("scale"), F.floor((side - new_w) / 2).cast("int").alias("pad_x"), F.floor((side - new_h) / 2).cast("int").alias("pad_y"))
 
 
+def unletterbox(x: Column, y: Column, fit: Column) -> Column:
+    """A point of the square back in the frame; fit is what letterbox gave."""
+    return F.struct(((x - fit["pad_x"]) / fit["scale"]).alias("x"), ((y - fit["pad_y"]) / fit["scale"]).alias("y"))
+
+
 def map_box(b: Column, x0: Column, y0: Column, scale: Column) -> Column:
     """A source box in output coordinates."""
     return box((b["x"] - x0) * scale, (b["y"] - y0) * scale, b["w"] * scale, b["h"] * scale)

@@ -120,6 +120,46 @@ def with_report(runs: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("report_state", status)
 
 
+# What a client that waits for a run is told, and the media types that lists may be narrowed to.
+STATUS_FIELDS = ("analysis_id", "status", "progress", "stage", "start_time", "end_time", "error_message", "total_vehicles", "total_smoke", "overall_severity", "report_id")
+MEDIA_TYPES = ("image", "video")
+#: Key of a run's snapshot under which facts of its running stand, which are not settings.
+RUNTIME = "_runtime"
+
+
+def status_poll(runs: DataFrame, reports: DataFrame) -> DataFrame:
+    """Exactly the columns of a status, from a scan that reads no others."""
+    return runs.join(reports.select("analysis_id", "report_id"), "analysis_id", "left").select(*STATUS_FIELDS)
+
+
+def media_list(media: DataFrame, user_id: int, media_type: str | None = None) -> DataFrame:
+    """An account's media, narrowed to a type; a type that there isn't is ignored."""
+    rows = owned(media, user_id)
+    return rows.where(F.col("media_type") == media_type) if media_type in MEDIA_TYPES else rows
+
+
+def media_url(path: Column) -> Column:
+    """Where clients find a stored file, null for none."""
+    return F.when(F.length(path) > 0, F.concat(F.lit("/media/"), F.ltrim(path, F.lit("/"))))
+
+
+def public_detail(runs: DataFrame) -> DataFrame:
+    """Runs with their settings as frozen, without the facts of the running, and those facts on their own.
+
+    runs: analysis_id and settings_snapshot, a JSON object, which may be null or broken.
+    """
+    snapshot = F.coalesce(F.try_parse_json("settings_snapshot").cast("map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
+    fact = lambda name: F.get_json_object("settings_snapshot", f"$.{RUNTIME}.{name}")
+    frames = F.filter(F.transform(F.coalesce(F.from_json(fact("annotated_frames"), "array<string>"), F.array().cast("array<string>")), media_url), lambda u: u.isNotNull())
+    return runs.select("analysis_id", F.map_filter(snapshot, lambda k, _: k != RUNTIME).alias("settings"), frames.alias("annotated_frames"), *(F.coalesce(fact(n), F.lit("")).alias(n) for n in ("segmenter_mode", "device")))
+
+
+def public_box(box: Column) -> Column:
+    """A stored box, a JSON object, as four whole numbers, 0 for what is missing or no number."""
+    side = lambda c: F.coalesce(F.get_json_object(box, f"$.{c}").try_cast("int"), F.lit(0)).alias(c)
+    return F.struct(*(side(c) for c in "xywh"))
+
+
 def public(runs: DataFrame) -> DataFrame:
     """The API's projection: no empty strings, a URL for a preview."""
     return runs.select("analysis_id", "status", F.nullif("overall_severity", F.lit("")).alias("overall_severity"), F.concat(F.lit("/media/previews/"), F.col("analysis_id"), F.lit(".jpg")).alias("preview_url"))

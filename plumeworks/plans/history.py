@@ -146,10 +146,37 @@ def derived_columns(spark, sf_dir):
     return rows.select("analysis_id", "generated_at", took.alias("duration_seconds"), F.col("status").isin("done", "failed").alias("is_terminal"), F.col("status").isin(*H.ACTIVE).alias("is_active"), F.round(F.col("file_size_bytes") / 1024, 1).alias("size_kb"))
 
 
-@query(sql("SELECT media_id, filename, media_type FROM media WHERE user_id = 605", "media"))
+@query(sql("SELECT wanted, media_id, filename, media_type FROM media, (VALUES ('hologram'), ('video'), ('')) AS w(wanted) WHERE user_id = 605 AND (wanted <> 'video' OR media_type = 'video')", "media"))
 def media_list_ignores_invalid(spark, sf_dir):
-    """An unknown media type is ignored, not an error."""
-    wanted = "hologram"
-    rows = H.owned(A.media(spark, sf_dir), USER)
-    rows = rows.where(F.col("media_type") == wanted) if wanted in ("image", "video") else rows
-    return rows.select("media_id", "filename", "media_type")
+    """Media of an account by type; a type that there isn't is ignored, not an error."""
+    made = [H.media_list(A.media(spark, sf_dir), USER, w).select(F.lit(w).alias("wanted"), "media_id", "filename", "media_type") for w in ("hologram", "video", "")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(sql("SELECT analysis_id, status, progress, CASE status WHEN 'done' THEN 'done' WHEN 'running' THEN 'scanning' ELSE 'waiting for a worker' END AS stage, created_at + INTERVAL 1 MINUTE AS start_time, CASE WHEN status IN ('done', 'failed') THEN created_at + INTERVAL 5 MINUTE END AS end_time, CASE WHEN status = 'failed' THEN 'The media could not be read.' ELSE '' END AS error_message, total_vehicles, total_smoke, overall_severity, report_id FROM runs LEFT JOIN reports USING (analysis_id)", "runs", "reports"))
+def status_poll(spark, sf_dir):
+    s, at = F.col("status"), F.col("created_at")
+    runs = A.runs(spark, sf_dir).withColumns({
+        "stage": F.when(s == "done", "done").when(s == "running", "scanning").otherwise("waiting for a worker"), "start_time": at + F.expr("INTERVAL 1 MINUTE"),
+        "end_time": F.when(s.isin("done", "failed"), at + F.expr("INTERVAL 5 MINUTES")), "error_message": F.when(s == "failed", "The media could not be read.").otherwise(""),
+    })
+    return H.status_poll(runs, A.reports(spark, sf_dir))
+
+
+_SNAPSHOT = """CASE WHEN o_orderkey%13 = 0 THEN NULL WHEN o_orderkey%11 = 0 THEN '{"cut' ELSE '{"rate": ' || o_orderkey%60 || ', "formats": "jpg,png"' || CASE WHEN o_orderkey%3 <> 0 THEN ', "_runtime": {"device": "cpu' || o_orderkey%2 || '", "annotated_frames": ["", "/a/' || o_orderkey || '.jpg", "b.jpg"]}' ELSE '' END || '}' END"""
+
+
+@query(
+    sql(
+        "SELECT analysis_id, CASE WHEN good THEN 'formats=jpg,png;rate=' || analysis_id%60 ELSE '' END AS settings, CASE WHEN ran THEN '/media/a/' || analysis_id || '.jpg,/media/b.jpg' ELSE '' END AS annotated_frames, '' AS segmenter_mode, CASE WHEN ran THEN 'cpu' || analysis_id%2 ELSE '' END AS device, CASE WHEN good THEN '0,' || analysis_id%7 || ',0,5' ELSE '0,0,0,0' END AS box FROM g",
+        g="SELECT o_orderkey AS analysis_id, o_orderkey%13 <> 0 AND o_orderkey%11 <> 0 AS good, o_orderkey%13 <> 0 AND o_orderkey%11 <> 0 AND o_orderkey%3 <> 0 AS ran FROM orders",
+    )
+)
+def public_detail(spark, sf_dir):
+    """Snapshots without their runtime, what they say of it, and boxes with defaults; some snapshots are missing or broken."""
+    runs = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"), F.expr(_SNAPSHOT).alias("settings_snapshot"))
+    box = F.when(F.col("settings_snapshot").endswith("}"), F.concat(F.lit('{"x": null, "y": '), F.col("analysis_id") % 7, F.lit(', "w": "wide", "h": 5}'))).otherwise(F.lit("{"))
+    boxes = runs.select("analysis_id", H.public_box(box).alias("b")).select("analysis_id", F.concat_ws(",", *(F.col(f"b.{c}") for c in "xywh")).alias("box"))
+    pairs = F.array_sort(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    rows = H.public_detail(runs).select("analysis_id", F.array_join(pairs, ";").alias("settings"), F.array_join("annotated_frames", ",").alias("annotated_frames"), "segmenter_mode", "device")
+    return rows.join(boxes, "analysis_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geometry import letterbox, smoothstep
+from ..functions.geometry import letterbox, smoothstep, unletterbox
 from ..functions.settings import clamp_float, clamp_int, coerce_bool, normalise_formats, sensitivity_threshold
 from ..functions.text import moment, percent, seconds, sniff_format, truncate
 from ..operators import ingest as I
@@ -183,13 +183,39 @@ def settings_overlay(spark, sf_dir):
     return I.overlay(rows, A.settings(spark))
 
 
-@query("SELECT 1 AS id, 'confidence_threshold' AS field, '0.35' AS before, '0.4' AS after UNION ALL SELECT 1, 'allowed_video_formats', 'mp4,avi,mov', 'mp4,mkv'")
+_OLD = "SELECT c_custkey AS id, 5 + c_custkey%3 AS frame_sample_rate, CASE WHEN c_custkey%4 = 0 THEN 'mp4,avi' ELSE 'mp4,mkv' END AS allowed_video_formats, c_custkey%2 = 0 AS auto_generate_pdf, CASE WHEN c_custkey%6 <> 0 THEN 'kept' END AS note FROM customer"
+
+
+@query(
+    sql(
+        "SELECT id, field, before, after FROM ("
+        + " UNION ALL ".join(f"SELECT id, '{c}' AS field, CAST(o.{c} AS VARCHAR) AS before, CAST(n.{c} AS VARCHAR) AS after FROM o JOIN n USING (id)" for c in ("frame_sample_rate", "allowed_video_formats", "auto_generate_pdf", "note"))
+        + ") WHERE before IS DISTINCT FROM after",
+        o=_OLD,
+        n="SELECT id, CASE WHEN id%7 = 0 THEN frame_sample_rate + 1 ELSE frame_sample_rate END AS frame_sample_rate, CASE WHEN id%9 = 0 THEN 'mp4,mkv' ELSE allowed_video_formats END AS allowed_video_formats, auto_generate_pdf AND id%10 <> 0 AS auto_generate_pdf, CASE WHEN id%12 <> 0 THEN 'kept' END AS note FROM o",
+    )
+)
 def settings_diff(spark, sf_dir):
-    old = A.settings(spark)
-    new = old.withColumn("confidence_threshold", F.lit(0.4)).withColumn("allowed_video_formats", F.lit("mp4,mkv"))
+    """Fields that differ between two states of each account's settings."""
+    k = F.col("id")
+    old = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", (5 + k % 3).alias("frame_sample_rate"), F.when(k % 4 == 0, "mp4,avi").otherwise("mp4,mkv").alias("allowed_video_formats"), (k % 2 == 0).alias("auto_generate_pdf"), F.when(k % 6 != 0, "kept").alias("note"))
+    new = old.withColumns({"frame_sample_rate": F.when(k % 7 == 0, F.col("frame_sample_rate") + 1).otherwise(F.col("frame_sample_rate")), "allowed_video_formats": F.when(k % 9 == 0, "mp4,mkv").otherwise(F.col("allowed_video_formats")), "auto_generate_pdf": F.col("auto_generate_pdf") & (k % 10 != 0), "note": F.when(k % 12 != 0, "kept")})
     return I.settings_diff(old, new)
 
 
+_FIT = "SELECT *, greatest(1, CAST(round_even(fw*s, 0) AS INTEGER)) AS nw, greatest(1, CAST(round_even(fh*s, 0) AS INTEGER)) AS nh FROM (SELECT vehicle_id, 640 + x AS fw, 480 + y AS fh, x, y, least(256.0::DOUBLE/(640 + x), 256.0::DOUBLE/(480 + y)) AS s FROM (SELECT DISTINCT vehicle_id, x, y FROM vehicles))"
+
+
+@query(sql("SELECT vehicle_id, round(((x*s + (256-nw)//2) - (256-nw)//2)/s, 6) AS back_x, round((128 - (256-nw)//2)/s, 6) AS middle_x, round((128 - (256-nh)//2)/s, 6) AS middle_y FROM f", "vehicles", f=_FIT))
+def letterbox_inverse(spark, sf_dir):
+    """Points of the square back in the frame: a vehicle's corner, there and back, and the square's middle."""
+    rows = A.vehicles(spark, sf_dir).select("vehicle_id", "x", "y").distinct()
+    rows = rows.withColumn("fit", letterbox(640 + F.col("x"), 480 + F.col("y")))
+    back = unletterbox(F.col("x") * F.col("fit.scale") + F.col("fit.pad_x"), F.lit(0.0), F.col("fit"))
+    middle = unletterbox(F.lit(128.0), F.lit(128.0), F.col("fit"))
+    return rows.select("vehicle_id", F.round(back["x"], 6).alias("back_x"), F.round(middle["x"], 6).alias("middle_x"), F.round(middle["y"], 6).alias("middle_y"))
+
+
 @query("SELECT event_id, array_to_string(list_filter([CASE WHEN event_id%2 = 0 THEN 'jpg' ELSE 'png' END, CASE WHEN event_id%3 = 0 THEN 'jpg' ELSE 'mp4' END, CASE WHEN event_id%5 = 0 THEN 'x' ELSE 'avi' END], lambda x, i: len(x) >= 2 AND NOT (i = 2 AND event_id%2 = 0 AND event_id%3 = 0)), ',') AS formats FROM events")
 def format_list_normalise(spark, sf_dir):
     k = F.col("event_id")
@@ -246,11 +272,13 @@ def letterbox_geometry(spark, sf_dir):
     return rows.select("fw", "fh", F.round("l.scale", 6).alias("scale"), "l.pad_x", "l.pad_y", F.round(smoothstep(F.col("fw") / 400), 6).alias("smooth"))
 
 
-@query("SELECT slider, round(0.25 + slider/100.0*0.5, 4)::DOUBLE AS threshold, round(greatest(0.05, least(0.95, slider/50.0)), 4)::DOUBLE AS clamped, CAST(greatest(1, least(60, slider - 20)) AS BIGINT) AS rate, (slider%20 = 0) AS flag FROM (SELECT unnest(range(0, 101, 10)) AS slider)")
+@query("SELECT slider, round(0.25 + slider/100.0*0.5, 4)::DOUBLE AS threshold, round(greatest(0.05, least(0.95, slider/50.0)), 4)::DOUBLE AS clamped, CAST(greatest(1, least(60, slider - 20)) AS BIGINT) AS rate, (slider%20 = 0) AS flag, count(*) AS n FROM (SELECT event_id%101 AS slider FROM events) GROUP BY slider")
 def slider_mapping(spark, sf_dir):
+    """Slider positions, as strings, under every mapping, with how often each was sent."""
+    rows = A.table(spark, sf_dir, "events").groupBy((F.col("event_id") % 101).alias("slider")).agg(F.count("*").alias("n"))
     s = F.col("slider").cast("string")
     flag = coerce_bool(F.when(F.col("slider") % 20 == 0, "YES").otherwise("no"))
-    return spark.range(0, 101, 10).select(F.col("id").alias("slider")).select("slider", F.round(sensitivity_threshold(s), 4).alias("threshold"), F.round(clamp_float((F.col("slider") / 50).cast("string"), 0.05, 0.95, 0.5), 4).alias("clamped"), clamp_int((F.col("slider") - 20).cast("string"), 1, 60, 5).alias("rate"), flag.alias("flag"))
+    return rows.select("slider", F.round(sensitivity_threshold(s), 4).alias("threshold"), F.round(clamp_float((F.col("slider") / 50).cast("string"), 0.05, 0.95, 0.5), 4).alias("clamped"), clamp_int((F.col("slider") - 20).cast("string"), 1, 60, 5).alias("rate"), flag.alias("flag"), "n")
 
 
 @query(sql("SELECT w, h, CASE WHEN w > 20000 OR h > 20000 THEN 'side_too_long' WHEN CAST(w AS BIGINT)*h > 50000000 THEN 'too_many_pixels' END AS verdict FROM (SELECT DISTINCT x*40 AS w, y*40 AS h FROM vehicles)", "vehicles"))

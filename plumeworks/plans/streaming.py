@@ -115,9 +115,13 @@ def stream_progress(spark, sf_dir):
     return drain(progress_stream(_shuffled(spark, rows, "reports"), late=f"{_LATE_MS} milliseconds", gap=_GAP_MS / 1000, idle="365 days"), "append", "progress")
 
 
-@query()
+_PICK = "('0x' || substr(md5(o_orderkey || ':11:{s}'), 1, 8))::BIGINT%{m}".format
+
+
+@query(f"SELECT o_orderkey AS analysis_id, {_PICK(s=2, m=25)} AS media_id, (['', 'low', 'moderate', 'high'])[{_PICK(s=1, m=4)} + 1] AS overall_severity, CAST(1 + {_PICK(s=3, m=3)} AS INTEGER) AS vehicles, DATE '2001-08-01' - CAST({_PICK(s=4, m=400)} AS INTEGER) AS created_on FROM orders")
 def seeded_runs(spark, sf_dir):
-    return seed_runs(spark, 2000)
+    """A synthetic run for each order."""
+    return seed_runs(A.table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query("SELECT user_id AS clip_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events WHERE event_type <> 'view'")

@@ -103,8 +103,8 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def seed_runs(spark: SparkSession, n: int, media: int = 25, days: int = 400, seed: int = 11) -> DataFrame:
-    """Synthetic runs for load tests: the same rows for the same seed."""
-    pick = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(m))
+def seed_runs(ids: DataFrame, key: str = "id", media: int = 25, days: int = 400, seed: int = 11) -> DataFrame:
+    """Synthetic runs for load tests, one for each id: the same rows for the same seed, wherever they are made."""
+    pick = lambda salt, m: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key), F.lit(seed), F.lit(salt)).cast("binary")), 1, 8), 16, 10).cast("bigint") % m
     severity: Column = F.element_at(F.array(*map(F.lit, ("", "low", "moderate", "high"))), (pick(1, 4) + 1).cast("int"))
-    return spark.range(n).select(F.col("id").alias("analysis_id"), pick(2, media).alias("media_id"), severity.alias("overall_severity"), (1 + pick(3, 3)).cast("int").alias("vehicles"), F.date_sub(F.lit("2001-08-01").cast("date"), pick(4, days).cast("int")).alias("created_on"))
+    return ids.select(F.col(key).alias("analysis_id"), pick(2, media).alias("media_id"), severity.alias("overall_severity"), (1 + pick(3, 3)).cast("int").alias("vehicles"), F.date_sub(F.lit("2001-08-01").cast("date"), pick(4, days).cast("int")).alias("created_on"))
