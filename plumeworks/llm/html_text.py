@@ -6,10 +6,14 @@ text begins, where it dives to next to nothing the text ends, and what stands
 between is kept, short lines included. So are short lines between and behind
 kept lines of the same container. Tags and class words weigh a line before the
 sums are made: lines in main elements weigh more, and others less, the more of
-the page's text main elements hold; lines that are mostly links, and lines of
-menus, adverts and other surroundings, weigh nothing (`around_weight`), and blank
-lines part surroundings from what is around them. A line that weighs under the dive
-doesn't begin or end a text.
+the page's text main elements hold; lines that are mostly links weigh nothing;
+lines of menus, adverts, comments and other surroundings weigh a thousandth, or a
+hundredth where the name often stands for the whole page too, as a form does.
+Blank lines part surroundings from what is around them. So windows decide about
+surroundings as about all else: their sums have to surge over a share of the page's
+fullest window (`SHARE`) and over `AROUND_SURGE` characters of that weight, which
+they do only where the page has its text there and nowhere else. A line that weighs
+under the dive doesn't begin or end a text.
 
 Cases: null and empty html give the empty string and 0 characters. Unclosed
 elements end with their page or with an enclosing element; a tag without an end
@@ -38,9 +42,20 @@ BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 MAIN = {"article", "main"}
 CONTAINERS = {"article", "main", "section", "div", "center", "details", "td", "html", "body"}
-#: Whole tokens of class, id or role that name surroundings.
+#: Words of class, id or role that name surroundings, and those of them that name whole pages too, or headlines within main elements.
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "sidebar", "side", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies", "disqus", "contentinfo", "complementary", "search", "form", "hidden"}
 
+WIDE = {"header", "masthead", "social", "side", "form", "search", "widget", "hidden", "login", "signup", "modal", "menu"}
+#: Tags of surroundings that hold whole pages at times.
+WIDE_TAGS = {"form", "header", "dialog"}
+#: Weights of lines in surroundings, of those in wide ones, and of social and side parts of main elements.
+AROUND_WEIGHT, WIDE_WEIGHT, INNER_WEIGHT = 0.001, 0.01, 0.05
+#: Share of their weight that lines outside main elements lose where these hold all text.
+LOWERED = 0.99
+#: What a window of surroundings has to reach: of the fullest window, and in weighted characters.
+SHARE, AROUND_SURGE = 1 / 8, 1.6
+
+_WORD = re.compile(r"[\s_-]+")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -49,16 +64,31 @@ _SPACE = re.compile(r"\s+")
 
 
 class Line(NamedTuple):
-    """A block of the page: text, characters inside links, if it stands in a main element and in surroundings, and its container."""
+    """A block of the page: text, characters inside links, if it stands in a main element, its weight by surroundings (1 outside), and its container."""
 
     text: str
     linked: int
     main: bool
-    around: bool
+    weight: float
     container: int
 
 
-BLANK = Line("", 0, False, False, -1)
+BLANK = Line("", 0, False, 1.0, -1)
+
+
+def tag_weight(name: str, rest: str, main: bool) -> float:
+    """What an element weighs by its tag and the words of its class, id and role: 1 unless it is of the surroundings."""
+    if name in ("html", "body"):
+        return 1.0
+    words = {w for g in _NAMED.findall(rest) for w in _WORD.split("".join(g).lower())} & NAMES if "=" in rest else set()
+    if main:
+        words -= {"header", "masthead"}
+    tag = name in AROUND or (name == "header" and not main)
+    if not tag and not words:
+        return 1.0
+    if (tag and name not in WIDE_TAGS) or words - WIDE:
+        return AROUND_WEIGHT
+    return INNER_WEIGHT if main and not tag and words <= {"social", "side"} else WIDE_WEIGHT
 
 
 class Tags:
@@ -113,27 +143,28 @@ class Tags:
 def page_lines(page: str, window: int) -> list[Line]:
     """The page's blocks in order; `window` blank lines stand around surroundings, so that no window spans their edge."""
     lines, text, linked = [], [], 0
-    stack: list[tuple[str, bool, bool, int, int]] = []  # open elements: name, unseen, in surroundings, container of their text and of what is in them
+    # open elements: name, unseen, weight before them if they are surroundings, container of their text and of what is in them
+    stack: list[tuple[str, bool, float | None, int, int]] = []
     open_: Counter = Counter()
-    unseen, around, main, link, opened = 0, 0, 0, 0, 0
+    unseen, weight, main, link, opened = 0, 1.0, 0, 0, 0
 
     def end_line():
         nonlocal linked
         if text:
             if line := _SPACE.sub(" ", html.unescape("".join(text))).strip():
-                lines.append(Line(line, linked, main > 0, around > 0, stack[-1][3] if stack else 0))
+                lines.append(Line(line, linked, main > 0, weight, stack[-1][3] if stack else 0))
             text.clear()
         linked = 0
 
     def close() -> bool:
-        nonlocal unseen, around, main, link
-        name, hidden, named, *_ = stack.pop()
+        nonlocal unseen, weight, main, link
+        name, hidden, before, *_ = stack.pop()
         open_[name] -= 1
         unseen -= hidden
-        around -= named
+        weight = weight if before is None else before
         main -= name in MAIN
         link -= name == "a"
-        return named
+        return before is not None
 
     for name, rest in Tags(page):
         if not name:
@@ -156,9 +187,9 @@ def page_lines(page: str, window: int) -> list[Line]:
             continue
         if name in VOID or rest.endswith("/") or (name in _RAW and name in UNSEEN):
             continue
-        words = {w for g in _NAMED.findall(rest) for w in "".join(g).lower().split()} if "=" in rest else ()
         hidden = name in UNSEEN
-        named = not hidden and (name in AROUND or (name == "header" and not main) or (name not in ("html", "body") and not NAMES.isdisjoint(words)))
+        own_weight = 1.0 if hidden else tag_weight(name, rest, main > 0)
+        named = own_weight < 1
         if name == "p" and stack and stack[-1][0] == "p":
             close()
         if hidden or named:
@@ -169,40 +200,40 @@ def page_lines(page: str, window: int) -> list[Line]:
         inner = stack[-1][4] if stack else 0
         own = inner if name in BLOCKS else (stack[-1][3] if stack else 0)
         open_[name] += 1
-        stack.append((name, hidden, named, own, opened if name in CONTAINERS and name not in ("html", "body") else inner))
+        stack.append((name, hidden, weight if named else None, own, opened if name in CONTAINERS and name not in ("html", "body") else inner))
         unseen += hidden
-        around += named
+        weight *= own_weight
         main += name in MAIN
         link += name == "a"
     end_line()
     return lines
 
 
-def line_sizes(lines: list[Line], link_share: float, around_weight: float) -> tuple[list[int], list[int]]:
+def line_sizes(lines: list[Line], link_share: float) -> tuple[list[int], list[float]]:
     """Of each line its length, 0 for links and surroundings, and its weighted length, which the windows sum."""
     linking = [x.linked > link_share * max(1, len(x.text)) for x in lines]
-    plain = [0 if k or x.around else len(x.text) for x, k in zip(lines, linking, strict=True)]
+    plain = [0 if k or x.weight < 1 else len(x.text) for x, k in zip(lines, linking, strict=True)]
     share = sum(n for n, x in zip(plain, lines, strict=True) if x.main) / max(1, sum(plain))
-    weight = [0 if k else (1 + 3 * share if x.main else 1 - share) * (around_weight if x.around else 1) for x, k in zip(lines, linking, strict=True)]
-    return plain, [int(len(x.text) * w) for x, w in zip(lines, weight, strict=True)]
+    return plain, [0.0 if k else len(x.text) * (1 + 3 * share if x.main else 1 - LOWERED * share) * x.weight for x, k in zip(lines, linking, strict=True)]
 
 
-def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_share: float = 0.5, around_weight: float = 0.0) -> str:
+def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_share: float = 0.5) -> str:
     """Text between surge and dive points of the line-block distribution."""
     lines = page_lines(page, window)
-    plain, size = line_sizes(lines, link_share, around_weight)
+    plain, size = line_sizes(lines, link_share)
     blocks = [sum(size[i : i + window]) for i in range(len(size))]
     most = max(blocks, default=0)
-    begin, end = min(surge, most), min(dive, most)
+    surges = [min(surge, most) if x.weight == 1 else max(AROUND_SURGE, SHARE * most) for x in lines]
+    dives = [min(dive, most) if x.weight == 1 else dive * WIDE_WEIGHT for x in lines]
     kept, i, n = set(), 0, len(size)
     while i < n:
-        if most and blocks[i] >= begin:  # a surge
+        if size[i] and blocks[i] >= surges[i]:  # a surge
             run = []
-            while i < n and blocks[i] >= end:  # until the dive
+            while i < n and blocks[i] >= dives[i]:  # until the dive
                 if size[i]:
                     run.append(i)
                 i += 1
-            least = lambda k: size[k] >= end or (plain[k] and lines[k].main)
+            least = lambda k: size[k] >= dives[k] or (plain[k] and lines[k].main)
             while run and not least(run[0]):
                 run.pop(0)
             while run and not least(run[-1]):
@@ -213,8 +244,8 @@ def main_text(page: str, window: int = 3, surge: int = 80, dive: int = 10, link_
     seen = set()
     for i, line in enumerate(lines):  # short lines between and behind
         if i in kept:
-            seen.add(line.container)
-        elif plain[i] and line.container in seen:
+            seen.add((line.container, line.weight))
+        elif size[i] and (line.container, line.weight) in seen:
             kept.add(i)
     return "\n".join(lines[i].text for i in sorted(kept))
 

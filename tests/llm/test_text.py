@@ -57,23 +57,25 @@ def test_surge_and_dive_on_every_page(page, want):
 def brute_main_text(page, window=3, surge=80, dive=10):
     """The rule by definition: a line is kept if some run of full windows that begins with a surge reaches it."""
     lines = page_lines(page, window)
-    plain, size = line_sizes(lines, 0.5, 0.0)
+    plain, size = line_sizes(lines, 0.5)
     total = lambda i: sum(size[i : i + window])
     most = max(map(total, range(len(size))), default=0)
+    enough = lambda i: min(surge, most) if lines[i].weight == 1 else max(1.6, most / 8)
+    little = lambda i: min(dive, most) if lines[i].weight == 1 else 0.1
     kept = set()
     for a in range(len(size)):
-        if most == 0 or total(a) < min(surge, most):
+        if not size[a] or total(a) < enough(a):
             continue
         b = a
-        while b + 1 < len(size) and total(b + 1) >= min(dive, most):
+        while b + 1 < len(size) and total(b + 1) >= little(b + 1):
             b += 1
-        solid = [i for i in range(a, b + 1) if size[i] >= min(dive, most) or (plain[i] and lines[i].main)]
-        if solid:
+        solid = [i for i in range(a, b + 1) if size[i] >= little(i) or (plain[i] and lines[i].main)]
+        if solid and total(a) >= little(a):
             kept |= {i for i in range(solid[0], solid[-1] + 1) if size[i]}
     first = {}
     for i in sorted(kept):
-        first.setdefault(lines[i].container, i)
-    kept |= {i for i, x in enumerate(lines) if plain[i] and first.get(x.container, len(lines)) < i}
+        first.setdefault((lines[i].container, lines[i].weight), i)
+    kept |= {i for i, x in enumerate(lines) if size[i] and first.get((x.container, x.weight), len(lines)) < i}
     return "\n".join(lines[i].text for i in sorted(kept))
 
 
@@ -88,10 +90,39 @@ def test_line_blocks_equal_brute_force(parts):
 
 def test_windows_decide(spark):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
-    everything = ["\n".join(x.text for x in page_lines(p, 3) if x.text) for p in pages]
+    # the filters without the windows: all lines that weigh something
+    weighed = ["\n".join(x.text for x, s in zip(lines, line_sizes(lines, 0.5)[1], strict=True) if s) for lines in (page_lines(p, 3) for p in pages)]
     got = list(map(main_text, pages))
     assert got == list(map(brute_main_text, pages))
-    assert np.mean([a != b for a, b in zip(got, everything)]) > 0.9
+    assert np.mean([a != b for a, b in zip(got, weighed, strict=True)]) > 0.9
+
+
+AROUND = ["comment-list", "user-comments", "ad-box", "site-footer", "share-bar", "comments_area", "ad", "related posts", "cookie-notice"]
+
+
+@pytest.mark.parametrize("name", AROUND)
+@pytest.mark.parametrize("page", ["<article>{}{}</article>", "<div>{}{}</div>", "<article>{}</article>{}", "<div>{}</div>{}", "{1}<article>{0}</article>", "{1}<div>{0}</div>"])
+@pytest.mark.parametrize("mark", ["class", "id"])
+def test_surroundings_by_parts_of_names(name, page, mark):
+    body = f"<p>{LONG}</p><p>{LONG}</p><p>Short.</p>"
+    around = f"<div {mark}='{name}'><p>NO. {LONG}</p><p>NO. {LONG}</p><p>NO.</p></div>"
+    assert main_text(page.format(body, around)) == f"{LONG}\n{LONG}\nShort."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><div class='header'><h1>Headline</h1></div><p>{LONG}</p></article>", f"Headline\n{LONG}"),
+        (f"<article><header class='entry-header'><h1>Headline</h1></header><p>{LONG}</p></article>", f"Headline\n{LONG}"),
+        (f"<article><section class='social'><p>{LONG}</p><p>{LONG}</p></section></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><div class='social'>Tweet this now</div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<form><div class='nav-menu'>Home, news</div><p>{LONG}</p><p>{LONG}</p><p>Bye.</p></form><footer>us</footer>", f"{LONG}\n{LONG}\nBye."),
+        ("<div class='user-comments'><p>Nice.</p></div><footer>us</footer>", ""),
+        (f"<nav>Menu</nav><div class='comments'><p>{LONG}</p></div>", ""),
+    ],
+)
+def test_names_that_do_not_decide_alone(page, want):
+    assert main_text(page) == want
 
 
 @pytest.mark.parametrize("piece", ["<a \"'", "<a ", "<b>x<br>", "</p>", "<!x ", "<div></b>", '<a href="x> <p>'])
