@@ -55,7 +55,10 @@ LOWERED = 0.99
 #: What a window of surroundings has to reach: of the fullest window, and in weighted characters.
 SHARE, AROUND_SURGE = 1 / 8, 1.6
 
-_WORD = re.compile(r"[\s_-]+")
+#: First parts of names that tell of a layout, as in no-sidebar or with-menu.
+LAYOUT = {"no", "not", "without", "has", "with"}
+
+_PART = re.compile(r"[_-]+")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -80,7 +83,8 @@ def tag_weight(name: str, rest: str, main: bool) -> float:
     """What an element weighs by its tag and the words of its class, id and role: 1 unless it is of the surroundings."""
     if name in ("html", "body"):
         return 1.0
-    words = {w for g in _NAMED.findall(rest) for w in _WORD.split("".join(g).lower())} & NAMES if "=" in rest else set()
+    named = [_PART.split(x) for g in _NAMED.findall(rest) for x in "".join(g).lower().split()] if "=" in rest else []
+    words = {w for parts in named if parts[0] not in LAYOUT for w in parts} & NAMES
     if main:
         words -= {"header", "masthead"}
     tag = name in AROUND or (name == "header" and not main)
