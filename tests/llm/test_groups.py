@@ -217,16 +217,28 @@ def test_contexts_grow_with_the_tokens():
     assert [P.buckets(n, 1 << 24) for n in (0, 1 << 20, 1 << 24, 1 << 28, 1 << 32, 1 << 44)] == [1, 1, 1, 2, 4, 32]
     words = {f"w{i}".encode(): i for i in range(3000)}
     for per in (1, 2, 40, 300):
-        contexts = P.Contexts(words, per)
+        contexts = P.Contexts(list(words), per, frequent=100)
         found = [contexts.of(w) for w in words] + [contexts.of(f"v{i}".encode()) for i in range(3000)]
         assert 1 <= min(found) and max(found) < contexts.size == len(contexts.group) <= int(contexts.held)
         assert [contexts.group[c] for c in found[:3000]] == [1 + P.ending(w) for w in words]
+        own = min(3000, P.OWN * per)
+        assert found[:own] == list(range(1, 1 + own)) and len(contexts.words) == 100
+
+
+def test_arrays_do_not_bound_own_contexts(spark, monkeypatch):
+    monkeypatch.setattr(P, "CELLS", 2000)
+    rows = spark.createDataFrame([(None, " ".join(f"w{(7 * i + j) % 200}" for j in range(40))) for i in range(2000)], "doc_id long, text string")
+    made = [P.contexts_of(rows, 1 << 15, unit) for unit in (1 << 20, 1 << 12, 1 << 8)]
+    assert [len(c.own) for c in made] == [63, 2 * 63, 201] and [c.buckets for c in made] == [1, 2, 4]
+    assert [len(c.words) for c in made] == [1 + 15, 1 + 7, 1 + 3]  # while the arrays hold fewer and fewer words
+    got = P.score_documents(rows.limit(50), unit=4)
+    assert all(r.score < 0 for r in got.collect())
 
 
 
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    group = P.Contexts({b"": 0, b"one": 1}, 2).group
+    group = P.Contexts([b"", b"one"], 2).group
     size = len(group)
     key = np.unique(rng.integers(0, 40 * size, 3000))
     word, context, count = key // size, key % size, rng.integers(1, 200, len(key))
