@@ -166,12 +166,21 @@ def public(runs: DataFrame) -> DataFrame:
 
 
 def detail_tree(runs: DataFrame, vehicles: DataFrame, regions: DataFrame) -> DataFrame:
-    """Runs with their vehicles in frame order, each with its regions, the worst first."""
-    region = regions.groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct("intensity", "confidence", "area_ratio", "opacity")), asc=False).alias("regions"))
-    cars = vehicles.join(runs.select("analysis_id"), "analysis_id", "left_semi").groupBy("vehicle_id").agg(*(F.first(c).alias(c) for c in vehicles.columns if c != "vehicle_id"))
-    nested = F.struct(F.coalesce("frame_number", F.lit(-1)).alias("frame"), (-F.col("confidence")).alias("order"), "vehicle_id", "vehicle_type", "confidence", F.coalesce("regions", F.array()).alias("regions"))
-    tree = cars.join(region, "vehicle_id", "left").groupBy("analysis_id").agg(F.array_sort(F.collect_list(nested)).alias("vehicles"))
-    return runs.join(tree, "analysis_id", "left")
+    """Runs with their vehicles in frame order, each with its regions, the worst first.
+
+    Vehicles and regions both name their run, so they are dealt by it once and both levels are built there.
+    Of several rows of a vehicle the least one by type, frame and confidence counts.
+    """
+    car = F.struct("vehicle_type", "frame_number", "confidence")
+    region = F.struct("intensity", "confidence", "area_ratio", "opacity")
+    none = lambda of: F.lit(None).cast(of)
+    cars = vehicles.select("analysis_id", "vehicle_id", car.alias("car"))
+    found = regions.select("analysis_id", "vehicle_id", region.alias("region"))
+    kinds = {"car": cars.schema["car"].dataType, "region": found.schema["region"].dataType}
+    both = cars.withColumn("region", none(kinds["region"])).unionByName(found.withColumn("car", none(kinds["car"]))).repartition("analysis_id")
+    each = both.groupBy("analysis_id", "vehicle_id").agg(F.min("car").alias("car"), F.sort_array(F.collect_list("region"), asc=False).alias("regions")).where("car is not null")
+    nested = F.struct(F.coalesce("car.frame_number", F.lit(-1)).alias("frame"), (-F.col("car.confidence")).alias("order"), "vehicle_id", "car.vehicle_type", "car.confidence", "regions")
+    return runs.join(each.groupBy("analysis_id").agg(F.array_sort(F.collect_list(nested)).alias("vehicles")), "analysis_id", "left")
 
 
 def latest_child(parents: DataFrame, children: DataFrame, key: str, at: str, columns: list[str], tie: str) -> DataFrame:

@@ -205,6 +205,56 @@ def settings_update(current: DataFrame, patches: DataFrame) -> DataFrame:
     return rows.select("patch_id", error.alias("error"), low.alias("low_max"), moderate.alias("moderate_max"))
 
 
+# The fields of the settings form with their bounds, and the formats that can be decoded.
+WHOLE_FIELDS = {"max_upload_mb": (1, 4096), "max_video_seconds": (1, 3600), "frame_sample_rate": (1, 60)}
+SHARE_FIELDS = ("confidence_threshold", "smoke_mask_threshold", "severity_low_max", "severity_moderate_max")
+FORMAT_FIELDS = {"allowed_image_formats": ("jpg", "jpeg", "png", "bmp", "webp"), "allowed_video_formats": ("mp4", "mov", "avi", "mkv", "webm")}
+FORM = ("allowed_image_formats", "allowed_video_formats", "max_upload_mb", "confidence_threshold", "smoke_mask_threshold", "severity_low_max", "severity_moderate_max", "frame_sample_rate", "auto_generate_pdf", "max_video_seconds")
+
+
+def _checked(field: str, raw: Column) -> tuple[Column, Column]:
+    """What is wrong with a field's value, null for nothing, and the value as it is stored."""
+    if field in FORMAT_FIELDS:
+        tokens = F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.lower(F.regexp_replace(F.trim(x), r"^\.+", ""))), lambda x: x != ""))
+        known = F.array(*map(F.lit, FORMAT_FIELDS[field]))
+        bad = F.exists(tokens, lambda x: ~x.rlike("^[a-z0-9]{2,5}$"))
+        error = F.when(F.size(tokens) == 0, "empty").when(bad, "bad_token").when(F.size(F.array_except(tokens, known)) > 0, "unsupported")
+        return error, F.array_join(tokens, ",")
+    if field == "auto_generate_pdf":
+        flag = coerce_bool(raw)
+        return F.when(flag.isNull(), "not_a_boolean"), flag.cast("string")
+    if field in WHOLE_FIELDS:
+        low, high = WHOLE_FIELDS[field]
+        value = F.when(F.trim(raw).rlike(r"^[+-]?[0-9]{1,15}(\.0*)?$"), F.regexp_replace(F.trim(raw), r"\..*", "").cast("bigint"))
+    else:
+        low, high = 0.0, 1.0
+        value = F.trim(raw).try_cast("double")
+        value = F.when(~F.isnan(value), value)
+    return F.when(value.isNull(), "not_a_number").when(~value.between(low, high), "out_of_range"), value.cast("string")
+
+
+def settings_patch(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Partial updates of all fields of the form, checked against the live row: errors by field, or what changes.
+
+    patches: patch_id, patch (a map of strings; a null value is an error, unknown keys are passed over).
+    Fields that aren't sent keep their values. The bands are compared when every field is right, with the
+    live value for the one that isn't sent. With an error nothing changes.
+    """
+    fields = [c for c in FORM if c in current.columns]
+    rows = patches.join(F.broadcast(current.select(*(F.col(c).cast("string").alias(f"old_{c}") for c in fields))))  # one row
+    sent = {c: F.map_contains_key("patch", F.lit(c)) for c in fields}
+    checks = {c: _checked(c, F.element_at("patch", F.lit(c))) for c in fields}
+    error = {c: F.when(sent[c], F.when(F.element_at("patch", F.lit(c)).isNull(), "null").otherwise(checks[c][0])) for c in fields}
+    rows = rows.select("patch_id", *(error[c].alias(f"error_{c}") for c in fields), *(F.when(sent[c], checks[c][1]).alias(f"new_{c}") for c in fields), *(f"old_{c}" for c in fields))
+    wrong = F.array_compact(F.array(*(F.when(F.col(f"error_{c}").isNotNull(), F.struct(F.lit(c).alias("field"), F.col(f"error_{c}").alias("code"))) for c in fields)))
+    low, moderate = (F.coalesce(f"new_severity_{b}_max", f"old_severity_{b}_max").try_cast("double") for b in ("low", "moderate"))
+    crossed = F.array(F.struct(F.lit("severity_low_max").alias("field"), F.lit("not_below_moderate").alias("code")))
+    errors = F.when(F.size(wrong) > 0, wrong).when(low >= moderate, crossed).otherwise(wrong)
+    kept = F.array_compact(F.array(*(F.when(F.col(f"new_{c}") != F.col(f"old_{c}"), F.struct(F.lit(c).alias("field"), F.col(f"old_{c}").alias("before"), F.col(f"new_{c}").alias("after"))) for c in fields)))
+    rows = rows.select("patch_id", errors.alias("errors"), kept.alias("changes"))
+    return rows.withColumn("changes", F.when(F.size("errors") == 0, F.col("changes")).otherwise(F.slice("changes", 1, 0)))
+
+
 def live_sessions(tokens: DataFrame, users: DataFrame) -> DataFrame:
     """Tokens with whether they are refused: issued before the account's password changed, or without a time of issue then."""
     rows = tokens.join(users.select("user_id", "password_changed_at"), "user_id", "left")

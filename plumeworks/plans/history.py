@@ -95,7 +95,7 @@ def public_projection(spark, sf_dir):
         "SELECT r.analysis_id, status, string_agg(vehicle_type || ':' || frame_number || ':' || coalesce(regions, '-'), ',' ORDER BY frame_number, confidence DESC, vehicle_id) AS vehicles FROM runs r LEFT JOIN cars v USING (analysis_id) LEFT JOIN nested w USING (vehicle_id) GROUP BY r.analysis_id, status",
         "runs", "vehicles", "regions",
         nested="SELECT vehicle_id, string_agg(CAST(CAST(round(intensity*1000000) AS BIGINT) AS VARCHAR), '+' ORDER BY intensity DESC) AS regions FROM regions GROUP BY vehicle_id",
-        cars="SELECT vehicle_id, any_value(analysis_id) AS analysis_id, any_value(vehicle_type) AS vehicle_type, any_value(frame_number) AS frame_number, any_value(confidence) AS confidence FROM vehicles GROUP BY vehicle_id",
+        cars="SELECT vehicle_id, analysis_id, c.t AS vehicle_type, c.f AS frame_number, c.c AS confidence FROM (SELECT vehicle_id, analysis_id, min({'t': vehicle_type, 'f': frame_number, 'c': confidence}) AS c FROM vehicles GROUP BY 1, 2)",
     )
 )
 def detail_tree(spark, sf_dir):

@@ -107,6 +107,48 @@ def settings_update(spark, sf_dir):
     return I.settings_update(A.settings(spark), p)
 
 
+# what may be sent for each field: the value, the expected error, and what is stored
+_SENT = {
+    "allowed_image_formats": [("jpg,png", "", "jpg,png"), (" .JPG, png,jpg,", "", "jpg,png"), ("", "empty", None), ("tiff", "unsupported", None), ("p-g", "bad_token", None), ("bmp", "", "bmp"), ("jpg,jpeg,png", "", "jpg,jpeg,png")],
+    "allowed_video_formats": [("mp4,avi,mov", "", "mp4,avi,mov"), ("MKV", "", "mkv"), (",.,", "empty", None), ("jpg", "unsupported", None), ("x", "bad_token", None)],
+    "max_upload_mb": [("512", "", "512"), ("1", "", "1"), ("0", "out_of_range", None), ("4096", "", "4096"), ("4097", "out_of_range", None), ("12.5", "not_a_number", None), ("7.0", "", "7")],
+    "confidence_threshold": [("0.35", "", "0.35"), ("0", "", "0.0"), ("1.01", "out_of_range", None), ("nan", "not_a_number", None), ("0.9", "", "0.9")],
+    "smoke_mask_threshold": [("0.25", "", "0.25"), ("-0.1", "out_of_range", None), ("high", "not_a_number", None)],
+    "severity_low_max": [("0.2", "", "0.2"), ("0.7", "", "0.7"), ("0.33", "", "0.33"), ("2", "out_of_range", None)],
+    "severity_moderate_max": [("0.9", "", "0.9"), ("0.25", "", "0.25"), ("", "not_a_number", None), ("1", "", "1.0")],
+    "frame_sample_rate": [("5", "", "5"), ("60", "", "60"), ("61", "out_of_range", None), ("+9", "", "9")],
+    "auto_generate_pdf": [("true", "", "true"), ("off", "", "false"), ("perhaps", "not_a_boolean", None)],
+    "max_video_seconds": [("300", "", "300"), ("3601", "out_of_range", None), ("30", "", "30")],
+}
+_LIVE = {"allowed_image_formats": "jpg,jpeg,png", "allowed_video_formats": "mp4,avi,mov", "max_upload_mb": "512", "confidence_threshold": "0.35", "smoke_mask_threshold": "0.5", "severity_low_max": "0.33", "severity_moderate_max": "0.66", "frame_sample_rate": "5", "auto_generate_pdf": "true", "max_video_seconds": "300"}
+
+
+def _patch_sql() -> str:
+    quoted = lambda v: "NULL" if v is None else f"'{v}'"
+    pick = lambda c, i, k: f"([{', '.join(quoted(s[k]) for s in _SENT[c])}])[(event_id//3 + {i})%{len(_SENT[c])} + 1]"
+    sent = lambda i: f"(event_id*7 + {i}*5)%11 < 2"
+    none = lambda i: f"event_id%19 = {i}"
+    cells = ", ".join(f"CASE WHEN NOT ({sent(i)}) THEN NULL WHEN {none(i)} THEN 'null' ELSE nullif({pick(c, i, 1)}, '') END AS e_{c}, CASE WHEN {sent(i)} AND NOT {none(i)} THEN {pick(c, i, 2)} END AS n_{c}" for i, c in enumerate(_SENT))
+    errors = ", ".join(f"'{c}:' || e_{c}" for c in _SENT)
+    changes = ", ".join(f"CASE WHEN n_{c} <> '{_LIVE[c]}' THEN '{c}:{_LIVE[c]}>' || n_{c} END" for c in _SENT)
+    return (
+        f"SELECT patch_id, CASE WHEN wrong <> '' THEN wrong WHEN crossed THEN 'severity_low_max:not_below_moderate' ELSE '' END AS errors, CASE WHEN wrong = '' AND NOT crossed THEN changed ELSE '' END AS changes FROM (SELECT event_id AS patch_id, concat_ws(';', {errors}) AS wrong, concat_ws(';', {changes}) AS changed, coalesce(n_severity_low_max, '0.33')::DOUBLE >= coalesce(n_severity_moderate_max, '0.66')::DOUBLE AS crossed FROM (SELECT event_id, {cells} FROM events))"
+    )
+
+
+@query(_patch_sql())
+def settings_patches(spark, sf_dir):
+    """Updates of the whole settings form: right and wrong values, missing ones, and bands that cross."""
+    k = F.col("event_id")
+    entries = []
+    for i, (field, cases) in enumerate(_SENT.items()):
+        raw = F.element_at(F.array(*(F.lit(s[0]) for s in cases)), (F.floor(k / 3) + i).cast("int") % len(cases) + 1)
+        entries.append(F.when((k * 7 + i * 5) % 11 < 2, F.struct(F.lit(field), F.when(k % 19 != i, raw))))
+    patches = A.table(spark, sf_dir, "events").select(k.alias("patch_id"), F.map_from_entries(F.array_compact(F.array(*entries, F.struct(F.lit("unknown"), F.lit("x"))))).alias("patch"))
+    text = lambda c, f: F.array_join(F.transform(c, f), ";")
+    return I.settings_patch(A.settings(spark), patches).select("patch_id", text("errors", lambda e: F.concat_ws(":", e["field"], e["code"])).alias("errors"), text("changes", lambda e: F.concat(e["field"], F.lit(":"), e["before"], F.lit(">"), e["after"])).alias("changes"))
+
+
 @query(sql("SELECT event_id AS token_id, CASE WHEN user_id%3 = 0 THEN false ELSE event_id%13 = 0 OR ts < TIMESTAMP '2024-01-15 00:00:00' END AS refused FROM events"))
 def session_cutoff(spark, sf_dir):
     k = F.col("user_id")
