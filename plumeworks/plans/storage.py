@@ -51,12 +51,12 @@ def atomic_replacement(spark, sf_dir):
     return first.unionByName(failed).unionByName(second).unionByName(totals("lost"))
 
 
-_ENTRIES = "SELECT doc_id, doc_id//500 AS part, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label, CASE WHEN quality = 0 THEN CASE doc_id%3 WHEN 0 THEN 'shadow' WHEN 1 THEN 'fog' END END AS negative_kind, round((doc_id%50)/100.0::DOUBLE, 6) AS coverage FROM labels"
+_ENTRIES = "SELECT doc_id, doc_id//100 AS part, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label, CASE WHEN quality = 0 THEN CASE doc_id%3 WHEN 0 THEN 'shadow' WHEN 1 THEN 'fog' END END AS negative_kind, round((doc_id%50)/100.0::DOUBLE, 6) AS coverage FROM labels"
 
 
 @query(
     sql(
-        "SELECT label, coalesce(negative_kind, '?') AS negative_kind, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM e WHERE part%3 <> 1 GROUP BY 1, 2 UNION ALL SELECT 'manifest', 'readable', count(DISTINCT part), CAST(sum(1) AS DOUBLE) FROM e WHERE part%3 <> 1 UNION ALL SELECT 'manifest', 'unreadable', count(DISTINCT part), NULL FROM e WHERE part%3 = 1",
+        "SELECT label, coalesce(negative_kind, '?') AS negative_kind, count(*) AS n, round(avg(coverage), 6) AS mean_coverage FROM e WHERE part%3 <> 1 GROUP BY 1, 2 UNION ALL SELECT 'manifest', 'readable', count(DISTINCT part), CAST(sum(1) AS DOUBLE) FROM e WHERE part%3 <> 1 UNION ALL SELECT 'manifest', 'unreadable', count(DISTINCT part), NULL FROM e WHERE part%3 = 1 HAVING count(*) > 0",
         e=_ENTRIES,
     )
 )
@@ -64,9 +64,9 @@ def index_documents(spark, sf_dir):
     """Index and manifest documents, written in parts and read back; every third part has been cut off."""
     k, q = F.col("doc_id"), F.col("quality")
     kind = F.when(q == 0, F.when(k % 3 == 0, "shadow").when(k % 3 == 1, "fog"))
-    entries = A.table(spark, sf_dir, "labels").select(F.floor(k / 500).alias("part"), F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".png")).alias("file"), F.when(q == 1, "positive").otherwise("negative").alias("label"), kind.alias("negative_kind"), F.round(k % 50 / 100.0, 6).alias("mask_coverage"))
+    entries = A.table(spark, sf_dir, "labels").select(F.floor(k / 100).alias("part"), F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".png")).alias("file"), F.when(q == 1, "positive").otherwise("negative").alias("label"), kind.alias("negative_kind"), F.round(k % 50 / 100.0, 6).alias("mask_coverage"))
     cut = lambda c: F.when(F.col("part") % 3 == 1, F.substring(c, 1, 20)).otherwise(c)
-    parts = entries.groupBy("part").agg(F.to_json(F.collect_list(F.struct("file", "label", "negative_kind", "mask_coverage"))).alias("value"), F.count("*").alias("n"))  # 500 entries at most
+    parts = entries.groupBy("part").agg(F.to_json(F.collect_list(F.struct("file", "label", "negative_kind", "mask_coverage"))).alias("value"), F.count("*").alias("n"))  # 100 entries at most
     totals = F.to_json(F.struct(F.lit("smoke").alias("name"), F.lit("2.0.0").alias("generator_version"), F.col("part").alias("seed"), F.struct(F.col("n").alias("samples")).alias("totals")))
     index, manifest = scratch(spark, "index"), scratch(spark, "manifest")
     parts.select("part", cut(F.col("value")).alias("value")).repartition("part").write.partitionBy("part").text(index)
