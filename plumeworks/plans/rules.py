@@ -45,14 +45,27 @@ def best_candidate(spark, sf_dir):
     return E.best_candidate(e, "run_id")
 
 
-@query()
+@query(
+    "WITH RECURSIVE s AS (SELECT event_id%200 AS run_id, CAST(event_id//200 AS INTEGER) AS epoch, round(value, 4) AS dice, row_number() OVER (PARTITION BY event_id%200 ORDER BY event_id//200, round(value, 4)) AS n FROM events), "
+    "f AS (SELECT DISTINCT run_id, 0::BIGINT AS n, -1.0::DOUBLE AS best, -1 AS best_epoch, 0 AS waited, -1 AS stopped FROM s UNION ALL "
+    "SELECT f.run_id, s.n, CASE WHEN stopped < 0 AND dice > best + 1e-4::DOUBLE THEN dice ELSE best END, CASE WHEN stopped < 0 AND dice > best + 1e-4::DOUBLE THEN epoch ELSE best_epoch END, "
+    "CASE WHEN stopped >= 0 THEN waited WHEN dice > best + 1e-4::DOUBLE THEN 0 ELSE waited + 1 END, CASE WHEN stopped >= 0 OR dice > best + 1e-4::DOUBLE OR waited + 1 < 5 THEN stopped ELSE epoch END "
+    "FROM f JOIN s ON s.run_id = f.run_id AND s.n = f.n + 1) "
+    "SELECT run_id, best, best_epoch, CASE WHEN stopped >= 0 THEN stopped END AS stopped FROM f QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1"
+)
 def early_stop(spark, sf_dir):
     """Stops of training runs whose scores are events' values in order."""
     e = A.table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("run_id"), F.floor(F.col("event_id") / 200).cast("int").alias("epoch"), F.round("value", 4).alias("dice"))
     return E.early_stop(e, 5)
 
 
-@query()
+@query(
+    "WITH g AS (SELECT vec_id, CAST(least(255, greatest(0, CAST(round(v*200 + 128) AS INTEGER))) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)), "
+    "h AS (SELECT vec_id, v, sum(count(*)) OVER up AS n, sum(sum(v)) OVER up AS mass, sum(count(*)) OVER (PARTITION BY vec_id) AS total, sum(sum(v)) OVER (PARTITION BY vec_id) AS whole FROM g GROUP BY vec_id, v WINDOW up AS (PARTITION BY vec_id ORDER BY v)), "
+    "o AS (SELECT vec_id, coalesce(arg_max(v, ROW(spread, -v)), 0) AS level FROM (SELECT vec_id, v, (whole*n/total - mass)*(whole*n/total - mass)/(n*(total - n)) AS spread FROM h WHERE n < total) GROUP BY vec_id), "
+    "d AS (SELECT g.vec_id, count(*) FILTER (v < coalesce(level, 0))::DOUBLE/count(*) AS share, avg(v) FILTER (v < coalesce(level, 0)) AS dark, avg(v) FILTER (v >= coalesce(level, 0)) AS bright FROM g LEFT JOIN o USING (vec_id) GROUP BY g.vec_id) "
+    "SELECT vec_id, CASE WHEN share BETWEEN 0.08 AND 0.75 THEN round((bright - dark)*least(share/0.35::DOUBLE, 1), 6) ELSE 0 END::DOUBLE AS score FROM d"
+)
 def shadow_scores(spark, sf_dir):
     crops = A.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v * 200 + 128).cast("int")))).alias("grey"))
     return E.shadow_scores(crops, "vec_id", "grey")
