@@ -60,14 +60,14 @@ def early_stop(spark, sf_dir):
 
 
 @query(
-    "WITH g AS (SELECT vec_id, CAST(least(255, greatest(0, CAST(round(v*200 + 128) AS INTEGER))) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)), "
+    "WITH g AS (SELECT vec_id, CAST(least(255, greatest(0, CAST(round(v::DOUBLE*200 + 128) AS INTEGER))) AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)), "
     "h AS (SELECT vec_id, v, sum(count(*)) OVER up AS n, sum(sum(v)) OVER up AS mass, sum(count(*)) OVER (PARTITION BY vec_id) AS total, sum(sum(v)) OVER (PARTITION BY vec_id) AS whole FROM g GROUP BY vec_id, v WINDOW up AS (PARTITION BY vec_id ORDER BY v)), "
     "o AS (SELECT vec_id, coalesce(arg_max(v, ROW(spread, -v)), 0) AS level FROM (SELECT vec_id, v, (whole*n/total - mass)*(whole*n/total - mass)/(n*(total - n)) AS spread FROM h WHERE n < total) GROUP BY vec_id), "
     "d AS (SELECT g.vec_id, count(*) FILTER (v < coalesce(level, 0))::DOUBLE/count(*) AS share, avg(v) FILTER (v < coalesce(level, 0)) AS dark, avg(v) FILTER (v >= coalesce(level, 0)) AS bright FROM g LEFT JOIN o USING (vec_id) GROUP BY g.vec_id) "
     "SELECT vec_id, CASE WHEN share BETWEEN 0.08 AND 0.75 THEN round((bright - dark)*least(share/0.35::DOUBLE, 1), 6) ELSE 0 END::DOUBLE AS score FROM d"
 )
 def shadow_scores(spark, sf_dir):
-    crops = A.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v * 200 + 128).cast("int")))).alias("grey"))
+    crops = A.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.round(v.cast("double") * 200 + 128).cast("int")))).alias("grey"))
     return E.shadow_scores(crops, "vec_id", "grey")
 
 
