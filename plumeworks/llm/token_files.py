@@ -7,10 +7,16 @@ begin. Layout, all little-endian: the header below, then keys (i64 a row), row
 ends in ids (u64 a row), level sizes in 64-bit words (u32 a level), level words
 (u64), fingerprints (u32 a slot), rows (u32 a slot), ids (u16 or u32).
 
+A table of the shards with their first and last keys lies beside them in key order.
+`lookup` deals the wanted keys by range, so that a task reads those entries of the
+table that its keys fall into, opens these shards alone, and of them reads the index
+and the spans of the ids: what it costs follows the keys, not the shards there are.
+
 Cases: null and empty texts hold the end id alone. Rows without a key come first,
-counted in the header, and are in no index. Repeated keys are kept in the order
-Spark sorts them, by the hash of their texts; the index gives the first row and
-the rest follow it. Empty tables write no file and read back as no row. Texts of
+counted in the header, and are in no index. Keys are whole numbers, else TypeError.
+Repeated keys are kept in the order of the hash of their texts; the index gives the
+first row and the rest follow it, in later shards too. Rows of one key, or without
+one, are dealt out by that hash and their place in the input, not to one task. Empty tables write no file and read back as no row. Texts of
 any length are encoded whole; a shard holds one text at least. Other columns are
 ignored.
 """
@@ -27,12 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_path, slices, stored, texts
+from .common import id_type, partitions, scratch_path, slices, stored, texts
 from .pretokens import encode_texts
 
 MAGIC = b"PWT2"
 #: magic, bytes of an id, levels, rows, rows without key, slots, ids.
 HEADER = struct.Struct("<4sHHQQQQ")
+#: Types of keys, the name of the table of shards, and its entries in a row group, which is what a reader may pass over.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+TABLE, ENTRIES = "shards.parquet", 10_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,7 +170,8 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, width: int, most:
             out.write(shard_bytes(keys, lens, ids, int(bare.sum())))
         system.move(draft, f"{base}/{name}")  # a repeated task replaces the file by an equal one
         seq += 1
-        return pa.RecordBatch.from_pydict({"shard": [name], "n_rows": [len(keys)], "n_ids": [len(ids)]}, schema=pa.schema([("shard", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
+        ends = (keys[bare.sum()], keys[-1]) if not bare.all() else (None, None)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((name, len(keys), len(ids), *ends), (pa.string(), *[pa.int64()] * 4), strict=True)], ["shard", "n_rows", "n_ids", "first_key", "last_key"])
 
     waiting = 0
     for batch in slices(batches):
@@ -184,19 +194,24 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, width: int, most:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: str = "doc_id", column: str = "text", most: int = 16 << 20) -> DataFrame:
     """Write all documents in ascending key order under `folder`, a path that all executors share.
 
-    Returns one row a shard: file name, rows, ids, and the ids of all shards before it.
+    Returns one row a shard: file name, rows, ids, first and last key, and the ids of all shards before it.
     """
     from tokenizers import Tokenizer
 
+    if id_type(docs, key) not in WHOLE:
+        raise TypeError(f"{key} is {id_type(docs, key)}; shards are in the order of whole numbers")
     spark = docs.sparkSession
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     system, base = _file_system(folder)
     system.create_dir(base)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    made = rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width, most=most), "shard string, n_rows long, n_ids long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")).withColumns({"hash": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    order = [F.col("key").asc_nulls_first(), F.col("hash"), F.col("nth")]
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("key", "text")
+    made = rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width, most=most), "shard string, n_rows long, n_ids long, first_key long, last_key long")
     made = stored(made, "shards")
-    return made.withColumn("start", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
+    placed = made.withColumn("start", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
+    placed.repartitionByRange(partitions(spark), "shard").sortWithinPartitions("shard").write.option("parquet.block.row.count.limit", ENTRIES).parquet(f"{folder}/{TABLE}")
+    return spark.read.parquet(f"{folder}/{TABLE}")
 
 
 def _read(batches, folder: str):
@@ -230,6 +245,85 @@ def read_token_files(shards: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(partial(_read, folder=folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+class ShardFile:
+    """A shard in a file that is read where it is needed: the index once, then keys, ends and ids by row."""
+
+    def __init__(self, file):
+        self.file = file
+        magic, self.width, levels, self.n, self.bare, self.slots, self.total = HEADER.unpack(self._at(0, HEADER.size))
+        if magic != MAGIC:
+            raise ValueError("not a shard of token ids")
+        self.keys_at = HEADER.size
+        self.ends_at = self.keys_at + 8 * self.n
+        at = self.ends_at + 8 * self.n
+        sizes = np.frombuffer(self._at(at, 4 * levels), "<u4").astype(np.int64)
+        at += 4 * levels
+        words = np.frombuffer(self._at(at, int(8 * sizes.sum())), "<u8")
+        self.index = PerfectHash(np.split(words, sizes.cumsum()[:-1]) if levels else [])
+        at += 8 * int(sizes.sum())
+        # fingerprints and rows, eight bytes a key together
+        self.prints = np.frombuffer(self._at(at, 4 * self.slots), "<u4")
+        self.rows = np.frombuffer(self._at(at + 4 * self.slots, 4 * self.slots), "<u4")
+        self.ids_at = at + 8 * self.slots
+
+    def _at(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    find = Shard.find
+
+    def found(self, key: int, row: int):
+        """The ids of each row of a key, from its first row on."""
+        while row < self.n and struct.unpack("<q", self._at(self.keys_at + 8 * row, 8))[0] == key:
+            begin, end = struct.unpack("<QQ", self._at(self.ends_at + 8 * (row - 1), 16)) if row else (0, *struct.unpack("<Q", self._at(self.ends_at, 8)))
+            yield np.frombuffer(self._at(self.ids_at + self.width * begin, self.width * (end - begin)), f"<u{self.width}").astype(np.int32)
+            row += 1
+
+
+def _entries(system, path: str, low: int, high: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Shards that may hold keys from low to high, in order, with their first and last keys."""
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+
+    table = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["shard", "first_key", "last_key"], filter=(pc.field("first_key") <= high) & (pc.field("last_key") >= low)).sort_by("shard")
+    return table.column("shard").to_pylist(), table.column("first_key").to_numpy(), table.column("last_key").to_numpy()
+
+
+def _lookup(batches, folder: str):
+    """Rows of sorted keys; a shard stays open for the keys that follow each other."""
+    system, base = _file_system(folder)
+    name, shard = None, None
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        if not len(keys):
+            continue
+        names, first, last = _entries(system, f"{base}/{TABLE}", int(keys[0]), int(keys[-1]))
+        begin, end = np.searchsorted(last, keys, "left"), np.searchsorted(first, keys, "right")
+        out: list[list] = [[], [], []]
+        for key, a, b in zip(keys.tolist(), begin.tolist(), end.tolist(), strict=True):
+            for i in range(a, b):  # several only where a key goes on in the next shard
+                if names[i] != name:
+                    name, shard = names[i], ShardFile(system.open_input_file(f"{base}/{names[i]}"))
+                row = int(shard.find(np.array([key]))[0])
+                for ids in shard.found(key, row) if row >= 0 else ():
+                    out[0].append(key)
+                    out[1].append(name)
+                    out[2].append(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.int32()))], ["key", "shard", "ids"])
+
+
+def lookup(keys: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
+    """The ids of each distinct key of `keys` that the shards under `folder` hold: key, shard, ids, a row for each row of the key.
+
+    Foreign keys and nulls give no row.
+    """
+    if id_type(keys, key) not in WHOLE:
+        raise TypeError(f"{key} is {id_type(keys, key)}; shards are in the order of whole numbers")
+    wanted = keys.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
+    dealt = wanted.repartitionByRange(partitions(keys.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(partial(_lookup, folder=folder), "key long, shard string, ids array<int>")
+
+
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     return read_token_files(write_token_files(docs, folder, tokenizer, end_id), folder)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,6 +110,59 @@ def test_shards_roll_and_keep_order(spark, corpus):
         at += n
 
 
+def test_lookup_by_keys_alone(spark, corpus, tmp_path):
+    folder = scratch_path(spark, "lookup")
+    rows = corpus.unionByName(spark.createDataFrame([(None, "no key"), (7, "again"), (7, "and again"), (7, "again")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # a shard takes whole batches
+    try:
+        shards = token_files.write_token_files(rows, folder, WORD, 1, most=60)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert shards.count() > 8
+    asked = spark.createDataFrame([(k,) for k in (0, 7, 7, 13, 59, -1, 10**9, None)], "doc_id long")
+    got = sorted((r.key, tuple(r.ids)) for r in token_files.lookup(asked, folder).collect())
+    ids = lambda text: (*WORDS.encode(text, add_special_tokens=False).ids, 1)
+    want = sorted((r.doc_id, ids(r.text)) for r in rows.where("doc_id in (0, 7, 13, 59)").collect())
+    assert got == want and len([k for k, _ in got if k == 7]) == 4
+    assert token_files.lookup(asked.where("false"), folder).count() == 0
+    assert token_files.lookup(rows, folder).count() == rows.where("doc_id is not null").count()
+    for bad in (lambda d: token_files.lookup(d, folder), lambda d: token_files.write_token_files(d, folder, WORD)):
+        with pytest.raises(TypeError):
+            bad(rows.selectExpr("cast(doc_id as string) as doc_id", "text"))
+
+
+def test_lookup_reads_spans_only(spark):
+    keys, lens = np.arange(0, 4000, 2), np.full(2000, 500)
+    raw = token_files.shard_bytes(keys, lens, np.arange(1_000_000, dtype="<u4"))
+
+    class File:
+        def __init__(self):
+            self.at = self.read_ = 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, size):
+            self.read_ += size
+            return raw[self.at : self.at + size]
+
+    file = File()
+    shard = token_files.ShardFile(file)
+    assert shard.find(np.array([0, 1, 3998, 4000])).tolist() == [0, -1, 1999, -1]
+    assert [x[0] for x in shard.found(3998, 1999)] == [999_500] and [x[0] for x in shard.found(0, 0)] == [0]
+    assert file.read_ < len(raw) / 100
+
+
+def test_rows_of_one_key_are_dealt_apart(spark):
+    rows = spark.createDataFrame([(None, f"text {i}") for i in range(200)] + [(5, "the same")] * 200, "doc_id long, text string").repartition(4)
+    folder = scratch_path(spark, "apart")
+    shards = token_files.write_token_files(rows, folder, WORD).collect()
+    assert len(shards) == 4 and max(r.n_rows for r in shards) < 200
+    got = token_files.read_token_files(spark.read.parquet(f"{folder}/{token_files.TABLE}"), folder)
+    assert got.where("doc_id = 5").count() == 200 and got.select("start").distinct().count() == 400
+    assert token_files.lookup(rows.limit(0).union(spark.createDataFrame([(5, "")], rows.schema)), folder).count() == 200
+
+
 def check_packing(rows, docs, size):
     bins = defaultdict(list)
     by_row = defaultdict(list)
