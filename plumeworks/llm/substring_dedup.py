@@ -6,9 +6,13 @@ windows have equal minimizers, so dealing segments to shards by minimizer
 brings all copies of a window to one shard, at a cost in proportion to the text.
 
 1. Each text's minimizers are counted by shard. Those of two or more texts set
-   bits in a filter of a fixed size; a false hit costs time, never a result.
-2. Segments with a set minimizer are kept: each distinct segment with its least
-   document, and each occurrence with its document and place.
+   bits in a filter; a false hit costs time, never a result. Those of very many
+   texts are hot: in step 2 grams that are hot come last when a window chooses its
+   minimizer, so that windows which share a frequent phrase, but little else, are
+   dealt by their other words. Windows of hot grams alone stay together.
+2. Segments with a set minimizer, or with a window whose choice step 1 changed,
+   are kept: each distinct segment with its least document, and each occurrence
+   with its document and place.
 3. Each shard builds an FM-index over its distinct segments and streams them
    through it. Backward search gives matching statistics; an interval that
    reaches 13 words is a window's places, whose least document is its first.
@@ -18,6 +22,12 @@ brings all copies of a window to one shard, at a cost in proportion to the text.
 Words are compared by 64-bit hashes for segments and 32 bits a word inside the
 index, where 13 words must agree.
 
+The bytes of all texts set the number of shards (one for SHARD_BYTES of text, two
+for a partition at least), so that a shard's index has a size that does
+not grow with the input, and the size of the filter between the bounds of
+FILTER_BYTES. Beyond the upper bound more segments travel. Filter and hot
+minimizers (some HOT) are all that goes through the driver.
+
 Cases: null and empty texts have no words; texts of fewer than 13 words keep
 them all. Rows without doc_id neither give nor lose words. Rows of equal doc_id
 do not remove each other's words; each is judged by its own text. Empty tables
@@ -42,6 +52,14 @@ WINDOW = 13
 GRAM = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Bytes of text for one shard, and for one partition of shards.
+SHARD_BYTES, PARTITION_BYTES = 16 << 20, 512 << 20
+#: The filter's least and largest size.
+FILTER_BYTES = 16 << 20, 64 << 20
+#: A minimizer is hot beyond this count. A slice counts it twice at most.
+HOT_COUNT = 512
+#: Where texts have a minimizer for 16 bytes or more, no more than this many are hot: larger inputs raise the count.
+HOT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -95,25 +113,40 @@ class Words:
         self.counts = np.bincount(self.doc, minlength=len(column))
         self.first = np.r_[0, self.counts.cumsum()]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments: first window's word, number of windows, minimizer."""
+    def runs(self, hot=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments: first window's word, number of windows, minimizer, and whether a window has another one without hot.
+
+        hot: tells of an array of grams which are hot; these are chosen last.
+        """
         h, n = self.hashes, len(self.hashes) - WINDOW + 1
         if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         gram = np.zeros(len(h) - GRAM + 1, np.uint64)
         for k in range(GRAM):
             gram = gram * np.uint64(_BASE) + h[k : k + len(gram)]
         gram = mix(gram)
-        least, width = gram, 1
-        while 2 * width <= WINDOW - GRAM + 1:
-            least, width = np.minimum(least[:-width], least[width:]), 2 * width
-        rest = WINDOW - GRAM + 1 - width
-        least = np.minimum(least[: n], least[rest : rest + n])
+        least = _least(gram, n)
+        changed = np.zeros(n, bool)
+        if hot is not None:
+            last = hot(gram)
+            cool = _least(np.where(last, np.uint64(_MASK), gram), n)
+            cool = np.where(cool == np.uint64(_MASK), least, cool)
+            least, changed = cool, cool != least
         inside = self.doc[:n] == self.doc[WINDOW - 1 :]
         begins = inside & np.r_[True, ~inside[:-1] | (least[1:] != least[:-1]) | (self.doc[1:n] != self.doc[: n - 1])]
         start = np.flatnonzero(begins)
         stop = np.flatnonzero(inside & np.r_[begins[1:] | ~inside[1:], True])
-        return start, stop - start + 1, least[start]
+        upto = np.r_[0, changed.cumsum()]
+        return start, stop - start + 1, least[start], upto[stop + 1] > upto[start]
+
+
+def _least(gram: np.ndarray, n: int) -> np.ndarray:
+    """The least gram of each of n windows."""
+    least, width = gram, 1
+    while 2 * width <= WINDOW - GRAM + 1:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    rest = WINDOW - GRAM + 1 - width
+    return np.minimum(least[:n], least[rest : rest + n])
 
 
 def _place(minimizers: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +167,7 @@ def _minimizers(batches, shards: int):
     """Each text's minimizers by shard, 32 bits each, twice a slice at most."""
     for batch in slices(batches, most=2 << 20):
         words = Words(batch.column("text"))
-        start, _, least = words.runs()
+        start, _, least, _ = words.runs()
         order = np.lexsort((words.doc[start], least))
         least, doc = least[order], words.doc[start][order]
         new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(least) else np.zeros(0, bool)
@@ -148,13 +181,33 @@ def _minimizers(batches, shards: int):
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x.tobytes() for _, (x,) in rows], pa.binary())], ["shard", "marks"])
 
 
-def _repeated(group: pa.Table, bits: int) -> pa.Table:
-    """The part of the filter of one shard."""
-    marks = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in group.column("marks").to_pylist()]))
-    twice = np.unique(marks[1:][marks[1:] == marks[:-1]]).astype(np.uint64)
+def _repeated(group: pa.Table, bits: int, hot_count: int) -> pa.Table:
+    """The part of the filter of one shard, and its hot minimizers."""
+    marks, counts = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in group.column("marks").to_pylist()]), return_counts=True)
+    twice = marks[counts > 1].astype(np.uint64)
     part = np.zeros(bits, bool)
     part[((twice * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)] = True
-    return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+    shard = group.column("shard")[0].as_py()
+    hot = (np.uint64(shard) << np.uint64(32)) | marks[counts > hot_count].astype(np.uint64)
+    row = np.int32(shard).tobytes(), np.packbits(part, bitorder="little").tobytes(), hot.tobytes()
+    return pa.table([pa.array([x], pa.binary()) for x in row], ["shards", "parts", "hot"])
+
+
+def _joined(batches):
+    """The rows of _repeated behind each other, one row for a batch."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(c.to_pylist())], pa.binary()) for c in batch.columns], batch.schema.names)
+
+
+def _names(minimizers: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and mark as one number."""
+    shard, mark = _place(minimizers, shards, 1 << 32)
+    return (shard.astype(np.uint64) << np.uint64(32)) | mark
+
+
+def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array of one element or more."""
+    return among[np.minimum(among.searchsorted(values), len(among) - 1)] == values
 
 
 _SEGMENTS = "shard int, seg array<long>, seg_min array<long>, seg_max array<long>, seg_len array<int>, words binary"
@@ -164,12 +217,13 @@ _PLACES = "seg long, doc_id long, text_hash long, pos int"
 class Segments:
     """A slice's segments with a repeated minimizer, in order of shard, name and document."""
 
-    def __init__(self, batch: pa.RecordBatch, table: np.ndarray, bits: int):
+    def __init__(self, batch: pa.RecordBatch, table: np.ndarray, hot: np.ndarray, bits: int):
         self.words = words = Words(batch.column("text"))
-        start, windows, least = words.runs()
+        start, windows, least, changed = words.runs((lambda gram: _found(_names(gram, len(table)), hot)) if len(hot) else None)
         shard, bit = _place(least, len(table), bits)
         bit = bit.astype(np.int64)
-        hit = (table[shard, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        # a window that left a hot minimizer is in no count of its new one, so the filter can't tell of it
+        hit = ((table[shard, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1) | changed
         hit &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[words.doc[start]]
         start, shard = start[hit], shard[hit]
         stop = start + windows[hit] + WINDOW - 1
@@ -184,7 +238,7 @@ def _segments(batches, bits: int, parts):
     """The slices' distinct segments, by shard, with their first and last documents."""
     lists = pa.list_(pa.int64()), pa.list_(pa.int32())
     for batch in slices(batches, most=4 << 20):
-        found = Segments(batch, parts.value, bits)
+        found = Segments(batch, *parts.value, bits)
         short = found.words.hashes.astype(np.uint32)
         rows = []
         for s, (n, d, a, b) in _split(found.shard, found.name, found.doc, found.start, found.stop):
@@ -202,7 +256,7 @@ def _segments(batches, bits: int, parts):
 def _places(batches, bits: int, parts):
     """All occurrences of these segments: name, document and first word."""
     for batch in slices(batches, most=4 << 20):
-        found = Segments(batch, parts.value, bits)
+        found = Segments(batch, *parts.value, bits)
         text = batch.column("text_hash").to_numpy()[found.row]
         yield pa.RecordBatch.from_arrays([pa.array(found.name), pa.array(found.doc), pa.array(text), pa.array((found.start - found.words.first[found.row]).astype(np.int32))], [x.split()[0] for x in _PLACES.split(", ")])
 
@@ -306,23 +360,29 @@ def covered(cuts: list[int] | None, n: int) -> np.ndarray | None:
     return edge.cumsum()[:-1] > 0
 
 
-def repeated_windows(docs: DataFrame, filter_bytes: int = 16 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, filter_bytes: tuple[int, int] = FILTER_BYTES, shard_bytes: int = SHARD_BYTES, hot_count: int = HOT_COUNT) -> DataFrame:
     """Rows (doc_id, text_hash, starts): the windows of a text that start in an earlier document too.
 
-    filter_bytes: the size of the filter, all that goes through the driver; it does not grow with the input.
+    filter_bytes: least and largest size of the filter; a byte for 512 of text between them.
+    shard_bytes: bytes of text for one shard. hot_count: the least count beyond which a minimizer is hot.
     """
     spark = docs.sparkSession
-    shards = 2 * partitions(spark)
-    bits = 8 * max(1, filter_bytes // shards)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    count = max(partitions(spark), -(-total // PARTITION_BYTES))
+    shards = max(2 * count, -(-total // shard_bytes))
+    bits = 8 * max(1, min(max(filter_bytes[0], total // 512), filter_bytes[1]) // shards)
+    hot_count = max(hot_count, total // (16 * HOT))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     marks = source.select("text").mapInArrow(partial(_minimizers, shards=shards), "shard int, marks binary")
-    parts = marks.groupBy("shard").applyInArrow(lambda group: _repeated(group, bits), "shard int, part binary").collect()
-    table = np.zeros((shards, bits // 8), np.uint8)
-    for shard, part in parts:
-        table[shard] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    kind = "shards binary, parts binary, hot binary"
+    parts = marks.repartition(count, "shard").groupBy("shard").applyInArrow(lambda group: _repeated(group, bits, hot_count), kind)
+    table, hot = np.zeros((shards, bits // 8), np.uint8), [np.zeros(0, np.uint64)]
+    for names, part, frequent in parts.mapInArrow(_joined, kind).collect():
+        table[np.frombuffer(names, np.int32)] = np.frombuffer(part, np.uint8).reshape(-1, bits // 8)
+        hot.append(np.frombuffer(frequent, np.uint64))
+    shared = spark.sparkContext.broadcast((table, np.sort(np.concatenate(hot))))
     # computed twice rather than kept: the second pass costs less than a copy of the segments
-    segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS)
+    segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS).repartition(count, "shard")
     answers = segments.groupBy("shard").applyInArrow(lambda group: _shard_answers(group), "seg long, firsts array<long>")
     places = source.mapInArrow(partial(_places, bits=bits, parts=shared), _PLACES)
     found = places.join(answers, "seg").select("doc_id", "text_hash", F.expr("filter(transform(firsts, (f, i) -> IF(f < doc_id, pos + i, NULL)), x -> x IS NOT NULL)").alias("starts"))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -134,10 +135,33 @@ def test_substring_dedup(request, name):
 
 
 def test_full_filter_changes_nothing(corpus):
-    small = sorted((r.doc_id, sorted(r.starts)) for r in D.repeated_windows(corpus, filter_bytes=1).collect())
+    small = sorted((r.doc_id, sorted(r.starts)) for r in D.repeated_windows(corpus, filter_bytes=(1, 1)).collect())
     assert small == sorted((r.doc_id, sorted(r.starts)) for r in D.repeated_windows(corpus).collect()) and small
 
 
+@pytest.mark.parametrize("hot_count", [0, 1, 2, 5])
+def test_hot_minimizers_and_small_shards_change_nothing(corpus, odd, hot_count):
+    for df in (corpus, odd):
+        starts = lambda rows: sorted((r.doc_id, r.text_hash, sorted(r.starts)) for r in rows.collect())
+        assert starts(D.repeated_windows(df, shard_bytes=5000, hot_count=hot_count)) == starts(D.repeated_windows(df))
+
+
+def test_hot_phrase_is_dealt_by_other_words():
+    phrase = [f"p{i}" for i in range(5)]
+    rng = np.random.default_rng(3)
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 12)), *phrase, *(f"w{x}" for x in rng.integers(0, 10**6, 12))]) for _ in range(200)]
+    words = D.Words(pa.array(texts))
+    _, _, plain, changed = words.runs()
+    name, times = np.unique(plain, return_counts=True)
+    assert not changed.any() and times.max() > 10
+    hot = name[times > 10]
+    start, windows, least, changed = words.runs(lambda gram: np.isin(gram, hot))
+    assert np.unique(least, return_counts=True)[1].max() <= 2 and changed.any()
+    # the same windows, each once
+    every = lambda s, n: np.concatenate([np.arange(a, a + k) for a, k in zip(s, n)])
+    assert np.array_equal(np.sort(every(start, windows)), np.sort(every(*words.runs()[:2])))
+
+
 def test_rewritten_texts(corpus, odd):
     for df in (corpus, odd):
         rows = df.collect()
