@@ -360,6 +360,11 @@ def covered(cuts: list[int] | None, n: int) -> np.ndarray | None:
     return edge.cumsum()[:-1] > 0
 
 
+def _dealt(rows: DataFrame, count: int):
+    """The rows grouped by shard, in partitions of equally many shards: hashes of few numbers would deal them unevenly."""
+    return rows.withColumn("bin", F.col("shard") % count).repartitionById(count, "bin").groupBy("bin", "shard")
+
+
 def repeated_windows(docs: DataFrame, filter_bytes: tuple[int, int] = FILTER_BYTES, shard_bytes: int = SHARD_BYTES, hot_count: int = HOT_COUNT) -> DataFrame:
     """Rows (doc_id, text_hash, starts): the windows of a text that start in an earlier document too.
 
@@ -369,21 +374,21 @@ def repeated_windows(docs: DataFrame, filter_bytes: tuple[int, int] = FILTER_BYT
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     count = max(partitions(spark), -(-total // PARTITION_BYTES))
-    shards = max(2 * count, -(-total // shard_bytes))
+    shards = count * max(2, -(-total // (shard_bytes * count)))
     bits = 8 * max(1, min(max(filter_bytes[0], total // 512), filter_bytes[1]) // shards)
     hot_count = max(hot_count, total // (16 * HOT))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     marks = source.select("text").mapInArrow(partial(_minimizers, shards=shards), "shard int, marks binary")
     kind = "shards binary, parts binary, hot binary"
-    parts = marks.repartition(count, "shard").groupBy("shard").applyInArrow(lambda group: _repeated(group, bits, hot_count), kind)
+    parts = _dealt(marks, count).applyInArrow(lambda group: _repeated(group, bits, hot_count), kind)
     table, hot = np.zeros((shards, bits // 8), np.uint8), [np.zeros(0, np.uint64)]
     for names, part, frequent in parts.mapInArrow(_joined, kind).collect():
         table[np.frombuffer(names, np.int32)] = np.frombuffer(part, np.uint8).reshape(-1, bits // 8)
         hot.append(np.frombuffer(frequent, np.uint64))
     shared = spark.sparkContext.broadcast((table, np.sort(np.concatenate(hot))))
     # computed twice rather than kept: the second pass costs less than a copy of the segments
-    segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS).repartition(count, "shard")
-    answers = segments.groupBy("shard").applyInArrow(lambda group: _shard_answers(group), "seg long, firsts array<long>")
+    segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS)
+    answers = _dealt(segments, count).applyInArrow(lambda group: _shard_answers(group), "seg long, firsts array<long>")
     places = source.mapInArrow(partial(_places, bits=bits, parts=shared), _PLACES)
     found = places.join(answers, "seg").select("doc_id", "text_hash", F.expr("filter(transform(firsts, (f, i) -> IF(f < doc_id, pos + i, NULL)), x -> x IS NOT NULL)").alias("starts"))
     return found.where("size(starts) > 0").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
