@@ -84,7 +84,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash of values[start:end] for each range."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * powers(_BASE, len(values)), out=sums[1:])
+    part = sums[1:]  # in place: the values may be all bytes of a slice
+    np.add(values, np.uint64(1), out=part)
+    np.multiply(part, powers(_BASE, len(values)), out=part)
+    np.cumsum(part, out=part)
     # shifted to the start of the range by the base's inverse
     inverse = powers(pow(_BASE, -1, 1 << 64), int(starts.max()) + 1 if len(starts) else 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -107,9 +110,10 @@ class Words:
         after = np.r_[seen[1:], False]
         self.starts = np.flatnonzero(seen & (~before | cut[:-1]))
         self.ends = np.flatnonzero(seen & (~after | cut[1:])) + 1
+        del seen, cut, before, after
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.raw = raw
-        self.hashes = range_hashes(raw.astype(np.uint64), self.starts, self.ends)
+        self.hashes = range_hashes(raw, self.starts, self.ends)
         self.counts = np.bincount(self.doc, minlength=len(column))
         self.first = np.r_[0, self.counts.cumsum()]
 
@@ -237,7 +241,7 @@ class Segments:
 def _segments(batches, bits: int, parts):
     """The slices' distinct segments, by shard, with their first and last documents."""
     lists = pa.list_(pa.int64()), pa.list_(pa.int32())
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=3 << 20):
         found = Segments(batch, *parts.value, bits)
         short = found.words.hashes.astype(np.uint32)
         rows = []
@@ -255,7 +259,7 @@ def _segments(batches, bits: int, parts):
 
 def _places(batches, bits: int, parts):
     """All occurrences of these segments: name, document and first word."""
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=3 << 20):
         found = Segments(batch, *parts.value, bits)
         text = batch.column("text_hash").to_numpy()[found.row]
         yield pa.RecordBatch.from_arrays([pa.array(found.name), pa.array(found.doc), pa.array(text), pa.array((found.start - found.words.first[found.row]).astype(np.int32))], [x.split()[0] for x in _PLACES.split(", ")])
