@@ -198,13 +198,22 @@ def clip_verdict(detections: DataFrame, tracks: DataFrame, frames: DataFrame) ->
     )
 
 
-def iou_pairs(detections: DataFrame) -> DataFrame:
-    """Candidate pairs of a clip's detections that overlap enough and are no more than GAP steps apart."""
-    rows = step_index(detections, "clip_id", "frame").select("clip_id", "step", "frame", "vehicle_id", box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
-    left = rows.select("clip_id", "step", F.col("frame").alias("f1"), F.col("vehicle_id").alias("v1"), F.col("box").alias("a"))
+def iou_pairs(detections: DataFrame, cell: int = 256) -> DataFrame:
+    """Candidate pairs of a clip's detections that overlap enough and are no more than GAP steps apart.
+
+    A detection goes to each cell of a grid that its box touches, so that a crowded frame is dealt by cells
+    and boxes far apart never meet; a pair counts in the cell of its intersection's upper left corner alone.
+    Boxes with missing fields or empty sides overlap nothing. cell: side of a cell in pixels.
+    """
+    rows = step_index(detections, "clip_id", "frame").where("x + y is not null and w > 0 and h > 0")
+    touched = lambda at, side: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(side)) / cell)))
+    rows = rows.withColumn("cx", touched("x", "w")).withColumn("cy", touched("y", "h"))
+    rows = rows.select("clip_id", "step", "cx", "cy", "frame", "vehicle_id", box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("box"))
+    left = rows.select("clip_id", "step", "cx", "cy", F.col("frame").alias("f1"), F.col("vehicle_id").alias("v1"), F.col("box").alias("a"))
     # each later detection waits at the steps before it
-    right = rows.select("clip_id", F.explode(F.sequence(F.col("step") - GAP, F.col("step") - 1)).alias("step"), F.col("frame").alias("f2"), F.col("vehicle_id").alias("v2"), F.col("box").alias("b"))
-    met = left.join(right, ["clip_id", "step"]).withColumn("overlap", iou(F.col("a"), F.col("b")))
+    right = rows.select("clip_id", F.explode(F.sequence(F.col("step") - GAP, F.col("step") - 1)).alias("step"), "cx", "cy", F.col("frame").alias("f2"), F.col("vehicle_id").alias("v2"), F.col("box").alias("b"))
+    corner = lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell)
+    met = left.join(right, ["clip_id", "step", "cx", "cy"]).where((corner("x") == F.col("cx")) & (corner("y") == F.col("cy"))).withColumn("overlap", iou(F.col("a"), F.col("b")))
     return met.where(F.col("overlap") >= MIN_IOU).select("clip_id", "f1", "v1", "f2", "v2", F.round("overlap", 6).alias("overlap"))
 
 

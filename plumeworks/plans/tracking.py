@@ -22,16 +22,25 @@ _ONE = {
 }
 
 
+_CAR = ("vehicle_type", "frame_number", "x", "y", "w", "h")
+
+
+def _by_clip(rows, *more):
+    """One row per vehicle, of several the least of each column; rows are dealt by clip, as the steps after this need them."""
+    each = rows.repartition("analysis_id").groupBy("analysis_id", "vehicle_id").agg(*(F.min(c).alias(c) for c in _CAR), F.max("confidence").alias("confidence"), *more)
+    return each.withColumnsRenamed({"analysis_id": "clip_id", "frame_number": "frame"})
+
+
 def _vehicles(spark, sf_dir):
-    v = A.vehicles(spark, sf_dir)
-    return v.groupBy("vehicle_id").agg(*(F.first(c).alias(c) for c in ("analysis_id", "vehicle_type", "frame_number", "x", "y", "w", "h")), F.max("confidence").alias("confidence"))
+    return _by_clip(A.vehicles(spark, sf_dir))
 
 
 def _detections(spark, sf_dir):
-    regions = A.regions(spark, sf_dir).groupBy("vehicle_id").agg(F.max("intensity").alias("intensity"))
-    rows = _vehicles(spark, sf_dir).join(regions, "vehicle_id", "left")
-    severity = F.when(F.col("intensity").isNotNull(), classify(F.col("intensity")))
-    return rows.select(F.col("analysis_id").alias("clip_id"), F.col("frame_number").alias("frame"), "vehicle_id", "vehicle_type", "x", "y", "w", "h", "confidence", "intensity", severity.alias("severity"))
+    """Vehicles with the intensity and the band of their worst region. Regions name their clip too, so they go with the vehicles."""
+    cars, regions = A.vehicles(spark, sf_dir).withColumn("car", F.lit(True)), A.regions(spark, sf_dir).select("analysis_id", "vehicle_id", "intensity")
+    both = cars.unionByName(regions, allowMissingColumns=True)
+    rows = _by_clip(both, F.max("intensity").alias("intensity"), F.count("car").alias("cars")).where("cars > 0").drop("cars")
+    return rows.withColumn("severity", F.when(F.col("intensity").isNotNull(), classify(F.col("intensity"))))
 
 
 _FEATURES = f"SELECT {VEHICLE_ID} AS vehicle_id, CAST(l_quantity*8 AS INTEGER) AS mask_pixels, round(l_quantity/100, 6) AS area, round(0.3 + abs(l_discount)*7, 6) AS opacity, round(abs(l_tax)*9, 6) AS darkness, round(abs(l_discount)*2, 6) AS edge, round(l_linenumber/8.0::DOUBLE, 6) AS compact, CAST(4 + l_partkey%90 AS INTEGER) AS roi_w, CAST(4 + l_suppkey%60 AS INTEGER) AS roi_h, round(l_quantity/500, 6) AS blob_ratio, CAST(l_quantity*6 AS INTEGER) AS blob_pixels FROM lineitem"
@@ -89,12 +98,12 @@ def exhaust_roi_boxes(spark, sf_dir):
     )
 )
 def iou_pairs(spark, sf_dir):
-    return T.iou_pairs(_detections(spark, sf_dir))
+    return T.iou_pairs(_vehicles(spark, sf_dir))
 
 
 @query(sql("SELECT clip_id, frame, vehicle_id, dense_rank() OVER (PARTITION BY clip_id ORDER BY frame) AS step FROM d", "vehicles", "regions", **_ONE, d=_PAIR))
 def step_index(spark, sf_dir):
-    return T.step_index(_detections(spark, sf_dir), "clip_id", "frame").select("clip_id", "frame", "vehicle_id", "step")
+    return T.step_index(_vehicles(spark, sf_dir), "clip_id", "frame").select("clip_id", "frame", "vehicle_id", "step")
 
 
 @query(sql("SELECT track_id, count(DISTINCT session) AS sessions, max(n) AS longest FROM (SELECT track_id, session, count(*) OVER (PARTITION BY track_id, session) AS n FROM s) GROUP BY track_id", "observations", g="SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY track_id ORDER BY ts, event_id) > 7200000000 THEN 1 ELSE 0 END AS brk FROM observations", s="SELECT *, sum(brk) OVER (PARTITION BY track_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g"))

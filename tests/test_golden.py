@@ -299,3 +299,20 @@ def test_pages_by_key_with_nulls(spark):
             got += [tuple(r) for r in rows]
             last = (rows[-1].avg_confidence, rows[-1].analysis_id)
         assert got == whole
+
+
+def test_overlapping_pairs_over_cells_of_any_size(spark):
+    rows = [(1 + i % 2, i // 12, i, float((i * 37) % 90 - 20), float((i * 53) % 70 - 10), float(10 + (i * 7) % 60), float(8 + (i * 11) % 50)) for i in range(120)]
+    rows += [(1, 3, 200, None, 0.0, 10.0, 10.0), (1, 3, 201, 0.0, 0.0, 0.0, 10.0), (1, 3, 202, 0.0, 0.0, 10.0, None)]
+    df = spark.createDataFrame(rows, "clip_id long, frame long, vehicle_id long, x double, y double, w double, h double")
+    steps = {c: {f: k for k, f in enumerate(sorted({r[1] for r in rows if r[0] == c}))} for c in (1, 2)}
+    want = set()
+    for a in rows[:120]:
+        for b in rows[:120]:
+            w, h = min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3]), min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4])
+            if a[0] == b[0] and 0 < steps[a[0]][b[1]] - steps[a[0]][a[1]] <= 2 and w > 0 and h > 0 and w * h / (a[5] * a[6] + b[5] * b[6] - w * h) >= 0.3:
+                want.add((a[0], a[2], b[2]))
+    assert len(want) > 20
+    for cell in (16, 50, 256):
+        got = [(r.clip_id, r.v1, r.v2) for r in T.iou_pairs(df, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
