@@ -197,9 +197,10 @@ def early_stop(history: DataFrame, patience: int, margin: float = 1e-4) -> DataF
     return got.select("run_id", F.col("r.best").alias("best"), F.col("r.best_epoch").alias("best_epoch"), F.when(F.col("r.stopped") >= 0, F.col("r.stopped")).alias("stopped"))
 
 
-def best_candidate(candidates: DataFrame, by: str) -> DataFrame:
-    """The first candidate with the highest score of each group."""
-    return candidates.groupBy(by).agg(F.max_by(F.struct("candidate", "score"), F.struct("score", -F.col("candidate"))).alias("b")).select(by, "b.candidate", "b.score")
+def best_candidate(candidates: DataFrame, by: str, rank: Column | None = None) -> DataFrame:
+    """The candidate with the highest rank of each group, of several the first, and the group's highest score; the rank is the score if none is given."""
+    order = F.struct((F.col("score") if rank is None else rank).alias("rank"), -F.col("candidate"))
+    return candidates.groupBy(by).agg(F.max_by("candidate", order).alias("candidate"), F.max("score").alias("score"))
 
 
 def otsu(values: np.ndarray) -> int:
