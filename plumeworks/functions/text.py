@@ -36,14 +36,10 @@ def media_kind(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in steps of 1024, one place from KB on, GB at most."""
+    """Bytes in steps of 1024, one place from KB on, halves to the even digit, GB at most."""
     v = F.coalesce(n.cast("double"), F.lit(0.0))
-    return (
-        F.when(v < 1024, F.format_string("%d B", v.cast("bigint")))
-        .when(v < 1024**2, F.format_string("%.1f KB", v / 1024))
-        .when(v < 1024**3, F.format_string("%.1f MB", v / 1024**2))
-        .otherwise(F.format_string("%.1f GB", v / 1024**3))
-    )
+    place = lambda unit, size: F.format_string(f"%.1f {unit}", F.bround(v / size, 1))
+    return F.when(v < 1024, F.format_string("%d B", v.cast("bigint"))).when(v < 1024**2, place("KB", 1024)).when(v < 1024**3, place("MB", 1024**2)).otherwise(place("GB", 1024**3))
 
 
 def sniff_format(header: Column) -> Column:

@@ -42,3 +42,16 @@ def event(i, value=1.0, user=1, kind="view", seconds=0.0):
 def test_best_candidate_ranks_late_events_lower(spark, against_sql):
     made = [event(500, 99.98), event(20_500, 99.99), event(1_000_500, 100.5), event(7, 3.0), event(507, 3.0), event(1007, 3.01)]
     assert sorted(tuple(r) for r in against_sql("best_candidate", events=spark.createDataFrame(made, EVENTS))) == [(0, 500, 100.5), (7, 1007, 3.01)]
+
+
+def test_sizes_on_a_half_go_to_the_even_digit(spark):
+    unit = (1024, 1024**2, 1024**3)
+    made = [n * u // 4 for u in unit for n in (5, 7, 1649)] + [422144, 1024**2 - 1, 0]
+    got = [r.s for r in spark.createDataFrame([(n,) for n in made], "n long").select(text.human_bytes(F.col("n")).alias("s")).collect()]
+    assert got == [*(f"{n / 4:.1f} {u}" for u in ("KB", "MB", "GB") for n in (5, 7, 1649)), "412.2 KB", "1024.0 KB", "0 B"]
+
+
+def test_media_properties_of_sizes_on_a_half(spark, against_sql):
+    # the size of this account's third medium is 412.25 KB
+    customers = spark.createDataFrame([(75794, "MACHINERY"), (1, "BUILDING")], "c_custkey long, c_mktsegment string")
+    assert "412.2 KB" in {r.size_text for r in against_sql("media_properties", customer=customers)}
