@@ -19,16 +19,20 @@ def with_least(rows: DataFrame, least: DataFrame, node: str, links: int) -> Data
     """Rows with what `least` has of their node: its columns but `degree`, the rows of the node.
 
     links: the rows in all. Hubs' rows stay where they are, as the hubs are few enough to
-    be sent to each task; the others are dealt by node, none of which has many.
+    be sent to each task; the others are dealt by node, none of which has many. How many these
+    are grows with the input, so they are never sent through the driver, whatever Spark's threshold.
     """
     kept = [F.col(c) for c in least.columns if c not in (node, "degree")]
+    dealt = lambda rows, least: rows.join(least.drop("degree").hint("merge"), node).select(*rows.columns, *kept)
     if links <= HUB:  # there can't be a hub
-        return rows.join(least.drop("degree"), node).select(*rows.columns, *kept)
+        return dealt(rows, least)
     most = max(HUB, links // 50_000)
+    least = stored(least, "least")
     hubs = least.where(f"degree > {most}").drop("degree")
-    others = least.where(f"degree <= {most}").drop("degree")
+    if hubs.isEmpty():
+        return dealt(rows, least)
     at_hubs = rows.join(F.broadcast(hubs), node).select(*rows.columns, *kept)
-    return at_hubs.unionByName(rows.join(F.broadcast(hubs.select(node)), node, "left_anti").join(others, node))
+    return at_hubs.unionByName(dealt(rows.join(F.broadcast(hubs.select(node)), node, "left_anti"), least.where(f"degree <= {most}")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,6 +49,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
         large = with_least(both, least, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large, "large") if 2 * before[0] > HUB else large
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = with_least(large, least, "u", 2 * before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")

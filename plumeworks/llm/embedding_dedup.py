@@ -171,7 +171,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     found = stored(met, "found")
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    light = vectors.select("node", "first_id", "copies").join(counts, "node", "left").join(joined, "node", "left")
+    light = vectors.select("node", "first_id", "copies").join(counts.hint("merge"), "node", "left").join(joined.hint("merge"), "node", "left")
     light = stored(light.select("node", "first_id", "copies", F.expr("coalesce(links, 0) + copies - 1").alias("n_links"), F.coalesce("component", "node").alias("component")), "labelled")
     least = light.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("degree"))
     owned = with_least(light, least, "component", total or 0).select("node", "n_links", "component_id", F.col("copies").alias("degree"))

@@ -126,7 +126,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     blocks = halves.groupBy("cell", F.expr(f"pmod(xxhash64(fp), {BLOCKS})").alias("block")).agg(F.collect_list("fp").alias("fps"))
     steps = F.expr("transform(filter(sequence(0, 15), i -> (shiftrightunsigned(cell, 2 * i) & 2L) = 0L), i -> cell + shiftleft(1L, 2 * i))")
     left = blocks.select(F.col("cell").alias("own"), F.col("block").alias("left_block"), F.col("fps").alias("left_fps"), F.explode(F.concat(F.array("cell"), steps)).alias("cell"))
-    met = left.join(blocks.select("cell", F.col("block").alias("right_block"), F.col("fps").alias("right_fps")), "cell")
+    met = left.join(blocks.select("cell", F.col("block").alias("right_block"), F.col("fps").alias("right_fps")).hint("merge"), "cell")
     met = met.where("own <> cell or left_block < right_block or (left_block = right_block and size(left_fps) > 1)")
     return met.select("left_fps", "right_fps").mapInArrow(partial(_links, most=most), "a long, b long")
 
@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     prints = stored(docs.select(key, column).mapInArrow(partial(_fingerprints, key=key, column=column, width=width), f"doc_id {kind}, fp long"), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     labels = components(links(distinct.select("fp"), most))
-    named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "rows", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first_id", "rows", F.coalesce("component", "fp").alias("component"))
+    named = stored(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("degree"))
     # a component of many fingerprints, and a fingerprint of many rows, are not dealt to one task
     total = prints.count()

@@ -455,3 +455,17 @@ def test_near_dedup_decides_by_row(spark):
     docs = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (2, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3])]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "").collect()
     assert Counter(map(tuple, got)) == Counter([(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3])])
+
+
+def test_what_grows_is_never_broadcast(spark):
+    from plumeworks.llm.components import with_least
+
+    rows = spark.range(30_000).selectExpr("id", "id div 2 as node")
+    least = rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("degree"))
+    for links in (10, 30_000):
+        got = with_least(rows, least, "node", links)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.where("first = node * 2").count() == 30_000
+    hub = rows.unionByName(spark.range(25_000).selectExpr("id", "-1L as node"))
+    least = hub.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("degree"))
+    assert with_least(hub, least, "node", 55_000).where("first = greatest(node, 0) * 2").count() == 55_000
