@@ -1,16 +1,20 @@
 """Keyed streams folded in order of event time, with state that ends.
 
 Rows wait in the state of their key until the watermark has passed them and are
-then folded in order. They lie in buckets of BUCKET_MS, one entry of a map state
-each, so that a trigger writes only the buckets that it adds to and removes those
-that have been folded. A key has one timer, for the earliest row that waits or for
+then folded in order. They lie in buckets of BUCKET_MS. An entry of a map state holds
+buckets that came at once, up to CHUNK rows, under the first of them, so that a trigger
+writes only the entries that it adds to and removes those that have been folded, and
+sparse rows don't need an entry each: every one is asked of the JVM for itself. A key has one timer, for the earliest row that waits or for
 what its state waits for itself, whichever is sooner; a key whose state has come to
 its end and for which no row waits leaves nothing behind.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Width of a bucket of waiting rows.
 BUCKET_MS = 10_000
+#: Rows of an entry of several buckets.
+CHUNK = 256
 # The names of Spark's providers of state.
 DEFAULT = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +36,20 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def entries(rows: list[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows in order of time as entries of whole buckets, each with its first bucket."""
+    first, held = None, []
+    for bucket, more in groupby(rows, lambda r: r[0] // BUCKET_MS):
+        more = list(more)
+        if held and len(held) + len(more) > CHUNK:
+            yield first, held
+            held = []
+        first = bucket if not held else first
+        held += more
+    if held:
+        yield first, held
+
+
 class InOrder(StatefulProcessor):
     """What a fold of rows in order needs; a row is a tuple that begins with its time in milliseconds and sorts by its order."""
 
@@ -79,16 +99,13 @@ class InOrder(StatefulProcessor):
         self.kept.update((due, state is not None, *(self.dump(state) if state is not None else (None,) * len(self.STATE))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[tuple]] = {}
-        for part in rows:
-            for r in part[list(self.ROW)].itertuples(index=False, name=None):
-                new.setdefault(int(r[0]) // BUCKET_MS, []).append(self.read(r))
+        new = sorted((self.read(r) for part in rows for r in part[list(self.ROW)].itertuples(index=False, name=None)), key=itemgetter(0))
         if new:
-            for bucket, more in new.items():
+            for bucket, more in entries(new):
                 held = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else None
                 self.waiting.updateValue((bucket,), ([tuple(r) for r in held[0]] + more if held else more,))
             state, due = self._load()
-            first = min(r[0] for r in new[min(new)]) + 1  # a row is ready when the watermark is beyond it
+            first = new[0][0] + 1  # a row is ready when the watermark is beyond it
             if due is None or first < due:
                 if due is not None:
                     self.handle.deleteTimer(due)
@@ -101,20 +118,22 @@ class InOrder(StatefulProcessor):
         state, due = self._load()
         if due is None or due > mark:
             return
-        out, first, changed = [], None, False
+        ready, out, rest = [], [], []
         for (bucket,) in sorted(tuple(k) for k in self.waiting.keys()):  # noqa: SIM118  (a state, no dict)
             held = sorted(tuple(r) for r in self.waiting.getValue((bucket,))[0])
-            ready = [r for r in held if r[0] < mark]
-            if ready:
-                state, more = self.fold(key, self.begin() if state is None else state, ready)
-                out += more
-                changed = True
-            if len(ready) < len(held):
-                if ready:
-                    self.waiting.updateValue((bucket,), (held[len(ready) :],))
-                first = held[len(ready)][0]
+            n = bisect_left(held, mark, key=itemgetter(0))
+            ready += held[:n]
+            if n < len(held):
+                rest.append(held[n][0])
+                if n:
+                    self.waiting.updateValue((bucket,), (held[n:],))
+            else:
+                self.waiting.removeKey((bucket,))
+            if bucket * BUCKET_MS >= mark:  # nor is anything in later entries
                 break
-            self.waiting.removeKey((bucket,))
+        if ready:
+            state, out = self.fold(key, self.begin() if state is None else state, sorted(ready))
+        first, changed = min(rest, default=None), bool(ready)
         if state is not None:
             state, more = self.settle(key, state, mark, changed)
             out += more

@@ -55,3 +55,58 @@ def test_media_properties_of_sizes_on_a_half(spark, against_sql):
     # the size of this account's third medium is 412.25 KB
     customers = spark.createDataFrame([(75794, "MACHINERY"), (1, "BUILDING")], "c_custkey long, c_mktsegment string")
     assert "412.2 KB" in {r.size_text for r in against_sql("media_properties", customer=customers)}
+
+
+class Held(dict):
+    """A map state that counts what is asked of it."""
+
+    asked = 0
+
+    def _ask(self, f, *given):
+        self.asked += 1
+        return f(*given)
+
+    def getValue(self, k):
+        return self._ask(self.get, k)
+
+    def containsKey(self, k):
+        return self._ask(self.__contains__, k)
+
+    def updateValue(self, k, v):
+        self._ask(self.__setitem__, k, v)
+
+    def removeKey(self, k):
+        self._ask(self.pop, k)
+
+
+class Kept(list):
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self[-1]
+
+    def update(self, v):
+        self[:] = [v]
+
+
+def test_sparse_rows_of_a_key_share_an_entry():
+    import random
+    from types import SimpleNamespace as Box
+
+    import pandas as pd
+
+    from plumeworks.streaming.jobs import Admissions
+
+    fold = Admissions()
+    fold.waiting, fold.kept, fold.handle = Held(), Kept(), Box(registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    rows = [(i * 36_000_000, i, i % 3 == 2, None) for i in range(1000)]  # ten hours apart
+    got, whole = [], Admissions().fold((1,), {"run": None}, [Admissions().read(r) for r in rows[:-1]])[1]
+    shuffled = random.Random(1).sample(rows, len(rows))
+    for part in (shuffled[:400], shuffled[400:]):  # entries of two triggers overlap
+        list(fold.handleInputRows((1,), iter([pd.DataFrame(part, columns=list(Admissions.ROW))]), None))
+    for mark in (300 * 36_000_000, rows[-1][0]):
+        for out in fold.handleExpiredTimer((1,), Box(getCurrentWatermarkInMs=lambda mark=mark: mark), None):
+            got += list(out.itertuples(index=False, name=None))
+    assert [(r[1], bool(r[2]), r[3]) for r in got] == [w[1:] for w in whole]
+    assert fold.waiting.asked < 50 and fold.kept[-1][0] == rows[-1][0] + 1
