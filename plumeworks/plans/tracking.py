@@ -22,24 +22,29 @@ _ONE = {
 }
 
 
+#: Rows of a task by clip; beyond this many for each of Spark's partitions there are more partitions.
+PER_TASK = 250_000
 _CAR = ("vehicle_type", "frame_number", "x", "y", "w", "h")
 
 
-def _by_clip(rows, *more):
-    """One row per vehicle, of several the least of each column; rows are dealt by clip, as the steps after this need them."""
-    each = rows.repartition("analysis_id").groupBy("analysis_id", "vehicle_id").agg(*(F.min(c).alias(c) for c in _CAR), F.max("confidence").alias("confidence"), *more)
+def _by_clip(rows, count, *more):
+    """One row per vehicle, of several the least of each column; rows, `count` at most, are dealt by clip, as the steps after this need them."""
+    n = -(-count // PER_TASK)
+    few = n <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = (rows.repartition("analysis_id") if few else rows.repartition(n, "analysis_id")).groupBy("analysis_id", "vehicle_id").agg(*(F.min(c).alias(c) for c in _CAR), F.max("confidence").alias("confidence"), *more)
     return each.withColumnsRenamed({"analysis_id": "clip_id", "frame_number": "frame"})
 
 
 def _vehicles(spark, sf_dir):
-    return _by_clip(A.vehicles(spark, sf_dir))
+    cars = A.vehicles(spark, sf_dir)
+    return _by_clip(cars, cars.count())  # from the footers of the files
 
 
 def _detections(spark, sf_dir):
     """Vehicles with the intensity and the band of their worst region. Regions name their clip too, so they go with the vehicles."""
     cars, regions = A.vehicles(spark, sf_dir).withColumn("car", F.lit(True)), A.regions(spark, sf_dir).select("analysis_id", "vehicle_id", "intensity")
     both = cars.unionByName(regions, allowMissingColumns=True)
-    rows = _by_clip(both, F.max("intensity").alias("intensity"), F.count("car").alias("cars")).where("cars > 0").drop("cars")
+    rows = _by_clip(both, 2 * cars.count(), F.max("intensity").alias("intensity"), F.count("car").alias("cars")).where("cars > 0").drop("cars")
     return rows.withColumn("severity", F.when(F.col("intensity").isNotNull(), classify(F.col("intensity"))))
 
 

@@ -110,3 +110,15 @@ def test_sparse_rows_of_a_key_share_an_entry():
             got += list(out.itertuples(index=False, name=None))
     assert [(r[1], bool(r[2]), r[3]) for r in got] == [w[1:] for w in whole]
     assert fold.waiting.asked < 50 and fold.kept[-1][0] == rows[-1][0] + 1
+
+
+def test_tasks_by_clip_grow_in_number_not_in_size(spark, monkeypatch):
+    from plumeworks.plans import tracking
+
+    from .test_parity import SF
+
+    monkeypatch.setattr(tracking, "PER_TASK", 100)
+    n = tracking.A.vehicles(spark, SF).count()
+    assert tracking._vehicles(spark, SF).rdd.getNumPartitions() == -(-n // 100) > 4
+    assert tracking._detections(spark, SF).rdd.getNumPartitions() == -(-2 * n // 100)
+    assert tracking.step_index(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the window needs no other
