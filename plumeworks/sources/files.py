@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sniff_format
@@ -75,9 +75,10 @@ def index_entries(spark: SparkSession, path: str, pattern: str = "*.json") -> Da
     A document that can't be parsed, or with an entry that names no file, gives none.
     """
     rows = _documents(spark, path, ENTRY, pattern).withColumn("place", F.monotonically_increasing_id())
-    bad = rows.where("corrupt is not null or file is null").select("path").distinct()
-    good = rows.join(bad, "path", "left_anti")
-    columns = [c for c in good.columns if c not in ("corrupt", "place")]
+    # in one pass: a document is read and parsed once
+    bad = F.max(F.expr("corrupt is not null or file is null")).over(Window.partitionBy("path"))
+    good = rows.withColumn("bad", bad).where("not bad")
+    columns = [c for c in good.columns if c not in ("corrupt", "place", "bad")]
     newest = good.groupBy("path", "file").agg(F.max_by(F.struct(*columns), "place").alias("e"))
     return newest.select("e.*")
 

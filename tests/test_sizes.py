@@ -122,3 +122,14 @@ def test_tasks_by_clip_grow_in_number_not_in_size(spark, monkeypatch):
     assert tracking._vehicles(spark, SF).rdd.getNumPartitions() == -(-n // 100) > 4
     assert tracking._detections(spark, SF).rdd.getNumPartitions() == -(-2 * n // 100)
     assert tracking.step_index(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the window needs no other
+
+
+def test_index_documents_are_read_once(spark, tmp_path):
+    from plumeworks.sources import files
+
+    (tmp_path / "good.json").write_text('[{"file": "a"}, {"file": "a", "label": "last"}]')
+    (tmp_path / "cut.json").write_text('[{"file": "b"}, {"fi')
+    (tmp_path / "nameless.json").write_text('[{"file": "c"}, {"label": "x"}]')
+    got = files.index_entries(spark, str(tmp_path))
+    assert [(r.file, r.label) for r in got.collect()] == [("a", "last")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
