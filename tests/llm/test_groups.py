@@ -469,3 +469,59 @@ def test_what_grows_is_never_broadcast(spark):
     hub = rows.unionByName(spark.range(25_000).selectExpr("id", "-1L as node"))
     least = hub.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("degree"))
     assert with_least(hub, least, "node", 55_000).where("first = greatest(node, 0) * 2").count() == 55_000
+
+
+def test_grid_over_counts_misses_no_pair():
+    from fractions import Fraction
+
+    import numpy as np
+
+    from plumeworks.llm import near_texts as N
+
+    grid, rng = N.Grid(Fraction("0.8")), np.random.default_rng(4)
+    for n in [*range(1, 90), *rng.integers(90, 3000, 12).tolist()]:
+        base = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        sets = [base]
+        for gone in range(0, n, 1 + n // 90):  # pairs on the very edge: some shingles go, as many as may come
+            new = next((k for k in range(n, -1, -1) if 5 * (n - gone) >= 4 * (n + k)), None)
+            if new is None:
+                break
+            sets.append(np.unique(np.r_[rng.permutation(base)[gone:], rng.integers(0, 1 << 64, new, np.uint64)]))
+        each, keys = N.cells(sets, grid)
+        own = np.split(keys, each.cumsum()[:-1])
+        assert all(len(np.intersect1d(own[0], x)) for x in own[1:])
+        assert (each < 0.75 * np.array([len(x) for x in sets]) + 20).all() or n < 90
+    # sets of 300 that share a passage of 60 meet in few cells
+    passage = rng.integers(0, 1 << 64, 60, np.uint64)
+    each, keys = N.cells([np.unique(np.r_[passage, rng.integers(0, 1 << 64, 240, np.uint64)]) for _ in range(100)], grid)
+    assert np.unique(keys, return_counts=True)[1].max() < 15
+    # a set that fills few groups of its class by chance has its single shingles too
+    narrow = np.arange(40, dtype=np.uint64)
+    each, keys = N.cells([narrow, np.r_[narrow[4:], narrow[:4] + np.uint64(1 << 63)]], grid)
+    assert len(np.intersect1d(keys[: each[0]], keys[each[0] :]))
+    assert N.cells([np.zeros(0, np.uint64)], grid)[0].tolist() == [0]
+
+
+def test_pairs_of_blocks_are_all_compared():
+    from fractions import Fraction
+
+    import numpy as np
+    import pyarrow as pa
+
+    from plumeworks.llm import near_texts as N
+
+    rng = np.random.default_rng(8)
+    kind = [rng.integers(0, 1 << 64, 60, np.uint64) for _ in range(3)]
+    sets = [np.unique(np.r_[kind[k % 3][k % 5 :], rng.integers(0, 1 << 64, 3, np.uint64)]) for k in range(30)]
+    text = [{"n": len(s), "sig": i, "component": i // 2, "bins": N.bins(s).tobytes()} for i, s in enumerate(sets)]
+    schema = pa.schema([(c, pa.list_(pa.struct([("n", pa.int32()), ("sig", pa.int64()), ("component", pa.int64()), ("bins", pa.binary())]))) for c in ("left", "right")])
+    made = [(text[:7], None), (text[7:8], None), (text[8:15], text[15:20]), (text[20:], None), (text[:1], text[29:])]
+    near = lambda i, j: i // 2 != j // 2 and 9 * int(np.abs(N.bins(sets[i]).astype(int) - N.bins(sets[j])).sum()) <= len(sets[i]) + len(sets[j])
+    want = set()
+    for left, right in made:
+        a, b = [r["sig"] for r in left], [r["sig"] for r in right or left]
+        want |= {(i, j) for i in a for j in b if i < j and near(i, j)}
+    for members in (1, 10, 1 << 15):
+        batch = pa.RecordBatch.from_pylist([{"left": x, "right": y} for x, y in made], schema)
+        got = [p for out in N._pairs(iter([batch, batch.slice(0, 0)]), Fraction("0.8"), None, members=members) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+        assert set(got) == want and len(want) > 20
