@@ -116,7 +116,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, pena
 
 
 def _features(batches):
-    for batch in slices(batches):
+    for batch in slices(batches, most=1 << 20):
         yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([features(x) for x in texts(batch)], pa.list_(pa.string()))], ["grade", "words"])
 
 
@@ -153,7 +153,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, per_grade: int = 1500, leas
 
 
 def _score(batches, model: OrdinalModel, limit: float):
-    for batch in slices(batches):
+    for batch in slices(batches, most=1 << 20):
         over = model.exceed(texts(batch))
         toxic = over[:, 0]
         grade = (over > 0.5).sum(1)
@@ -166,7 +166,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, limit: float = 0.3) ->
 
 
 def _keep(batches, model: OrdinalModel, limit: float):
-    for batch in slices(batches):
+    for batch in slices(batches, most=1 << 20):
         yield batch.filter(pa.array(model.exceed(texts(batch))[:, 0] < limit))
 
 
