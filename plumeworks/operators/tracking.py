@@ -76,7 +76,10 @@ def overlap(a, b) -> float:
 
 
 def readable(b) -> bool:
-    return b is not None and all(v is not None and math.isfinite(v) for v in b) and b[2] > 0 and b[3] > 0
+    if b is None or None in b:
+        return False
+    x, y, w, h = b
+    return math.isfinite(x) and math.isfinite(y) and math.isfinite(w) and math.isfinite(h) and w > 0 and h > 0
 
 
 class Tracker:
@@ -89,22 +92,38 @@ class Tracker:
         """The track of each detection of a frame that has some, in detection order."""
         self.step += 1
         live = self.tracks = [t for t in self.tracks if self.step - t["last"] <= GAP]
-        pairs = sorted((-v, d, k) for d, b in enumerate(boxes) for k, t in enumerate(live) if (v := overlap(b, t["box"])) >= MIN_IOU)
+        seen = [tuple(b) if readable(b) else None for b in boxes]
+        pairs = []
+        if live:
+            # what overlap() gives, with each box checked once; a track's box is readable or None
+            held = [(k, x, y, x + w, y + h, w * h) for k, t in enumerate(live) if t["box"] is not None for x, y, w, h in (t["box"],)]
+            for d, b in enumerate(seen):
+                if b is None:
+                    continue
+                x, y, w, h = b
+                right, low, area = x + w, y + h, w * h
+                for k, tx, ty, tright, tlow, tarea in held:
+                    across = (right if right < tright else tright) - (x if x > tx else tx)
+                    if across > 0:
+                        down = (low if low < tlow else tlow) - (y if y > ty else ty)
+                        if down > 0 and (v := across * down / (area + tarea - across * down)) >= MIN_IOU:
+                            pairs.append((-v, d, k))
+            pairs.sort()
         taken, given = {}, set()
         for _, d, k in pairs:
             if d not in taken and k not in given:
                 taken[d] = live[k]
                 given.add(k)
         out = []
-        for d, b in enumerate(boxes):
+        for d, b in enumerate(seen):
             t = taken.get(d)
             if t is None:
                 self.count += 1
                 t = {"id": self.count, "box": None, "last": 0}
                 self.tracks.append(t)
             t["last"] = self.step
-            if readable(b):
-                t["box"] = tuple(b)
+            if b is not None:
+                t["box"] = b
             out.append(t["id"])
         return out
 
@@ -130,8 +149,9 @@ def _fold_clips(batches):
             batch = pa.concat_batches([open_, batch])
         if not batch.num_rows:
             continue
-        frames = list(zip(batch.column("clip_id").to_pylist(), batch.column("frame_index").to_pylist(), strict=True))
-        whole = next((i + 1 for i in range(len(frames) - 1, -1, -1) if frames[i] != frames[-1]), 0)
+        last = batch.num_rows - 1
+        clips, frames = batch.column("clip_id"), batch.column("frame_index")
+        whole = next((i + 1 for i in range(last - 1, -1, -1) if frames[i].as_py() != frames[last].as_py() or clips[i].as_py() != clips[last].as_py()), 0)
         open_ = batch.slice(whole)
         if whole:
             yield tracked(batch.slice(0, whole))
@@ -139,14 +159,15 @@ def _fold_clips(batches):
         yield tracked(open_)
 
 
-def associate(detections: DataFrame) -> DataFrame:
+def associate(detections: DataFrame, dealt: bool = False) -> DataFrame:
     """Each detection, all its columns with it, with its track and step; clips are folded in frame order, one state a clip in memory.
 
     detections: clip_id, frame_index, det_idx (rank by confidence), x, y, w, h, and others.
+    dealt: a clip's rows are in one partition already.
     """
     rows = detections.withColumns({"frame_index": F.col("frame_index").cast("bigint"), "det_idx": F.col("det_idx").cast("int"), **{c: F.col(c).cast("double") for c in "xywh"}})
     schema = rows.withColumns({"track_id": F.lit(0), "step": F.lit(0)}).schema
-    return rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_index", "det_idx").mapInArrow(_fold_clips, schema)
+    return (rows if dealt else rows.repartition("clip_id")).sortWithinPartitions("clip_id", "frame_index", "det_idx").mapInArrow(_fold_clips, schema)
 
 
 def tracked_counters(tracked: DataFrame) -> DataFrame:

@@ -201,8 +201,9 @@ def _associated(spark, sf_dir):
     from pyspark.sql import Window
 
     first = Window.partitionBy("clip_id", "frame").orderBy(F.desc("confidence"), "vehicle_id", "x", "y", "w", "h", "intensity")
-    d = A.cameras(spark, sf_dir).withColumn("det_idx", F.row_number().over(first) - 1)
-    return T.associate(d.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("frame").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity", F.col("intensity").isNotNull().alias("fired")))
+    # dealt by clip once, for the order within frames too
+    d = A.cameras(spark, sf_dir).withColumn("clip_id", F.col("clip_id").cast("string")).repartition("clip_id").withColumn("det_idx", F.row_number().over(first) - 1)
+    return T.associate(d.select("clip_id", F.col("frame").alias("frame_index"), "det_idx", "x", "y", "w", "h", "vehicle_type", "intensity", F.col("intensity").isNotNull().alias("fired")), dealt=True)
 
 
 @query(_TRACKED)

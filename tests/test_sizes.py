@@ -133,3 +133,35 @@ def test_index_documents_are_read_once(spark, tmp_path):
     got = files.index_entries(spark, str(tmp_path))
     assert [(r.file, r.label) for r in got.collect()] == [("a", "last")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_clips_are_dealt_once_before_they_are_tracked(spark):
+    from plumeworks.plans import tracking
+
+    from .test_parity import SF
+
+    assert tracking.greedy_assignments(spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_tracker_checks_each_box_once(monkeypatch):
+    import random
+
+    from plumeworks.operators import tracking as T
+
+    asked, rng = [], random.Random(2)
+    readable = T.readable
+    monkeypatch.setattr(T, "readable", lambda b: asked.append(b) or readable(b))
+    odd = [None, (1.0, 2.0, 0.0, 5.0), (1.0, float("nan"), 9.0, 9.0), (None, 1.0, 9.0, 9.0), (float("inf"), 1.0, 9.0, 9.0)]
+    tracker, seen = T.Tracker(), 0
+    for _ in range(60):
+        boxes = [rng.choice(odd) if rng.random() < 0.2 else tuple(float(rng.randrange(k, 60)) for k in (0, 0, 20, 20)) for _ in range(12)]
+        before = [dict(t) for t in tracker.tracks if tracker.step + 1 - t["last"] <= T.GAP]
+        got = tracker.update(boxes)
+        taken, used = {}, set()
+        for _, d, k in sorted((-v, d, k) for d, b in enumerate(boxes) for k, t in enumerate(before) if (v := T.overlap(b, t["box"])) >= T.MIN_IOU):
+            if d not in taken and k not in used:
+                taken[d] = before[k]["id"]
+                used.add(k)
+        assert all(got[d] == taken[d] if d in taken else got[d] not in {t["id"] for t in before} for d in range(12))
+        seen += len(boxes)
+    assert len(asked) == seen
