@@ -23,8 +23,16 @@ class Conflict(Exception):
     """Another writer has committed since this one began."""
 
 
+#: Keys, and bytes of files to be written anew, of a partition at most; beyond Spark's number of partitions there are more.
+KEYS, BYTES = 60_000, 32 << 20
+
+
 class CommittedTables:
-    """Tables under one folder whose rows belong to parents by `key`; rows lie in buckets by the hash of the key."""
+    """Tables under one folder whose rows belong to parents by `key`; rows lie in buckets by the hash of the key.
+
+    The hash is the one by which Spark deals rows, and the number of partitions is a multiple of the number of buckets: so
+    rows dealt by key once, for the joins with the replaced keys, are written as they lie, each partition to one bucket.
+    """
 
     def __init__(self, spark: SparkSession, root: str, key: str, buckets: int = 16):
         self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
@@ -58,7 +66,16 @@ class CommittedTables:
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in held["folders"].values()))
 
     def _bucket(self):
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(F.col(self.key)), F.lit(self.buckets)).cast("int")
+
+    def _partitions(self, keys: int, folders: list[str]) -> int:
+        """In how many partitions rows are dealt: a multiple of the buckets."""
+        size = 0
+        for folder in folders:
+            fs, path = self._fs(f"{self.root}/{folder}")
+            size += fs.getContentSummary(path).getLength()
+        least = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-keys // KEYS), -(-size // BYTES))
+        return self.buckets * -(-least // self.buckets)
 
     def replace(self, rows: dict[str, DataFrame], keys: DataFrame, still: Callable[[], bool] = lambda: True) -> int:
         """Make `rows` all that the tables hold of `keys`, and return the commit's number.
@@ -71,18 +88,23 @@ class CommittedTables:
         before = self.version()
         held = self._commit(before)
         keys = keys.select(self.key).distinct()
-        touched = {r.b for r in keys.select(self._bucket().alias("b")).distinct().collect()}
+        counted = {r.b: r["count"] for r in keys.groupBy(self._bucket().alias("b")).count().collect()}
+        touched = counted.keys()
         made = dict(held)
         for name, new in rows.items():
             old = held.get(name, {"schema": new.schema.jsonValue(), "folders": {}})
-            new = new.join(keys, self.key, "left_semi").select(new.columns)
             folders = {b: f for b, f in old["folders"].items() if int(b) not in touched}
-            if stale := [f for b, f in old["folders"].items() if int(b) in touched]:
-                kept = self.spark.read.schema(StructType.fromJson(old["schema"])).parquet(*(f"{self.root}/{f}" for f in stale))
-                new = kept.join(keys, self.key, "left_anti").select(kept.columns).unionByName(new)
+            stale = [f for b, f in old["folders"].items() if int(b) in touched]
+            dealt = lambda rows, n=self._partitions(sum(counted.values()), stale): rows.repartition(n, self.key)
+            # neither side is sent to all tasks: where one lies the other is dealt to
+            gone = dealt(keys).hint("shuffle_hash")
+            new = dealt(new).join(gone, self.key, "left_semi").select(new.columns)
             folder = f"data/{name}/{before + 1:012}-{uuid.uuid4().hex}"
-            # Spark cuts large buckets into several files
-            new.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            target = f"{self.root}/{folder}"
+            if stale:
+                kept = self.spark.read.schema(StructType.fromJson(old["schema"])).parquet(*(f"{self.root}/{f}" for f in stale))
+                new = dealt(kept).join(gone, self.key, "left_anti").select(kept.columns).unionByName(new)
+            new.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(target)
             fs, path = self._fs(f"{self.root}/{folder}")
             parts = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
             folders |= {p.removeprefix("_bucket="): f"{folder}/{p}" for p in parts if p.startswith("_bucket=")}

@@ -165,3 +165,17 @@ def test_tracker_checks_each_box_once(monkeypatch):
         assert all(got[d] == taken[d] if d in taken else got[d] not in {t["id"] for t in before} for d in range(12))
         seen += len(boxes)
     assert len(asked) == seen
+
+
+def test_replaced_rows_are_dealt_by_key_once_in_partitions_of_one_bucket(spark, tmp_path, monkeypatch):
+    from plumeworks.sources import commits
+
+    monkeypatch.setattr(commits, "KEYS", 10)
+    store = commits.CommittedTables(spark, f"file://{tmp_path}/s", "k", buckets=4)
+    rows = spark.range(300).selectExpr("id % 100 as k", "id as v")
+    store.replace({"t": rows}, rows.select("k"))
+    assert store._partitions(100, []) == 12 and sum(1 for _ in tmp_path.glob("s/data/t/*/_bucket=*/*.parquet")) == 12
+    few = rows.where("k in (3, 4)")
+    store.replace({"t": few.withColumn("v", -F.col("v")).where("k = 3")}, few.select("k"))
+    got = sorted((r.k, r.v) for r in store.read("t").collect())
+    assert got == sorted((i % 100, -i if i % 100 == 3 else i) for i in range(300) if i % 100 != 4)
