@@ -62,17 +62,18 @@ HOT_COUNT = 512
 HOT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: So many powers of a base are kept; others are made of these, block by block, as a worker keeps what it holds between tasks.
+_STEP = 1 << 12
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
+def powers(base: int) -> np.ndarray:
+    """base^0 ... base^(_STEP-1) modulo 2^64."""
+    if base not in _powers:
+        low = np.full(_STEP, base, np.uint64)
+        low[0] = 1
+        _powers[base] = np.multiply.accumulate(low)
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,11 +87,15 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     sums = np.zeros(len(values) + 1, np.uint64)
     part = sums[1:]  # in place: the values may be all bytes of a slice
     np.add(values, np.uint64(1), out=part)
-    np.multiply(part, powers(_BASE, len(values)), out=part)
+    low, leap = powers(_BASE), pow(_BASE, _STEP, 1 << 64)
+    for block, a in enumerate(range(0, len(part), _STEP)):
+        part[a : a + _STEP] *= low[: len(part) - a] * np.uint64(pow(leap, block, 1 << 64))
     np.cumsum(part, out=part)
     # shifted to the start of the range by the base's inverse
-    inverse = powers(pow(_BASE, -1, 1 << 64), int(starts.max()) + 1 if len(starts) else 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    inverse = pow(_BASE, -1, 1 << 64)
+    leap = pow(inverse, _STEP, 1 << 64)
+    high = np.array([pow(leap, block, 1 << 64) for block in range(int(starts.max()) // _STEP + 1 if len(starts) else 1)], np.uint64)
+    return mix((sums[ends] - sums[starts]) * (high[starts // _STEP] * powers(inverse)[starts % _STEP]) + (ends - starts).astype(np.uint64))
 
 
 class Words:
@@ -193,14 +198,7 @@ def _repeated(group: pa.Table, bits: int, hot_count: int) -> pa.Table:
     part[((twice * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)] = True
     shard = group.column("shard")[0].as_py()
     hot = (np.uint64(shard) << np.uint64(32)) | marks[counts > hot_count].astype(np.uint64)
-    row = np.int32(shard).tobytes(), np.packbits(part, bitorder="little").tobytes(), hot.tobytes()
-    return pa.table([pa.array([x], pa.binary()) for x in row], ["shards", "parts", "hot"])
-
-
-def _joined(batches):
-    """The rows of _repeated behind each other, one row for a batch."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b"".join(c.to_pylist())], pa.binary()) for c in batch.columns], batch.schema.names)
+    return pa.table({"shard": pa.array([shard], pa.int32()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([hot.tobytes()], pa.binary())})
 
 
 def _names(minimizers: np.ndarray, shards: int) -> np.ndarray:
@@ -383,12 +381,12 @@ def repeated_windows(docs: DataFrame, filter_bytes: tuple[int, int] = FILTER_BYT
     hot_count = max(hot_count, total // (16 * HOT))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     marks = source.select("text").mapInArrow(partial(_minimizers, shards=shards), "shard int, marks binary")
-    kind = "shards binary, parts binary, hot binary"
-    parts = _dealt(marks, count).applyInArrow(lambda group: _repeated(group, bits, hot_count), kind)
+    # one step in Python for each task: further ones need workers of their own, which stay and hold memory
+    parts = _dealt(marks, count).applyInArrow(lambda group: _repeated(group, bits, hot_count), "shard int, part binary, hot binary")
     table, hot = np.zeros((shards, bits // 8), np.uint8), [np.zeros(0, np.uint64)]
-    for names, part, frequent in parts.mapInArrow(_joined, kind).collect():
-        table[np.frombuffer(names, np.int32)] = np.frombuffer(part, np.uint8).reshape(-1, bits // 8)
-        hot.append(np.frombuffer(frequent, np.uint64))
+    for shard, part, frequent in zip(*parts.toArrow().columns, strict=True):
+        table[shard.as_py()] = np.frombuffer(part.as_py(), np.uint8)
+        hot.append(np.frombuffer(frequent.as_py(), np.uint64))
     shared = spark.sparkContext.broadcast((table, np.sort(np.concatenate(hot))))
     # computed twice rather than kept: the second pass costs less than a copy of the segments
     segments = source.select("doc_id", "text").mapInArrow(partial(_segments, bits=bits, parts=shared), _SEGMENTS)
